@@ -59,10 +59,13 @@ def partial_sums(
     df: DataFrame,
     keys: list[str],
     features: str,
-    per_block: Callable[[np.ndarray], np.ndarray],
+    per_block: Callable[..., np.ndarray],
+    with_key: bool = False,
 ) -> DataFrame:
     """Sum ``per_block(rows)`` -- an (r, c) matrix -- over all rows of every group.
 
+    With ``with_key`` the function also receives the group's key tuple.
+
     Each task keeps one running matrix per group and emits it once, row by row; the emitted
     arrays are summed element-wise after a shuffle on (group, matrix row), so neither the rows
     nor a whole matrix per task ever meets in one place.  Returns (keys..., i, n, j, s).
@@ -84,7 +87,7 @@ def partial_sums(
                 groups = {(): np.arange(batch.num_rows)}
             for key, rows in groups.items():
                 key = key if isinstance(key, tuple) else (key,)
-                block = per_block(x[rows])
+                block = per_block(x[rows], key) if with_key else per_block(x[rows])
                 if key in totals:
                     totals[key][0] += len(rows)
                     totals[key][1] += block
@@ -102,7 +105,7 @@ def partial_sums(
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    key_arrow = [to_arrow_type(f.dataType, timezone="UTC") for f in key_fields]
+    key_arrow = [to_arrow_type(f.dataType) for f in key_fields]
     partial = df.select(*keys, features).mapInArrow(run, schema)
     return (
         partial.select(*keys, "i", "n", F.posexplode("part").alias("j", "p"))

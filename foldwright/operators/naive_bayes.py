@@ -221,6 +221,21 @@ def fit_naive_bayes(
     return NaiveBayesModel(kind, classes, parts, features, fold)
 
 
+def multinomial_sparse_stats(cells: DataFrame, label: str, feature: str, value: str, alpha: float = 1.0) -> DataFrame:
+    """(feature, label, logp) from sparse cells; a feature absent from a class keeps its smoothed value.
+
+    Cells are pre-aggregated to (label, feature) counts before anything else moves.
+    """
+    counts = cells.groupBy(label, feature).agg(F.sum(value).alias("n_cj"))
+    width = counts.select(feature).distinct().agg(F.count(F.lit(1))).scalar()
+    totals = counts.groupBy(label).agg(F.sum("n_cj").alias("_n"))
+    classes = totals.agg(F.collect_list(F.struct(label, "_n"))).scalar()  # one entry per class
+    grid = counts.groupBy(feature).agg(F.map_from_entries(F.collect_list(F.struct(label, "n_cj"))).alias("_seen"))
+    each = grid.withColumn("_classes", classes).withColumn("_d", width).select(feature, "_seen", "_d", F.explode("_classes").alias("_c"))
+    n_cj = F.coalesce(F.element_at("_seen", F.col("_c")[label]), F.lit(0))
+    return each.select(feature, F.col("_c")[label].alias(label), F.log((n_cj + alpha) / (F.col("_c._n") + alpha * F.col("_d"))).alias("logp"))
+
+
 def multinomial_sparse_scores(cells: DataFrame, logp: DataFrame, priors: DataFrame, row_id: str, feature: str, value: str, label: str) -> DataFrame:
     """(row_id, label, score) for sparse cells joined to a (feature, label, logp) table.
 

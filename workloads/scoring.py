@@ -14,7 +14,13 @@ from foldwright.operators.naive_bayes import (
     log_priors,
     multinomial_stats,
 )
-from workloads.base import query, r, table, vectors
+from foldwright.functions import exprs as X
+from foldwright.operators.discriminant import LDA, QDA, within_covariance
+from foldwright.operators.linear import SGD, KernelSVM, LinearSVM, OneVsRestMultilabel, PassiveAggressive, pair_votes
+from foldwright.operators.neighbors import KNeighbors, nearest, vote
+from foldwright.operators.trees import AdaBoost, DecisionTree, ExtraTrees, GradientBoosting, RandomForest, samme_round
+from workloads.base import item_matrix, query, r, table, vectors
+from workloads.preparation import ITEM_CELLS, VEC_CELLS
 
 FOLDS_SQL = """
 SELECT vec_id AS row_id, label,
@@ -87,3 +93,464 @@ def _(spark, sf):
     folded = stratified_folds(vectors(spark, sf), 5)
     model = fit_naive_bayes(folded, "gaussian", fold="fold", k=5, standardize=True)
     return model.predict(folded).select("row_id", "fold", "label", "prediction")
+
+
+# ---------------------------------------------------------------- balanced accuracy
+
+@query(
+    "confusion_counts",
+    """WITH t AS (SELECT l_returnflag, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, CASE WHEN l_discount * 10 >= 0.5 THEN 1 ELSE 0 END AS p FROM lineitem)
+SELECT l_returnflag, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp,
+       count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 1 AND p = 0) AS fn FROM t GROUP BY l_returnflag""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select(
+        "l_returnflag", (F.col("l_linestatus") == "O").cast("int").alias("y"), X.binarize(F.col("l_discount") * 10).alias("p")
+    )
+    return confusion_counts(df, "y", "p", ["l_returnflag"])
+
+
+_CLASS_SQL = """t AS (SELECT l_linestatus, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, CAST(l_linenumber + l_orderkey AS BIGINT) % 3 AS p FROM lineitem)"""
+
+
+def _class_rows(spark, sf):
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return table(spark, sf, "lineitem").select("l_linestatus", flag.alias("y"), ((F.col("l_linenumber") + F.col("l_orderkey")) % 3).cast("int").alias("p"))
+
+
+@query(
+    "class_confusion",
+    f"""WITH {_CLASS_SQL}, c AS (SELECT unnest([0, 1, 2]) AS c)
+SELECT l_linestatus, c AS "class", count(*) FILTER (y = c AND p = c) AS tp, count(*) FILTER (y <> c AND p = c) AS fp,
+       count(*) FILTER (y = c AND p <> c) AS fn, count(*) FILTER (y <> c AND p <> c) AS tn FROM t, c GROUP BY ALL""",
+)
+def _(spark, sf):
+    return class_confusion(_class_rows(spark, sf), "y", "p", ["l_linestatus"])
+
+
+@query(
+    "bac_binary",
+    """WITH t AS (SELECT l_returnflag, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, CASE WHEN l_discount * 10 >= 0.5 THEN 1 ELSE 0 END AS p FROM lineitem),
+c AS (SELECT l_returnflag, greatest(sum(y * p), 1e-15)::DOUBLE AS tp, sum(y * (1 - p)) AS fn, greatest(sum((1 - y) * (1 - p)), 1e-15)::DOUBLE AS tn, sum((1 - y) * p) AS fp FROM t GROUP BY ALL)
+SELECT l_returnflag, round(0.5 * (tp / greatest(tp + fn, 1e-15) + tn / greatest(tn + fp, 1e-15)), 6) AS bac FROM c""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_linestatus") == "O").cast("int").alias("y"), (F.col("l_discount") * 10).alias("p"))
+    return bac_binary(df, "y", "p", ["l_returnflag"]).select("l_returnflag", r("bac").alias("bac"))
+
+
+@query(
+    "bac_multiclass",
+    f"""WITH {_CLASS_SQL}, c AS (SELECT l_linestatus, y, greatest(count(*) FILTER (y = p), 1e-15)::DOUBLE AS tp, count(*) FILTER (y <> p) AS fn FROM t GROUP BY l_linestatus, y),
+k AS (SELECT unnest(range(0, 4)) AS y), s AS (SELECT DISTINCT l_linestatus FROM t)
+SELECT l_linestatus, round(avg(coalesce(tp / greatest(tp + fn, 1e-15), 1.0)), 6) AS bac
+FROM s CROSS JOIN k LEFT JOIN c USING (l_linestatus, y) GROUP BY l_linestatus""",
+)
+def _(spark, sf):
+    return bac_multiclass(_class_rows(spark, sf), "y", "p", 4, ["l_linestatus"]).select("l_linestatus", r("bac").alias("bac"))
+
+
+@query(
+    "bac_multilabel",
+    """WITH t AS (SELECT lang, quality, toxic, CASE WHEN n_chars / (n_chars + 500.0) >= 0.5 THEN 1 ELSE 0 END AS p0, CASE WHEN 500.0 / (n_chars + 500.0) >= 0.5 THEN 1 ELSE 0 END AS p1
+           FROM labels JOIN documents USING (doc_id)),
+u AS (SELECT lang, 0 AS pos, quality AS y, p0 AS p FROM t UNION ALL SELECT lang, 1, toxic, p1 FROM t),
+c AS (SELECT lang, pos, greatest(sum(y * p), 1e-15)::DOUBLE AS tp, sum(y * (1 - p)) AS fn, greatest(sum((1 - y) * (1 - p)), 1e-15)::DOUBLE AS tn, sum((1 - y) * p) AS fp FROM u GROUP BY ALL)
+SELECT lang, round(avg(0.5 * (tp / greatest(tp + fn, 1e-15) + tn / greatest(tn + fp, 1e-15))), 6) AS bac FROM c GROUP BY lang""",
+)
+def _(spark, sf):
+    n = F.col("n_chars").cast("double")
+    df = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id").select(
+        "lang", F.array("quality", "toxic").alias("y"), F.array(n / (n + 500.0), F.lit(500.0) / (n + 500.0)).alias("p")
+    )
+    return bac_multilabel(df, "y", "p", ["lang"]).select("lang", r("bac").alias("bac"))
+
+
+# ---------------------------------------------------------------- scalar functions
+
+@query(
+    "sigmoid_pair",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, greatest(least(l_extendedprice / 1000 - 30, 20), -20) AS s FROM lineitem),
+u AS (SELECT *, 1 / (1 + exp(-s)) AS p FROM t), v AS (SELECT *, CASE WHEN p > 0.999999 THEN 1.0 WHEN p < 0.0000001 THEN 0.0 ELSE p END AS q FROM u)
+SELECT l_orderkey, l_linenumber, round(1 - q, 6) + 0 AS p0, round(q, 6) + 0 AS p1 FROM v""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.sigmoid_pair(F.col("l_extendedprice") / 1000 - 30).alias("p"))
+    return df.select("l_orderkey", "l_linenumber", r(F.col("p")[0]).alias("p0"), r(F.col("p")[1]).alias("p1"))
+
+
+@query(
+    "softmax_rows",
+    f"WITH {VEC_CELLS}, m AS (SELECT *, max(x) OVER (PARTITION BY row_id) AS top FROM cells) "
+    "SELECT row_id, pos, round(exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY row_id), 6) + 0 AS p FROM m",
+)
+def _(spark, sf):
+    return vectors(spark, sf).select("row_id", F.posexplode(X.softmax("features")).alias("pos", "x")).select("row_id", "pos", r("x").alias("p"))
+
+
+@query(
+    "positive_probs",
+    """SELECT l_orderkey, l_linenumber, round(l_discount, 6) AS p0, CASE WHEN l_linestatus = 'O' THEN round(l_tax, 6) ELSE 0.0 END AS p1 FROM lineitem""",
+)
+def _(spark, sf):
+    d, t = F.col("l_discount"), F.col("l_tax")
+    pair = F.array(F.array(1 - d, d), F.when(F.col("l_linestatus") == "O", F.array(1 - t, t)).otherwise(F.array(F.lit(1.0))))
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.positive_probs(pair).alias("p"))
+    return df.select("l_orderkey", "l_linenumber", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[1], 6).alias("p1"))
+
+
+@query(
+    "argmax_decision",
+    f"WITH {VEC_CELLS} SELECT row_id, CAST(min(pos) AS INTEGER) AS best FROM cells c WHERE x = (SELECT max(x) FROM cells d WHERE d.row_id = c.row_id) GROUP BY row_id",
+)
+def _(spark, sf):
+    return vectors(spark, sf).select("row_id", X.argmax_index("features").alias("best"))
+
+
+@query(
+    "one_hot_labels",
+    "SELECT vec_id AS row_id, CAST(unnest(range(0, 10)) AS INTEGER) AS class, CAST(label = unnest(range(0, 10)) AS INTEGER) AS hot FROM embeddings",
+)
+def _(spark, sf):
+    return vectors(spark, sf).select("row_id", F.posexplode(X.one_hot("label", 10)).alias("class", "hot"))
+
+
+@query(
+    "argmax_one_hot",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, [l_discount, l_tax, 0.05] AS a FROM lineitem),
+u AS (SELECT *, list_position(a, list_max(a)) AS b FROM t)
+SELECT l_orderkey, l_linenumber, CAST(b = 1 AS INTEGER) AS h0, CAST(b = 2 AS INTEGER) AS h1, CAST(b = 3 AS INTEGER) AS h2 FROM u""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.argmax_one_hot(F.array("l_discount", "l_tax", F.lit(0.05))).alias("h"))
+    return df.select("l_orderkey", "l_linenumber", *[F.col("h")[i].alias(f"h{i}") for i in range(3)])
+
+
+@query("binarize_half", "SELECT l_orderkey, l_linenumber, CAST(l_discount * 10 >= 0.5 AS INTEGER) AS decision FROM lineitem")
+def _(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.binarize(F.col("l_discount") * 10).alias("decision"))
+
+
+@query(
+    "number_and_flag_parsing",
+    """SELECT p_partkey, split_part(p_name, ' ', 1) AS head, lower(trim(p_type)) AS kind,
+CASE WHEN regexp_matches(substr(p_brand, 7), '^[0-9]+$') THEN CAST(substr(p_brand, 7) AS BIGINT) END AS brand,
+CASE WHEN regexp_matches(p_name, '^[0-9]+$') THEN 1 END AS not_a_number, lower(CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END) = 'true' AS large FROM part""",
+)
+def _(spark, sf):
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        F.split("p_name", " ")[0].alias("head"),
+        F.lower(F.trim("p_type")).alias("kind"),
+        X.parse_number(F.substring("p_brand", 7, 10)).alias("brand"),
+        X.parse_number("p_name").cast("int").alias("not_a_number"),
+        X.true_string(F.when(F.col("p_size") > 25, "True").otherwise("False")).alias("large"),
+    )
+
+
+@query(
+    "code_maps",
+    """SELECT event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS task,
+CASE WHEN user_id % 2 = 0 THEN 7 ELSE 10 END AS metric, CASE WHEN value < 1 THEN 6 ELSE 5 END AS prop, count(*) AS n FROM events GROUP BY ALL""",
+)
+def _(spark, sf):
+    e = F.col("event_type")
+    name = F.when(e == "click", "binary.classification").when(e == "view", "multiclass.classification").when(e == "error", "multilabel.classification").otherwise("regression")
+    df = table(spark, sf, "events").select(
+        "event_type",
+        X.task_code(name).alias("task"),
+        X.metric_code(F.when(F.col("user_id") % 2 == 0, "bac_metric").otherwise("r2")).alias("metric"),
+        X.property_code(F.when(F.col("value") < 1, "sparse").otherwise("dense")).alias("prop"),
+    )
+    return df.groupBy("event_type", "task", "metric", "prop").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- naive Bayes
+
+@query(
+    "gaussian_class_moments",
+    f"WITH {VEC_CELLS} SELECT label, pos, count(*) AS n, round(avg(x), 6) + 0 AS mean, round(var_pop(x) + 1e-9, 6) AS var FROM cells GROUP BY label, pos",
+)
+def _(spark, sf):
+    return gaussian_stats(vectors(spark, sf), "label", "features").select("label", "pos", "n", r("mean").alias("mean"), F.round("var", 6).alias("var"))
+
+
+@query(
+    "gaussian_predictions",
+    f"""WITH {VEC_CELLS}, nb AS (SELECT label AS c, pos, avg(x) AS mean, var_pop(x) + 1e-9 AS var FROM cells GROUP BY label, pos),
+prior AS (SELECT label AS c, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM embeddings GROUP BY label),
+ll AS (SELECT row_id, c, any_value(lp) + sum(-0.5 * (ln(2 * pi() * var) + (x - mean) * (x - mean) / var)) AS s FROM cells JOIN nb USING (pos) JOIN prior USING (c) GROUP BY row_id, c)
+SELECT row_id, c AS prediction FROM ll QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY s DESC, c) = 1""",
+)
+def _(spark, sf):
+    df = vectors(spark, sf)
+    return fit_naive_bayes(df, "gaussian").predict(df).select("row_id", "prediction")
+
+
+@query("class_log_priors", "SELECT label, count(*) AS n_c, round(ln(count(*) / sum(count(*)) OVER ()), 6) AS log_prior FROM embeddings GROUP BY label")
+def _(spark, sf):
+    return log_priors(class_sizes(vectors(spark, sf), "label"), [], "label").select("label", "n_c", F.round("log_prior", 6).alias("log_prior"))
+
+
+_BERNOULLI = f"""{VEC_CELLS}, nc AS (SELECT label AS c, count(*) AS n_c FROM embeddings GROUP BY label),
+b AS (SELECT label AS c, pos, (sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) + 1.0) / (any_value(n_c) + 2.0) AS p FROM cells JOIN nc ON label = c GROUP BY label, pos)"""
+
+
+@query("bernoulli_parameters", f"WITH {_BERNOULLI} SELECT c AS label, pos, round(p, 6) AS p FROM b")
+def _(spark, sf):
+    return bernoulli_stats(vectors(spark, sf), "label", "features").select("label", "pos", F.round("p", 6).alias("p"))
+
+
+@query(
+    "bernoulli_predictions",
+    f"""WITH {_BERNOULLI}, ll AS (SELECT row_id, c, any_value(ln(n_c / (SELECT count(*) FROM embeddings))) + sum(CASE WHEN x > 0 THEN ln(p) ELSE ln(1 - p) END) AS s
+FROM cells JOIN b USING (pos) JOIN nc USING (c) GROUP BY row_id, c)
+SELECT row_id, c AS prediction FROM ll QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY s DESC, c) = 1""",
+)
+def _(spark, sf):
+    df = vectors(spark, sf)
+    return fit_naive_bayes(df, "bernoulli").predict(df).select("row_id", "prediction")
+
+
+_MULTINOMIAL = f"""{VEC_CELLS}, nj AS (SELECT label AS c, pos, sum(greatest(x, 0)) AS n FROM cells GROUP BY label, pos),
+t AS (SELECT c, pos, ln((n + 0.5) / (sum(n) OVER (PARTITION BY c) + 0.5 * 64)) AS logp FROM nj)"""
+
+
+@query("multinomial_parameters", f"WITH {_MULTINOMIAL} SELECT c AS label, pos, round(logp, 6) AS logp FROM t")
+def _(spark, sf):
+    return multinomial_stats(vectors(spark, sf), "label", "features", 0.5).select("label", "pos", F.round("logp", 6).alias("logp"))
+
+
+@query(
+    "multinomial_predictions",
+    f"""WITH {_MULTINOMIAL}, ll AS (SELECT row_id, c, sum(greatest(x, 0) * logp) - ln(10) AS s FROM cells JOIN t USING (pos) GROUP BY row_id, c)
+SELECT row_id, c AS prediction FROM ll QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY s DESC, c) = 1""",
+)
+def _(spark, sf):
+    df = vectors(spark, sf)
+    return fit_naive_bayes(df, "multinomial", alpha=0.5, fit_prior=False).predict(df).select("row_id", "prediction")
+
+
+TOKENS_SQL = r"""
+docs AS (SELECT doc_id, quality AS label, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS words FROM documents JOIN labels USING (doc_id)),
+toks AS (SELECT doc_id, label, unnest(words) AS word FROM docs),
+cnt AS (SELECT doc_id, label, word, count(*) AS n FROM toks GROUP BY ALL),
+vocab AS (SELECT count(DISTINCT word) AS d FROM cnt),
+cw AS (SELECT label, word, sum(n) AS n FROM cnt GROUP BY ALL),
+tot AS (SELECT label, sum(n) AS n FROM cw GROUP BY label),
+grid AS (SELECT l.label, w.word, ln((coalesce(cw.n, 0) + 1.0) / (l.n + d)) AS logp
+         FROM tot l CROSS JOIN (SELECT DISTINCT word FROM cnt) w LEFT JOIN cw ON cw.label = l.label AND cw.word = w.word, vocab)
+"""
+
+
+@query(
+    "multinomial_text_scores",
+    f"""WITH {TOKENS_SQL}, prior AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM docs GROUP BY label)
+SELECT c.doc_id, g.label, round(sum(c.n * g.logp) + any_value(lp), 4) AS score
+FROM cnt c JOIN grid g USING (word) JOIN prior p ON p.label = g.label GROUP BY c.doc_id, g.label""",
+)
+def _(spark, sf):
+    from foldwright.operators.naive_bayes import multinomial_sparse_scores, multinomial_sparse_stats
+
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    words = docs.select("doc_id", "label", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''")
+    cells = words.groupBy("doc_id", "label", "word").agg(F.count(F.lit(1)).alias("n"))
+    logp = multinomial_sparse_stats(cells, "label", "word", "n", 1.0)
+    priors = log_priors(class_sizes(docs, "label"), [], "label")
+    out = multinomial_sparse_scores(cells.drop("label"), logp, priors, "doc_id", "word", "n", "label")
+    return out.select("doc_id", "label", F.round("score", 4).alias("score"))
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+def _nearest_sql(distance: str, k: int) -> str:
+    return f"""WITH pairs AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, {distance} AS d FROM embeddings q, embeddings t WHERE (q.vec_id + 1) % 5 = 0 AND (t.vec_id + 1) % 5 <> 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, tid) AS rank FROM pairs QUALIFY rank <= {k})"""
+
+
+_L2 = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE))))"
+_L1 = "list_sum(list_transform(range(1, 65), lambda i: abs(q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE)))"
+
+
+def _held_out(spark, sf):
+    """Every fifth vector is a query, the others are the training rows."""
+    df = vectors(spark, sf)
+    test = (F.col("row_id") + 1) % 5 == 0
+    return df.filter(~test), df.filter(test)
+
+
+@query("nearest_euclidean", _nearest_sql(_L2, 5) + " SELECT qid, tid, CAST(rank AS INTEGER) AS rank, round(d, 6) AS distance FROM best")
+def _(spark, sf):
+    train, test = _held_out(spark, sf)
+    return nearest(train, test, 5, 2).select("qid", "tid", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query("nearest_manhattan", _nearest_sql(_L1, 5) + " SELECT qid, tid, CAST(rank AS INTEGER) AS rank, round(d, 6) AS distance FROM best")
+def _(spark, sf):
+    train, test = _held_out(spark, sf)
+    return nearest(train, test, 5, 1).select("qid", "tid", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "neighbor_vote_distance",
+    _nearest_sql(_L2, 7)
+    + """, v AS (SELECT qid, label, sum(1 / d) AS v FROM best GROUP BY qid, label)
+SELECT qid AS row_id, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY v DESC, label) = 1""",
+)
+def _(spark, sf):
+    train, test = _held_out(spark, sf)
+    return vote(nearest(train, test, 7, 2), "distance").select(F.col("qid").alias("row_id"), "prediction")
+
+
+@query(
+    "neighbor_vote_uniform",
+    _nearest_sql(_L2, 7)
+    + """, v AS (SELECT qid, label, count(*) AS v FROM best GROUP BY qid, label)
+SELECT qid AS row_id, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY v DESC, label) = 1""",
+)
+def _(spark, sf):
+    train, test = _held_out(spark, sf)
+    return KNeighbors(7, "uniform", 2).fit(train).predict(test).select("row_id", "prediction")
+
+
+# ---------------------------------------------------------------- discriminants
+
+@query(
+    "within_class_covariance",
+    f"""WITH {VEC_CELLS}, m AS (SELECT label, pos, avg(x) AS m FROM cells GROUP BY label, pos), z AS (SELECT row_id, pos, x - m AS z FROM cells JOIN m USING (label, pos)),
+n AS (SELECT count(*) - count(DISTINCT label) AS n FROM embeddings)
+SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(sum(a.z * b.z) / any_value(n), 6) + 0 AS cov FROM z a JOIN z b USING (row_id), n GROUP BY a.pos, b.pos""",
+)
+def _(spark, sf):
+    return within_covariance(vectors(spark, sf)).select("i", "j", r("cov").alias("cov"))
+
+
+def _held_out_bac(spark, sf, classifier):
+    """Balanced accuracy on every fifth row after fitting on the others."""
+    train, test = _held_out(spark, sf)
+    out = classifier.fit(train.persist()).predict(test)
+    return bac_multiclass(out, "label", "prediction", 10, []).select(r("bac").alias("bac"))
+
+
+@query("lda_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, LDA())
+
+
+@query("lda_shrunk_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, LDA("auto"))
+
+
+@query("qda_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, QDA(0.5))
+
+
+# ---------------------------------------------------------------- trees, linear models
+
+@query("decision_tree_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, DecisionTree(max_depth=0.5, min_samples_leaf=2))
+
+
+@query("random_forest_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, RandomForest(n_estimators=20, max_depth=6))
+
+
+@query("extra_trees_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, ExtraTrees(n_estimators=20, max_depth=6))
+
+
+def _flag_rows(spark, sf):
+    """Two classes: whether an order line is open, from its four measures."""
+    df = item_matrix(spark, sf).select("row_id", "features", (F.col("l_linestatus") == "O").cast("int").alias("label"))
+    test = F.col("row_id") % 5 == 0
+    return df.filter(~test), df.filter(test)
+
+
+@query("gradient_boosting_bac")
+def _(spark, sf):
+    train, test = _flag_rows(spark, sf)
+    out = GradientBoosting(n_estimators=5, max_depth=2).fit(train.persist()).predict(test)
+    return bac_multiclass(out, "label", "prediction", 2, []).select(r("bac").alias("bac"))
+
+
+@query("adaboost_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, AdaBoost(n_estimators=5, max_depth=3, checkpoint_every=5))
+
+
+@query("adaboost_samme_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, AdaBoost(n_estimators=5, max_depth=3, algorithm="SAMME", checkpoint_every=5))
+
+
+@query(
+    "boosting_round_error",
+    """WITH t AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, (l_linenumber + l_orderkey) % 3 AS p, 1 + l_discount AS w FROM lineitem)
+SELECT round(sum(w), 4) AS total, round(sum(CASE WHEN y <> p THEN w ELSE 0 END) / sum(w), 6) AS error FROM t""",
+)
+def _(spark, sf):
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    df = table(spark, sf, "lineitem").select(flag.alias("y"), ((F.col("l_linenumber") + F.col("l_orderkey")) % 3).alias("p"), (1 + F.col("l_discount")).alias("w"))
+    return samme_round(df, "y", "p", "w").select(F.round("total", 4).alias("total"), F.round("error", 6).alias("error"))
+
+
+@query("linear_svm_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, LinearSVM(max_iter=15))
+
+
+@query("kernel_svm_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, KernelSVM(gamma=0.05, landmarks=60, max_iter=15))
+
+
+@query("sgd_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, SGD("log", alpha=1e-3, n_iter=8))
+
+
+@query("sgd_hinge_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, SGD("hinge", "elasticnet", alpha=1e-3, n_iter=8, average=True))
+
+
+@query("passive_aggressive_bac")
+def _(spark, sf):
+    return _held_out_bac(spark, sf, PassiveAggressive(C=0.1, n_iter=6))
+
+
+@query("multilabel_one_vs_rest")
+def _(spark, sf):
+    n = F.col("n_chars").cast("double")
+    df = (
+        table(spark, sf, "labels")
+        .join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+        .select("doc_id", F.array("quality", "toxic").alias("labels"), F.array(F.log1p(n), F.sqrt(n)).alias("features"))
+        .persist()
+    )
+    model = OneVsRestMultilabel(lambda label: DecisionTree(max_depth=1.0, label=label)).fit(df)
+    out = model.predict(df).withColumn("score", F.col("prediction").cast("array<double>"))
+    return bac_multilabel(out, "labels", "score", []).select(r("bac").alias("bac"))
+
+
+@query(
+    "pair_votes",
+    """WITH pairs AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, unnest([0, 0, 1]) AS i, unnest([1, 2, 2]) AS j,
+                      unnest([l_discount - 0.05, l_tax - 0.04, l_quantity / 50 - 0.5]) AS d FROM lineitem),
+s AS (SELECT row_id, i AS c, -d AS conf, CASE WHEN d >= 0 THEN 1 ELSE 0 END AS v FROM pairs UNION ALL SELECT row_id, j, d, CASE WHEN d < 0 THEN 1 ELSE 0 END FROM pairs),
+g AS (SELECT row_id, c, sum(conf) AS conf, sum(v) AS v FROM s GROUP BY ALL), m AS (SELECT greatest(abs(max(conf)), abs(min(conf))) AS m FROM g)
+SELECT row_id, c AS "class", round(v + conf * (0.5 - 2.220446049250313e-16) / m, 6) + 0 AS score FROM g, m""",
+)
+def _(spark, sf):
+    e = lambda i, j, d: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), d.alias("d"))
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        F.explode(F.array(e(0, 1, F.col("l_discount") - 0.05), e(0, 2, F.col("l_tax") - 0.04), e(1, 2, F.col("l_quantity") / 50 - 0.5))).alias("e"),
+    )
+    pairs = rows.select("row_id", "e.i", "e.j", F.col("e.d").alias("decision"))
+    return pair_votes(pairs).select("row_id", "class", r("score").alias("score"))
