@@ -7,6 +7,9 @@ task draws the same rows.
 
 from __future__ import annotations
 
+import json
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,43 +19,67 @@ from foldwright.plans.space import CONSTANT_STEPS, FORBIDDEN_VALUES, NODES, PARA
 
 # ---------------------------------------------------------------- drawing
 
-def _pick(choices, u: Column) -> Column:
-    options = F.array(*[F.lit(c) for c in choices])
-    return F.get(options, F.floor(u * len(choices)).cast("int"))
+_SPACE_TYPE = (
+    "array<struct<node:string,params:array<struct<key:string,kind:string,log:boolean,low:double,high:double,"
+    "choices:array<string>,parent:string,parent_choices:array<string>,parent_values:array<string>>>>>"
+)
+
+
+def _param_entry(p: Param) -> dict:
+    parent = next((q for q in PARAMS if (q.step, q.node, q.name) == (p.step, p.node, p.parent)), None)
+    return {
+        "key": p.key, "kind": p.kind, "log": p.log, "low": p.low, "high": p.high, "choices": list(p.choices),
+        "parent": parent.key if parent else None, "parent_choices": list(parent.choices) if parent else [],
+        "parent_values": list(p.parent_values),
+    }
 
 
-def draw_value(p: Param, u: Column) -> Column:
-    """Value of a parameter as a string for a uniform number in [0, 1)."""
-    if p.kind == "cat":
-        return _pick(p.choices, u)
-    if p.kind == "float":
-        if p.log:
-            lo, hi = F.log(F.lit(float(p.low))), F.log(F.lit(float(p.high)))
-            return F.exp(lo + u * (hi - lo)).cast("string")
-        return (F.lit(float(p.low)) + u * F.lit(float(p.high) - float(p.low))).cast("string")
-    if p.log:
-        lo, hi = F.log(F.lit(p.low - 0.5)), F.log(F.lit(p.high + 0.5))
-        return F.floor(F.exp(lo + u * (hi - lo)) + 0.5).cast("int").cast("string")
-    return F.floor(F.lit(float(p.low)) + u * F.lit(float(p.high - p.low + 1))).cast("int").cast("string")
+def _node_literals(step: str, names: list[str]) -> Column:
+    """Constant array of (node, its parameters) for one step; one literal that Spark folds once."""
+    space = [{"node": n, "params": [_param_entry(p) for p in PARAMS if (p.step, p.node) == (step, n)]} for n in names]
+    return F.from_json(F.lit(json.dumps(space)), _SPACE_TYPE)
+
+
+def _at(options: Column, u: Column) -> Column:
+    return F.get(options, F.floor(u * F.size(options)).cast("int"))
+
+
+def draw_value(p: Column, u: Column) -> Column:
+    """Value of a parameter (a struct) as a string, for a uniform number in [0, 1)."""
+    spread = lambda lo, hi: F.exp(F.log(lo) + u * (F.log(hi) - F.log(lo)))
+    return (
+        F.when(p["kind"] == "cat", _at(p["choices"], u))
+        .when((p["kind"] == "float") & p["log"], spread(p["low"], p["high"]).cast("string"))
+        .when(p["kind"] == "float", (p["low"] + u * (p["high"] - p["low"])).cast("string"))
+        .when(p["log"], F.floor(spread(p["low"] - 0.5, p["high"] + 0.5) + 0.5).cast("int").cast("string"))
+        .otherwise(F.floor(p["low"] + u * (p["high"] - p["low"] + 1)).cast("int").cast("string"))
+    )
 
 
 def draw_config(seed: int, id_col: Column, preprocessors: list[str] | None = None, classifiers: list[str] | None = None) -> Column:
-    """One configuration per id: a node per step, then the active parameters of the chosen nodes."""
-    entries = []
+    """One configuration per id: a node per step, then the active parameters of the chosen nodes.
+
+    The space is a constant array per step, so the expression stays the same size however many
+    nodes and parameters there are, and only the parameters of the chosen node are drawn.
+    """
+
+    def entries_of(step: str, chosen: Column) -> Column:
+        head = F.array(F.struct(F.lit(f"{step}:__choice__").alias("key"), chosen["node"].alias("value")))
+        live = F.filter(
+            chosen["params"],
+            lambda p: p["parent"].isNull()
+            | F.array_contains(p["parent_values"], _at(p["parent_choices"], uniform_hash(F.lit(seed), id_col, p["parent"]))),
+        )
+        drawn = F.transform(live, lambda p: F.struct(p["key"].alias("key"), draw_value(p, uniform_hash(F.lit(seed), id_col, p["key"])).alias("value")))
+        return F.concat(head, drawn)
+
+    parts = []
     for step in STEP_NAMES:
-        names = nodes_of(step, preprocessors, classifiers)
-        node = _pick(names, uniform_hash(F.lit(seed), id_col, F.lit(step)))
-        entries.append(F.struct(F.lit(f"{step}:__choice__").alias("key"), node.alias("value")))
-        for p in PARAMS:
-            if p.step != step or p.node not in names:
-                continue
-            active = node == p.node
-            if p.parent is not None:
-                parent = next(q for q in PARAMS if (q.step, q.node, q.name) == (p.step, p.node, p.parent))
-                active = active & draw_value(parent, uniform_hash(F.lit(seed), id_col, F.lit(parent.key))).isin(*p.parent_values)
-            value = draw_value(p, uniform_hash(F.lit(seed), id_col, F.lit(p.key)))
-            entries.append(F.when(active, F.struct(F.lit(p.key).alias("key"), value.alias("value"))))
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+        literals = _node_literals(step, nodes_of(step, preprocessors, classifiers))
+        one = F.array(_at(literals, uniform_hash(F.lit(seed), id_col, F.lit(step))))
+        # going through a one-element array evaluates the choice once
+        parts.append(F.flatten(F.transform(one, partial(entries_of, step))))
+    return F.map_from_entries(F.concat(*parts))
 
 
 def draw_candidates(ids: DataFrame, id_col: str, seed: int = 1, preprocessors=None, classifiers=None) -> DataFrame:

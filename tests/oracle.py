@@ -43,16 +43,18 @@ def compare(spark, con, name, fn, sql, sf_dir) -> tuple[bool, str]:
     took = time.time() - started
     if sql is None:
         return True, f"rows={len(got)} {took:.1f}s (no SQL)"
+    started = time.time()
     res = con.execute(sql)
     names = [d[0] for d in res.description]
     rows = res.fetchall()
+    took_sql = time.time() - started
     if sorted(names) != cols:
         return False, f"columns {cols} vs {sorted(names)}"
     order = [names.index(c) for c in cols]
     want = [tuple(row[i] for i in order) for row in rows]
     a, b = _key(got), _key(want)
     if a == b:
-        return len(a) > 0, f"rows={len(a)} {took:.1f}s"
+        return len(a) > 0, f"rows={len(a)} {took:.1f}s sql {took_sql:.1f}s"
     diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
     return False, f"rows {len(a)} vs {len(b)}, types differ or values: {diff}"
 

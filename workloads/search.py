@@ -86,14 +86,21 @@ allowed AS (SELECT id FROM picked WHERE (pre, clf) NOT IN (SELECT (pre, clf) FRO
 """
 
 
+def _ids(spark, sf):
+    """Order keys, spread over the cores: a small file is one split but each key costs a full drawing."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).repartition(spark.sparkContext.defaultParallelism)
+
+
 def order_candidates(spark, sf):
-    return C.draw_candidates(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id", 1)
+    return C.draw_candidates(_ids(spark, sf), "id", 1)
 
 
 def entries(df, *keep):
     """(id, key, txt, num) rows of a configuration map: categorical text or a rounded number."""
     number = F.expr("try_cast(value AS double)")
-    return df.select(*keep, F.explode("config").alias("key", "value")).select(
+    # explode_outer: a plain explode adds a size filter that would evaluate the drawing twice
+    cells = df.select(*keep, F.explode_outer("config").alias("key", "value")).filter("key IS NOT NULL")
+    return cells.select(
         *keep, "key", F.when(number.isNull(), F.col("value")).alias("txt"), (F.round(number, 6) + 0.0).alias("num")
     )
 
@@ -186,10 +193,6 @@ mix AS (
 """
 
 
-def _ids(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-
-
 @query("two_step_batches", f"WITH {_BATCH_SQL} SELECT id, batch_id, {_ENTRY} FROM mix")
 def _(spark, sf):
     return entries(C.draw_batches(_ids(spark, sf), "id", 4), "id", "batch_id")
@@ -334,7 +337,7 @@ def _(spark, sf):
     "SELECT p.key, kind, parent IS NOT NULL AS conditional, coalesce(drawn, 0) AS drawn, mean FROM param p LEFT JOIN u USING (key)",
 )
 def _(spark, sf):
-    used = order_candidates(spark, sf).select(F.explode("config").alias("key", "value")).groupBy("key").agg(
+    used = order_candidates(spark, sf).select(F.explode_outer("config").alias("key", "value")).groupBy("key").agg(
         F.count(F.lit(1)).alias("drawn"), (F.round(F.avg(F.expr("try_cast(value AS double)")), 4) + 0.0).alias("mean")
     )
     space = params_table(spark).select(F.concat_ws(":", "step", "node", "param").alias("key"), "kind", F.col("parent").isNotNull().alias("conditional"))
