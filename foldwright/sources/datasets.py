@@ -18,9 +18,12 @@ SPLITS = ("train", "valid", "test")
 
 # ---------------------------------------------------------------- lines with their position
 
-def read_lines(spark: SparkSession, path: str | list[str], skip: Column | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], skip: Column | None = None, group: Column | None = None) -> DataFrame:
     """(file, row_id, value): text lines numbered from 0 per file in file order.
 
+    With ``group``, an expression over ``file``, the numbers go on over the files of a group in the
+    order of their names (the part files of one table).
+
     A file may be read as many splits.  Lines are counted per split, and a line's number is its
     place in the split plus the lines of the splits before it, so no file passes through one task.
     """
@@ -32,7 +35,7 @@ def read_lines(spark: SparkSession, path: str | list[str], skip: Column | None =
     tagged = raw.withColumn("_mid", F.monotonically_increasing_id())
     # one row per split: at most the table size over the split size
     splits = tagged.groupBy("file", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.col("file") if group is None else group).orderBy("file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return tagged.join(offsets, ["file", "_start"]).select(
         "file", (F.col("_mid") - F.col("_first") + F.col("_offset")).alias("row_id"), "value"
@@ -68,17 +71,17 @@ def parse_binary_sparse(value: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(_tokens(value), lambda t: t.cast("int") - 1)))
 
 
-def read_dense(spark: SparkSession, path, n: int) -> DataFrame:
+def read_dense(spark: SparkSession, path, n: int, group: Column | None = None) -> DataFrame:
     comment_or_blank = F.col("value").rlike("^%") | F.col("value").rlike(r"^\s*$")
-    return read_lines(spark, path, comment_or_blank).select("file", "row_id", parse_dense(F.col("value"), n).alias("features"))
+    return read_lines(spark, path, comment_or_blank, group).select("file", "row_id", parse_dense(F.col("value"), n).alias("features"))
 
 
-def read_sparse(spark: SparkSession, path) -> DataFrame:
-    return read_lines(spark, path).select("file", "row_id", parse_sparse(F.col("value")).alias("cells"))
+def read_sparse(spark: SparkSession, path, group: Column | None = None) -> DataFrame:
+    return read_lines(spark, path, group=group).select("file", "row_id", parse_sparse(F.col("value")).alias("cells"))
 
 
-def read_binary_sparse(spark: SparkSession, path) -> DataFrame:
-    return read_lines(spark, path).select("file", "row_id", parse_binary_sparse(F.col("value")).alias("active"))
+def read_binary_sparse(spark: SparkSession, path, group: Column | None = None) -> DataFrame:
+    return read_lines(spark, path, group=group).select("file", "row_id", parse_binary_sparse(F.col("value")).alias("active"))
 
 
 def densify(cells: Column | str, n: int) -> Column:
@@ -159,8 +162,8 @@ def parse_label(value: Column, task: str) -> Column:
     return parts[0].cast("double")
 
 
-def read_labels(spark: SparkSession, path, task: str) -> DataFrame:
-    return read_lines(spark, path, F.col("value").rlike(r"^\s*$")).select("file", "row_id", parse_label(F.col("value"), task).alias("label"))
+def read_labels(spark: SparkSession, path, task: str, group: Column | None = None) -> DataFrame:
+    return read_lines(spark, path, F.col("value").rlike(r"^\s*$"), group).select("file", "row_id", parse_label(F.col("value"), task).alias("label"))
 
 
 def load_dataset(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,18 +176,19 @@ def load_dataset(spark: SparkSession, folder: str) -> DataFrame:
     n, task = int(info["feat_num"]), info["info"]["task"]
     data = [f"{folder}/{name}_{s}.data" for s in SPLITS]
     labels = [f"{folder}/{name}_{s}.solution" for s in SPLITS]
+    split = lambda ext: F.regexp_extract("file", r"_(train|valid|test)\." + ext + "(/|$)", 1)
+    group = split("data")
     if info["is_sparse"] == 0:
-        x = read_dense(spark, data, n)
+        x = read_dense(spark, data, n, group)
     else:
         lines = read_lines(spark, data[0])
         kind = detect_format(lines, info["is_sparse"]).first()["format"]
         if kind == "sparse":
-            x = read_sparse(spark, data).select("file", "row_id", densify("cells", n).alias("features"))
+            x = read_sparse(spark, data, group).select("file", "row_id", densify("cells", n).alias("features"))
         elif kind == "sparse_binary":
-            x = read_binary_sparse(spark, data).select("file", "row_id", densify_binary("active", n).alias("features"))
+            x = read_binary_sparse(spark, data, group).select("file", "row_id", densify_binary("active", n).alias("features"))
         else:
-            x = read_dense(spark, data, n)
-    split = lambda ext: F.regexp_extract("file", r"_(train|valid|test)\." + ext + "(/|$)", 1)
+            x = read_dense(spark, data, n, group)
     x = x.select(split("data").alias("split"), "row_id", "features")
-    y = read_labels(spark, labels, task).select(split("solution").alias("split"), "row_id", "label")
+    y = read_labels(spark, labels, task, split("solution")).select(split("solution").alias("split"), "row_id", "label")
     return x.join(y, ["split", "row_id"])

@@ -29,17 +29,8 @@ def _(spark, sf):
     # comments and blank lines between the rows are skipped
     line = F.when(F.col("vec_id") % 100 == 0, F.concat(F.lit("% note\n\n"), _dense_line(F.col("embedding")))).otherwise(_dense_line(F.col("embedding")))
     _write_lines(df, "vec_id", line, path)
-    lines = D.read_lines(spark, path, F.col("value").rlike("^%") | F.col("value").rlike(r"^\s*$"))
-    return _positions(lines.select("file", "row_id", D.parse_dense(F.col("value"), 60).alias("features")))
-
-
-def _positions(rows):
-    """Continue the row numbers over the part files of one written table."""
-    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
-    before = D.Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(D.Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    numbered = rows.join(offsets, "file").withColumn("row_id", F.col("row_id") + F.col("_o"))
-    return numbered.select("row_id", F.posexplode("features").alias("pos", "x")).select("row_id", "pos", r(F.col("x").cast("double")).alias("value"))
+    rows = D.read_dense(spark, path, 60, group=F.lit("all"))
+    return rows.select("row_id", F.posexplode("features").alias("pos", "x")).select("row_id", "pos", r(F.col("x").cast("double")).alias("value"))
 
 
 _SPARSE_ITEMS = "s AS (SELECT o_orderkey, l_linenumber - 1 AS idx, max(l_quantity) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
