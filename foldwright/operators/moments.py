@@ -9,8 +9,12 @@ from foldwright.functions.exprs import doubles
 
 
 def long_form(df: DataFrame, keys: list[str], features: str = "features", value: str = "x") -> DataFrame:
-    """(keys..., pos, value) with one row per cell; meant to be aggregated in the same stage."""
-    return df.select(*keys, F.posexplode(doubles(features)).alias("pos", value))
+    """(keys..., pos, value) with one row per cell; meant to be aggregated in the same stage.
+
+    The outer form is used because a plain explode adds a size filter below it, which would
+    evaluate a computed feature array twice.
+    """
+    return df.select(*keys, F.posexplode_outer(doubles(features)).alias("pos", value)).filter("pos IS NOT NULL")
 
 
 def moments(df: DataFrame, keys: list[str], features: str = "features") -> DataFrame:

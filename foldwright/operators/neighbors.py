@@ -160,7 +160,8 @@ def nearest(
     more = (
         q.join(bound, "qid", "left")
         .withColumn("_f", map_matrix(reachable, F.concat("x", F.array(F.coalesce(limit, F.lit(float("inf")))))))
-        .select("qid", "x", F.explode(F.filter(F.transform("_f", lambda v, i: F.when(v > 0, F.get(numbers, i))), lambda c: c.isNotNull())).alias("cell"))
+        .select("qid", "x", F.explode_outer(F.array_compact(F.transform("_f", lambda v, i: F.when(v > 0, F.get(numbers, i))))).alias("cell"))
+        .filter("cell IS NOT NULL")
     )
     return _keep_best(first.unionByName(visit(more)), k)
 

@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from foldwright.session import broadcast_checked, materialize
 
 _PART = "_part"
+_GROUP = "_group"
+
+
+def _group_key(keys: list[str]) -> Column:
+    """The group as one struct: never NULL itself, so groups with NULL keys join like any other."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
 @dataclass(frozen=True)
@@ -65,36 +71,35 @@ def running(
     partitions: int | None = None,
 ) -> DataFrame:
     """Add running measures per group in the given order; exact for any group size."""
-    parts = df if _PART in df.columns else order_partitions(df, keys, order, partitions)
-    n_parts = parts.rdd.getNumPartitions() if partitions is None else partitions
+    kept = df.columns
+    ordered = order_partitions(df, keys, order, partitions)
+    n_parts = ordered.rdd.getNumPartitions() if partitions is None else partitions
+    parts = ordered.withColumn(_GROUP, _group_key(keys))
 
-    key_struct = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
     edges = (
         parts.groupBy(_PART)
-        .agg(F.min(key_struct).alias("lo"), F.max(key_struct).alias("hi"))
-        .select(_PART, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("edge"))
-        .select(_PART, *[F.col("edge")[k].alias(k) for k in keys])
+        .agg(F.min(_GROUP).alias("lo"), F.max(_GROUP).alias("hi"))
+        .select(_PART, F.explode(F.array_distinct(F.array("lo", "hi"))).alias(_GROUP))
     )
     totals = (
-        parts.join(broadcast_checked(edges, 2 * n_parts), [_PART, *keys], "left_semi")
-        .groupBy(_PART, *keys)
+        parts.join(broadcast_checked(edges, 2 * n_parts), [_PART, _GROUP], "left_semi")
+        .groupBy(_PART, _GROUP)
         .agg(*[_aggregate(m).alias(f"_t_{m.name}") for m in measures])
     )
     # rows here: at most two per partition
-    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(_GROUP).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
-        _PART, *keys, *[_MERGE[m.kind](f"_t_{m.name}").over(before).alias(f"_c_{m.name}") for m in measures]
+        _PART, _GROUP, *[_MERGE[m.kind](f"_t_{m.name}").over(before).alias(f"_c_{m.name}") for m in measures]
     )
 
-    local = Window.partitionBy(_PART, *keys).orderBy(*order)
+    local = Window.partitionBy(_PART, _GROUP).orderBy(*order)
     values = []
     for m in measures:
         frame = local.rowsBetween(Window.unboundedPreceding, -1 if m.exclusive else Window.currentRow)
         values.append(_aggregate(m).over(frame).alias(f"_l_{m.name}"))
-    kept = [c for c in parts.columns if c != _PART]
     return (
         parts.select("*", *values)
-        .join(broadcast_checked(carries, 2 * n_parts), [_PART, *keys], "left")
+        .join(broadcast_checked(carries, 2 * n_parts), [_PART, _GROUP], "left")
         .select(*kept, *[_combine(m, F.col(f"_c_{m.name}"), F.col(f"_l_{m.name}")).alias(m.name) for m in measures])
     )
 
@@ -107,14 +112,14 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, name: str = "rank", s
     ``row_number() over (partition by keys order by md5(id), id)``.
     """
     h = F.md5(F.concat(F.lit(salt), F.col(id_col).cast("string")) if salt else F.col(id_col).cast("string"))
-    pieces = df.withColumn("_h", h).withColumn("_piece", F.substring("_h", 1, 3))
-    sizes = df.select(*keys, F.substring(h, 1, 3).alias("_piece")).groupBy(*keys, "_piece").count()
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_piece").orderBy("_h", id_col)
+    kept = df.columns
+    pieces = df.withColumns({_GROUP: _group_key(keys), "_h": h}).withColumn("_piece", F.substring("_h", 1, 3))
+    sizes = df.select(_group_key(keys).alias(_GROUP), F.substring(h, 1, 3).alias("_piece")).groupBy(_GROUP, "_piece").count()
+    before = Window.partitionBy(_GROUP).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_GROUP, "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(_GROUP, "_piece").orderBy("_h", id_col)
     return (
         pieces.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_piece"])
-        .withColumn(name, F.col("_rn") + F.col("_offset"))
-        .drop("_h", "_piece", "_rn", "_offset")
+        .join(offsets, [_GROUP, "_piece"])
+        .select(*kept, (F.col("_rn") + F.col("_offset")).alias(name))
     )

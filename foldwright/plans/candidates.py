@@ -82,9 +82,18 @@ def draw_config(seed: int, id_col: Column, preprocessors: list[str] | None = Non
     return F.map_from_entries(F.concat(*parts))
 
 
+def _once(rows: DataFrame, config: Column) -> DataFrame:
+    """Add the drawn configuration behind a generator.
+
+    Filters and projections on a plain column are merged into its expression, which would draw the
+    configuration once per use; nothing is pushed through an outer generator.
+    """
+    return rows.select("*", F.explode_outer(F.array(config)).alias("config"))
+
+
 def draw_candidates(ids: DataFrame, id_col: str, seed: int = 1, preprocessors=None, classifiers=None) -> DataFrame:
     """(id, config, config_id) for every id of a table; forbidden configurations are still included."""
-    out = ids.select(id_col, draw_config(seed, F.col(id_col), preprocessors, classifiers).alias("config"))
+    out = _once(ids.select(id_col), draw_config(seed, F.col(id_col), preprocessors, classifiers))
     return out.withColumn("config_id", config_key("config"))
 
 
@@ -110,7 +119,7 @@ def draw_batches(
         rows = rows.filter(F.col("position") < size)
     fixed = project_step(draw_config(seed, start), constant or CONSTANT_STEPS)
     own = project_step(draw_config(seed, F.col(id_col)), variable or VARIABLE_STEPS)
-    return rows.withColumn("config", F.map_concat(fixed, own)).withColumn("config_id", config_key("config"))
+    return _once(rows, F.map_concat(fixed, own)).withColumn("config_id", config_key("config"))
 
 
 def recombine(starts: DataFrame, others: DataFrame, batch_id: str, constant: list[str] | None = None, variable: list[str] | None = None) -> DataFrame:

@@ -42,6 +42,14 @@ def test_running_without_key(skewed):
     assert out["n"].tolist() == list(range(1, len(pdf) + 1))
 
 
+def test_groups_with_missing_keys_stay_whole(spark):
+    df = spark.range(900).withColumn("key", F.when(F.col("id") % 3 > 0, F.lit(1)))
+    out = running(df, ["key"], ["id"], [Running("n", "count")], partitions=6).toPandas()
+    assert sorted(out[out["key"].isna()]["n"]) == list(range(1, 301)) and sorted(out[out["key"] == 1]["n"]) == list(range(1, 601))
+    ranks = hash_rank(df, ["key"], "id").toPandas()
+    assert sorted(ranks[ranks["key"].isna()]["rank"]) == list(range(1, 301))
+
+
 def test_hash_rank_and_folds(skewed):
     pdf, df = skewed
     ranks = hash_rank(df, ["key"], "id").toPandas()
@@ -77,4 +85,3 @@ def test_median_of_many_groups(spark):
     pdf = pd.DataFrame({"k": rng.integers(0, 9, 4000), "x": rng.integers(0, 50, 4000).astype(float)})
     got = {r["k"]: r["median"] for r in exact_median(spark.createDataFrame(pdf), ["k"], "x").collect()}
     assert got == pdf.groupby("k")["x"].median().to_dict()
-    assert F is not None

@@ -47,12 +47,12 @@ cells AS (SELECT vec_id AS row_id, label, unnest(range(0, len(embedding))) AS po
 
 def long_out(df, name="value", digits=6):
     """(row_id, pos, value) of a feature array, to compare cell by cell."""
-    return df.select("row_id", F.posexplode("features").alias("pos", "_x")).select("row_id", "pos", r("_x", digits).alias(name))
+    return df.select("row_id", F.posexplode_outer("features").alias("pos", "_x")).select("row_id", "pos", r("_x", digits).alias(name))
 
 
 def column_checksum(df, digits=4):
     """Per output column: count, mean, and extremes over all rows."""
-    return df.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(
+    return df.select(F.posexplode_outer("features").alias("pos", "x")).groupBy("pos").agg(
         F.count("x").alias("n"), r(F.avg("x"), digits).alias("mean"), r(F.min("x"), digits).alias("lo"), r(F.max("x"), digits).alias("hi")
     )
 
@@ -382,7 +382,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = vectors(spark, sf)
     out = PCA(n_components=5, whiten=True).fit(df).transform(df)
-    cells = out.select(F.posexplode("features").alias("pos", "x"))
+    cells = out.select(F.posexplode_outer("features").alias("pos", "x"))
     return cells.groupBy("pos").agg(r(F.var_samp("x"), 5).alias("variance"), r(F.avg("x"), 5).alias("mean"))
 
 
@@ -506,4 +506,4 @@ def _(spark, sf):
 def _(spark, sf):
     df = vectors(spark, sf).persist()
     out = RandomTreesEmbedding(n_estimators=10, max_depth=3).fit(df).transform(df)
-    return out.select("row_id", F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("row_id", F.explode_outer("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
