@@ -147,19 +147,19 @@ def _(spark, sf):
     return L.worth_keeping(stages).select("event_id", "stamp", "hit")
 
 
-@query("mean_cost", f"WITH {_NUMBERED} SELECT k AS config, round(avg(cost), 6) AS mean_cost, count(*) AS runs FROM e GROUP BY k")
+@query("mean_cost", f"WITH {_NUMBERED} SELECT k AS config, round(avg(cost), 9) AS mean_cost, count(*) AS runs FROM e GROUP BY k")
 def _(spark, sf):
-    return L.mean_cost(run_log(spark, sf).withColumnRenamed("k", "config"), "config").withColumn("mean_cost", F.round("mean_cost", 6))
+    return L.mean_cost(run_log(spark, sf).withColumnRenamed("k", "config"), "config").withColumn("mean_cost", F.round("mean_cost", 9))
 
 
 @query(
     "best_config",
     f"""WITH {_NUMBERED}, m AS (SELECT stamp, k AS config, avg(cost) AS c FROM e GROUP BY stamp, k)
-SELECT stamp, config, round(c, 6) AS mean_cost FROM m QUALIFY row_number() OVER (PARTITION BY stamp ORDER BY c, config) = 1""",
+SELECT stamp, config, round(c, 9) AS mean_cost FROM m QUALIFY row_number() OVER (PARTITION BY stamp ORDER BY c, config) = 1""",
 )
 def _(spark, sf):
     out = L.best_config(run_log(spark, sf).withColumnRenamed("k", "config"), "config", ["stamp"])
-    return out.withColumn("mean_cost", F.round("mean_cost", 6))
+    return out.withColumn("mean_cost", F.round("mean_cost", 9))
 
 
 @query(
@@ -179,18 +179,18 @@ _PASSES = ["uncached_1", "uncached_2", "cold", "warm"]
     "timing_passes",
     f"""WITH {_NUMBERED}, t AS (SELECT step, k % 7 AS config, ['uncached_1', 'uncached_2', 'cold', 'warm'][(k // 25) + 1] AS p, cost FROM e),
 a AS (SELECT step, config, avg(cost) FILTER (p = 'uncached_1') AS u1, avg(cost) FILTER (p = 'uncached_2') AS u2, avg(cost) FILTER (p = 'cold') AS c, avg(cost) FILTER (p = 'warm') AS w FROM t GROUP BY step, config)
-SELECT step, config, round(u1, 4) AS uncached_1, round(u2, 4) AS uncached_2, round(c, 4) AS cold, round(w, 4) AS warm, round(u1 / w, 4) AS speedup FROM a""",
+SELECT step, config, round(u1, 9) AS uncached_1, round(u2, 9) AS uncached_2, round(c, 9) AS cold, round(w, 9) AS warm, round(u1 / w, 9) AS speedup FROM a""",
 )
 def _(spark, sf):
     names = F.array(*[F.lit(p) for p in _PASSES])
     log = run_log(spark, sf).select("step", (F.col("k") % 7).alias("config"), F.get(names, F.floor(F.col("k") / 25).cast("int")).alias("p"), F.col("cost").alias("runtime"))
     out = L.compare_passes(log, ["step", "config"], "p", _PASSES)
-    return out.select("step", "config", *[F.round(c, 4).alias(c) for c in [*_PASSES, "speedup"]])
+    return out.select("step", "config", *[F.round(c, 9).alias(c) for c in [*_PASSES, "speedup"]])
 
 
-@query("repeat_means", f"WITH {_NUMBERED} SELECT step, round(avg(cost), 6) AS mean, count(cost) AS repeats FROM e GROUP BY step")
+@query("repeat_means", f"WITH {_NUMBERED} SELECT step, round(avg(cost), 9) AS mean, count(cost) AS repeats FROM e GROUP BY step")
 def _(spark, sf):
-    return L.repeat_means(run_log(spark, sf), ["step"], "cost").withColumn("mean", F.round("mean", 6))
+    return L.repeat_means(run_log(spark, sf), ["step"], "cost").withColumn("mean", F.round("mean", 9))
 
 
 @query(
@@ -210,13 +210,13 @@ def _(spark, sf):
     "trajectory_with_test_scores",
     f"""WITH {_NUMBERED}, b AS (SELECT *, min(cost) OVER (PARTITION BY stamp ORDER BY eval ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e),
 i AS (SELECT * FROM b WHERE best IS NULL OR cost < best), t AS (SELECT k, avg(cost) AS s FROM e WHERE k < 60 GROUP BY k)
-SELECT event_id, stamp, k AS config, round(s, 6) AS test_performance FROM i LEFT JOIN t USING (k)""",
+SELECT event_id, stamp, k AS config, round(s, 9) AS test_performance FROM i LEFT JOIN t USING (k)""",
 )
 def _(spark, sf):
     log = run_log(spark, sf).withColumnRenamed("k", "config")
     scores = log.filter("config < 60").groupBy("config").agg(F.avg("cost").alias("test_error"))
     out = L.attach_test_scores(L.incumbents(log, ["stamp"], ORDER), scores, "config")
-    return out.select("event_id", "stamp", "config", F.round("test_performance", 6).alias("test_performance"))
+    return out.select("event_id", "stamp", "config", F.round("test_performance", 9).alias("test_performance"))
 
 
 @query(
