@@ -7,11 +7,11 @@ import __spark_entry__ as entry_module
 
 QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
 
-# balanced accuracy that guessing among ten (or two) classes does not reach
+# held-out balanced accuracy; guessing gives 1/3 (1/2 for the two-class queries)
 FLOORS = {
-    "lda_bac": 0.3, "lda_shrunk_bac": 0.3, "qda_bac": 0.2, "decision_tree_bac": 0.12, "random_forest_bac": 0.2, "extra_trees_bac": 0.2,
-    "adaboost_bac": 0.12, "adaboost_samme_bac": 0.12, "linear_svm_bac": 0.25, "kernel_svm_bac": 0.2, "sgd_bac": 0.25, "sgd_hinge_bac": 0.25,
-    "passive_aggressive_bac": 0.2, "gradient_boosting_bac": 0.4, "multilabel_one_vs_rest": 0.4,
+    "lda_bac": 0.6, "lda_shrunk_bac": 0.6, "qda_bac": 0.4, "decision_tree_bac": 0.5, "random_forest_bac": 0.5, "extra_trees_bac": 0.5,
+    "adaboost_bac": 0.5, "adaboost_samme_bac": 0.5, "linear_svm_bac": 0.6, "kernel_svm_bac": 0.4, "sgd_bac": 0.6, "sgd_hinge_bac": 0.6,
+    "passive_aggressive_bac": 0.5, "gradient_boosting_bac": 0.7, "multilabel_one_vs_rest": 0.45,
 }
 
 
@@ -32,4 +32,4 @@ def test_learns_something(spark, sf_dir, name):
 
 def test_entry(spark):
     rows = entry_module.entry(spark).collect()
-    assert len(rows) == 5 and all(0 < r["cost"] < 0.9 for r in rows)
+    assert len(rows) == 5 and all(0 < r["cost"] < 1 for r in rows)
