@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,29 @@ def build_session(app: str = "foldwright", master: str | None = None, **conf: st
     settings.update(conf)
     for key, value in settings.items():
         b = b.config(key, value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application."""
+    sc = spark.sparkContext
+    if _shipped.get("to") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="foldwright-package-"), "foldwright.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    _shipped["to"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
