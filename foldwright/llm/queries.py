@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.common import read
 from foldwright.llm.exact_dedup import exact_dedup
+from foldwright.llm.language_id import language_of_documents
 from foldwright.llm.mixing import mix_sources
+from foldwright.llm.piece_codec import round_trip
+from foldwright.llm.token_files import token_summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +44,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mix_sources")
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+@query("op1_merge_dropout")
+def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_language_mixture")
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op7_orc_tokens")
+def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_summary(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
