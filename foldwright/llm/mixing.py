@@ -4,7 +4,7 @@ Among all document rates r with 0 <= r <= LIMIT whose words meet the target of e
 relative entropy to one copy each.  Their dual is convex with one multiplier per source, and the rates are the exponential tilt
 r = min(LIMIT, exp(lambda * size / mean size)).  Newton steps with a bracket solve it; each step sums gradient and curvature
 over a (source, size) histogram with one job.  Rates become whole copies by carrying the rounding error in words from document
-to document, large ones first, in bounded pieces of a source.
+to document, large ones first, in bounded pieces of a source; what is left over turns single documents over.
 """
 
 from __future__ import annotations
@@ -112,6 +112,15 @@ def carry_rounding(piece: pa.Table) -> pa.Table:
             if 2 * error >= s:
                 copies[i] += 1
                 error -= s
+    open_rates = rates > np.floor(rates + 1e-9)
+    while True:  # turn single documents over while that brings the piece nearer to its words
+        up = np.where(open_rates & (copies <= rates), np.abs(error - sizes), np.inf)
+        down = np.where(open_rates & (copies > rates), np.abs(error + sizes), np.inf)
+        i, step = (int(up.argmin()), 1) if up.min(initial=np.inf) <= down.min(initial=np.inf) else (int(down.argmin()), -1)
+        if not len(sizes) or min(up[i], down[i]) >= abs(error):
+            break
+        copies[i] += step
+        error -= step * int(sizes[i])
     return piece.drop_columns(["piece"]).append_column("copies", pa.array(copies))
 
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.common import read
+from foldwright.llm.embedding_dedup import embedding_dedup
 from foldwright.llm.exact_dedup import exact_dedup
 from foldwright.llm.language_id import language_of_documents
 from foldwright.llm.mixing import mix_sources
@@ -59,3 +60,21 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_orc_tokens")
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_summary(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op10_vector_duplicates",
+    """
+    WITH RECURSIVE
+    v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_bool_and([coalesce(isfinite(x), false) FOR x IN e]) AND list_bool_or([x <> 0 FOR x IN e])),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+    degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM v JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)
+    """,
+)
+def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
