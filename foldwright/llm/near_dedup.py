@@ -51,6 +51,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(steps[0]), np.cumprod(steps[1])
 
 
+@cache
+def _word_factors() -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text."""
     parts = [t.encode() for t in texts]
@@ -66,8 +71,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     place = np.searchsorted(starts, begins)
     grams = np.zeros(max(0, len(words) - WORDS + 1), dtype=np.uint64)
-    for k in range(WORDS):
-        grams += words[k : k + len(grams)] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64)
+    for k, factor in enumerate(_word_factors()):
+        grams += words[k : k + len(grams)] * factor
     grams = _mix(grams)
     out = []
     for i in range(len(texts)):
