@@ -16,6 +16,7 @@ from foldwright.llm.mixing import mix_sources
 from foldwright.llm.near_dedup import near_dedup
 from foldwright.llm.piece_codec import round_trip
 from foldwright.llm.token_files import token_summary
+from foldwright.llm.toxicity import toxicity_of_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +104,8 @@ def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity_channel")
+def op5_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_of_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
