@@ -15,6 +15,7 @@ from foldwright.llm.language_id import language_of_documents
 from foldwright.llm.mixing import mix_sources
 from foldwright.llm.near_dedup import near_dedup
 from foldwright.llm.piece_codec import round_trip
+from foldwright.llm.repeated_spans import remove_repeats
 from foldwright.llm.token_files import token_summary
 from foldwright.llm.toxicity import toxicity_of_documents
 
@@ -109,3 +110,25 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity_channel")
 def op5_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_of_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op9_repeated_spans",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+    m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+    g AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.least < w.doc_id),
+    r AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) > 50 AS fresh FROM g),
+    q AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+    s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM q GROUP BY doc_id, run),
+    k AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS from_ FROM s),
+    t AS (SELECT d.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+                 string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY run) || substr(max(x), 2 * max(b) + 1) AS kept
+          FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY d.doc_id)
+    SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+    FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+    """,
+)
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
