@@ -116,7 +116,8 @@ def op5_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op9_repeated_spans",
     """
     WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-    w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+    c AS (SELECT doc_id, n, j, substr(x, 1024 * j + 1, 1122) AS y FROM (SELECT doc_id, x, n, unnest(range(0, (n + 462) // 512)) AS j FROM d WHERE n >= 50)),
+    w AS (SELECT doc_id, 512 * j + k AS i, substr(y, 2 * k + 1, 100) AS s FROM (SELECT doc_id, j, y, unnest(range(0, least(512, n - 49 - 512 * j))) AS k FROM c)),
     m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
     g AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.least < w.doc_id),
     r AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) > 50 AS fresh FROM g),
