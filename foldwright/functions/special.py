@@ -27,13 +27,28 @@ def chi2_tail(x: float, df: int) -> float:
     return math.erfc(math.sqrt(half)) + math.exp(-half) * total
 
 
+def _stirling(x: float) -> float:
+    """log Gamma(x) less (x - 1/2) log x - x + log(2 pi) / 2, for x >= 10."""
+    y = 1.0 / (x * x)
+    return (1.0 / 12.0 - y * (1.0 / 360.0 - y * (1.0 / 1260.0 - y / 1680.0))) / x
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(Gamma(a + b) / (Gamma(a) Gamma(b))) without the cancellation of large logarithms."""
+    small, large = min(a, b), max(a, b)
+    if large < 10.0:
+        return math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    growth = small * math.log(small + large) + (large - 0.5) * math.log1p(small / large) - small + _stirling(small + large) - _stirling(large)
+    return growth - math.lgamma(small)
+
+
 def beta_regularized(a: float, b: float, x: float) -> float:
     """I_x(a, b) by the continued fraction in its even/odd contraction."""
     if x <= 0.0 or x >= 1.0:
         return float(x >= 1.0)
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - beta_regularized(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    front = math.exp(_log_gamma_ratio(a, b) + a * math.log(x) + b * math.log1p(-x)) / a
     # evaluate 1/(1+ d1/(1+ d2/(1+ ...))) backwards from a depth that grows with sqrt(a, b)
     tail = 1.0
     for m in range(100 + int(10 * math.sqrt(max(a, b))), 0, -1):
@@ -49,8 +64,6 @@ def beta_regularized(a: float, b: float, x: float) -> float:
 def f_tail(x: float, d1: float, d2: float) -> float:
     if not x > 0:
         return 1.0
-    if d2 > 1e6:  # d1 * F tends to chi-squared; the error is of order 1/d2
-        return chi2_tail(d1 * x, int(d1))
     return beta_regularized(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * x))
 
 

@@ -18,7 +18,7 @@ def long_form(df: DataFrame, keys: list[str], features: str = "features", value:
 
 
 def moments(df: DataFrame, keys: list[str], features: str = "features") -> DataFrame:
-    """n, sum and sum of squares per (keys, column).
+    """n, sum s and sum of squared deviations from the mean m2 per (keys, column).
 
     The cells are pre-aggregated inside each task, so the shuffle carries groups x columns rows
     per task, whatever the number of rows and however skewed the groups are.
@@ -26,10 +26,33 @@ def moments(df: DataFrame, keys: list[str], features: str = "features") -> DataF
     return (
         long_form(df, keys, features)
         .groupBy(*keys, "pos")
-        .agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+        .agg(F.count("x").alias("n"), F.sum("x").alias("s"), squared_deviations("x").alias("m2"))
     )
 
 
+def squared_deviations(value: str) -> Column:
+    """Sum of squared deviations from the mean, merged pairwise: large means do not cancel it away."""
+    return F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0))
+
+
+def merged(parts: Column) -> Column:
+    """(n, s, m2) of the union of disjoint parts, given as an array of such structs."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("m2"))
+    sums = F.aggregate(parts, zero, lambda a, p: F.struct((a["n"] + p["n"]).alias("n"), (a["s"] + p["s"]).alias("s"), (a["m2"] + p["m2"]).alias("m2")))
+    between = F.aggregate(
+        parts, F.lit(0.0), lambda a, p: a + F.when(p["n"] > 0, p["n"] * (p["s"] / p["n"] - sums["s"] / sums["n"]) * (p["s"] / p["n"] - sums["s"] / sums["n"])).otherwise(0.0)
+    )
+    return F.struct(sums["n"].alias("n"), sums["s"].alias("s"), (sums["m2"] + between).alias("m2"))
+
+
+def held_out_moments(stats: DataFrame, k: int, keys: list[str], fold: str = "fold") -> DataFrame:
+    """Moments of every fold's training rows from one pass: the other folds' (n, s, m2), merged without subtraction."""
+    parts = stats.groupBy(*keys).agg(F.collect_list(F.struct(F.col(fold).cast("int").alias("fold"), "n", "s", "m2")).alias("_parts"))
+    grid = parts.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rest = F.filter("_parts", lambda p: p["fold"] != F.col(fold))
+    return grid.select(fold, *keys, merged(rest).alias("_m")).select(fold, *keys, "_m.*")
+
+
 def held_out_complement(stats: DataFrame, k: int, keys: list[str], measures: list[str], fold: str = "fold") -> DataFrame:
     """Training statistics of every fold from one pass: the total minus the fold's own part.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foldwright.functions.arrow import map_matrix, map_matrix_by
 from foldwright.functions.constants import GAUSSIAN_EPSILON
 from foldwright.functions.exprs import argmax_index, clip_nonnegative, doubles
-from foldwright.operators.moments import held_out_complement, long_form, moments
+from foldwright.operators.moments import held_out_complement, held_out_moments, long_form, moments
 from foldwright.session import collect_bounded
 
 MAX_PARAMETERS = 20_000_000
@@ -43,22 +43,21 @@ def gaussian_stats(
     keys = [fold] if fold else []
     stats = moments(df, [*keys, label], features)
     if fold:
-        stats = held_out_complement(stats, k, [label, "pos"], ["n", "s", "ss"], fold)
+        stats = held_out_moments(stats, k, [label, "pos"], fold)
     return gaussian_from_sums(stats, keys, label, standardize)
 
 
 def gaussian_from_sums(stats: DataFrame, keys: list[str], label: str, standardize: bool = False) -> DataFrame:
     mean = F.col("s") / F.col("n")
-    var = F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))
+    var = F.col("m2") / F.col("n")
     if not standardize:
         return stats.select(
             *keys, label, "pos", "n", mean.alias("mean"), (var + GAUSSIAN_EPSILON).alias("var"), F.lit(0.0).alias("mu"), F.lit(1.0).alias("sd")
         )
-    overall = stats.groupBy(*keys, "pos").agg(
-        (F.sum("s") / F.sum("n")).alias("mu"), (F.sum("ss") / F.sum("n")).alias("_sq")
-    )
-    sd = F.sqrt(F.greatest(F.col("_sq") - F.col("mu") * F.col("mu"), F.lit(0.0)))
-    scale = overall.select(*keys, "pos", "mu", F.when(sd == 0, 1.0).otherwise(sd).alias("sd"))
+    centre = stats.groupBy(*keys, "pos").agg((F.sum("s") / F.sum("n")).alias("mu"))
+    spread = F.sum(F.col("m2") + F.when(F.col("n") > 0, F.col("n") * (mean - F.col("mu")) * (mean - F.col("mu"))).otherwise(0.0))
+    overall = stats.join(centre, [*keys, "pos"]).groupBy(*keys, "pos", "mu").agg(F.sqrt(spread / F.sum("n")).alias("sd"))
+    scale = overall.select(*keys, "pos", "mu", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")).alias("sd"))
     return stats.join(scale, [*keys, "pos"]).select(
         *keys, label, "pos", "n",
         ((mean - F.col("mu")) / F.col("sd")).alias("mean"),

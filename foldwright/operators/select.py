@@ -33,17 +33,16 @@ def chi2_scores(df: DataFrame, label: str = "label", features: str = "features")
 def f_scores(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """(pos, score, pvalue): between-class over within-class mean square."""
     stats = moments(df, [label], features)
-    column = stats.groupBy("pos").agg(
-        F.sum("s").alias("_s"),
-        F.sum("ss").alias("_ss"),
+    centre = stats.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("_mean"))
+    off = F.col("s") / F.col("n") - F.col("_mean")
+    column = stats.join(centre, "pos").groupBy("pos").agg(
+        F.sum("m2").alias("_within"),
+        F.sum(F.col("n") * off * off).alias("_between"),
         F.sum("n").alias("_n"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("_between"),
         F.count(F.lit(1)).alias("_k"),
     )
     d1, d2 = F.col("_k") - 1, F.col("_n") - F.col("_k")
-    within = F.col("_ss") - F.col("_between")
-    between = F.col("_between") - F.col("_s") * F.col("_s") / F.col("_n")
-    score = F.when(within > 0, (between / d1) / (within / d2))
+    score = F.when(F.col("_within") > 0, (F.col("_between") / d1) / (F.col("_within") / d2))
     s = F.coalesce(score, F.lit(float("nan")))
     return column.select("pos", score.alias("score"), f_pvalue(s, d1.cast("double"), d2.cast("double")).alias("pvalue"))
 

@@ -64,7 +64,7 @@ def standard_params(df: DataFrame, features: str = "features") -> DataFrame:
     """(pos, mean, sd) with the population deviation; a constant column has sd 1."""
     m = moments(df, [], features)
     mean = F.col("s") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
+    sd = F.sqrt(F.col("m2") / F.col("n"))
     return m.select("pos", mean.alias("mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("sd"))
 
 

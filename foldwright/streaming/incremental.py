@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from foldwright.operators.moments import long_form
+from foldwright.operators.moments import long_form, squared_deviations
 from foldwright.session import scratch_path
 
 
@@ -45,11 +45,11 @@ def run_available(aggregate: DataFrame, name: str, out: str | None = None, state
 
 
 def streaming_moments(rows: DataFrame, label: str, features: str) -> DataFrame:
-    """n, sum and sum of squares per (class, column); the same numbers as the batch moments."""
+    """n, sum and squared deviations per (class, column); the same numbers as the batch moments."""
     return (
         long_form(rows, [label], features)
         .groupBy(label, "pos")
-        .agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+        .agg(F.count("x").alias("n"), F.sum("x").alias("s"), squared_deviations("x").alias("m2"))
     )
 
 

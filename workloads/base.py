@@ -50,6 +50,21 @@ def item_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shifted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, features, label): line items with a large mean and a spread of about one."""
+    items = item_matrix(spark, sf_dir)
+    line = F.col("row_id") % 10
+    far = F.array((line % 3 + F.col("label") * 2 + 1_700_000_000).cast("double"), (line * 0.25 + 1_700_000_000).cast("double"))
+    return items.withColumn("features", far)
+
+
+SHIFTED_CELLS = """
+item AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, l_linenumber AS line FROM lineitem),
+cells AS (SELECT row_id, label, unnest([0, 1]) AS pos,
+                 unnest([CAST(line % 3 + label * 2 + 1700000000 AS DOUBLE), CAST(line AS DOUBLE) * 0.25 + 1700000000]) AS x FROM item)
+"""
+
+
 def r(c, digits: int = 6):
     """Rounded double; adding zero turns -0.0 into 0.0."""
     c = F.col(c) if isinstance(c, str) else c

@@ -30,7 +30,7 @@ from foldwright.operators.select import (
 from foldwright.operators.steps import Identity
 from foldwright.operators.tabular import Imputer, MinMaxScaler, RowNormalizer, StandardScaler, impute_columns, scale_columns
 from foldwright.operators.trees import RandomTreesEmbedding
-from workloads.base import item_matrix, query, r, table, vectors
+from workloads.base import SHIFTED_CELLS, item_matrix, query, r, shifted_items, table, vectors
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -204,6 +204,16 @@ def _(spark, sf):
     return long_out(StandardScaler().fit(df).transform(df))
 
 
+@query(
+    "standard_scaler_large_mean",
+    f"""WITH {SHIFTED_CELLS}, p AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM cells GROUP BY pos)
+SELECT row_id, pos, round((x - m) / s, 4) + 0 AS value FROM cells JOIN p USING (pos)""",
+)
+def _(spark, sf):
+    df = shifted_items(spark, sf)
+    return long_out(StandardScaler().fit(df).transform(df)).withColumn("value", r("value", 4))
+
+
 @query(
     "standard_scaler_columns",
     """WITH p AS (SELECT avg(l_quantity) a, stddev_pop(l_quantity) b, avg(l_tax) c, stddev_pop(l_tax) d FROM lineitem)
@@ -342,11 +352,29 @@ def _(spark, sf):
     return by_rate(chi2_scores(item_matrix(spark, sf)), 0.5, "fdr").select("pos", r("pvalue").alias("pvalue"))
 
 
-@query("f_pvalues")
+@query(
+    "f_pvalues",
+    f"""WITH {ITEM_CELLS}, {F_SQL.replace("AS score FROM tot", "AS score, n - k AS d2 FROM tot")}
+SELECT pos, round(score, 6) AS score, round(exp(-d2 / 2.0 * ln(1 + 2 * score / d2)), 6) + 0 AS pvalue FROM fs""",
+)
 def _(spark, sf):
     return f_scores(item_matrix(spark, sf)).select("pos", F.round("score", 6).alias("score"), r("pvalue").alias("pvalue"))
 
 
+@query(
+    "f_scores_large_mean",
+    f"""WITH {SHIFTED_CELLS},
+obs AS (SELECT label, pos, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM cells GROUP BY label, pos),
+tot AS (SELECT pos, avg(x) AS m, count(*) AS n FROM cells GROUP BY pos)
+SELECT obs.pos, round(sum(obs.n * (obs.m - tot.m) * (obs.m - tot.m)) / 2 / (sum(obs.n * v) / (any_value(tot.n) - 3)) / any_value(tot.n), 4) + 0 AS score_per_row
+FROM obs JOIN tot USING (pos) GROUP BY obs.pos""",
+)
+def _(spark, sf):
+    df = shifted_items(spark, sf)
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    return f_scores(df).withColumn("n", rows).select("pos", r(F.col("score") / F.col("n"), 4).alias("score_per_row"))
+
+
 @query("tree_importance_select")
 def _(spark, sf):
     df = vectors(spark, sf).persist()

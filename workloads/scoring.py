@@ -19,7 +19,7 @@ from foldwright.operators.discriminant import LDA, QDA, within_covariance
 from foldwright.operators.linear import SGD, KernelSVM, LinearSVM, OneVsRestMultilabel, PassiveAggressive, pair_votes
 from foldwright.operators.neighbors import KNeighbors, nearest, vote
 from foldwright.operators.trees import AdaBoost, DecisionTree, ExtraTrees, GradientBoosting, RandomForest, samme_round
-from workloads.base import item_matrix, query, r, table, vectors
+from workloads.base import SHIFTED_CELLS, item_matrix, query, r, shifted_items, table, vectors
 from workloads.preparation import ITEM_CELLS, VEC_CELLS
 
 FOLDS_SQL = """
@@ -275,6 +275,17 @@ def _(spark, sf):
     return gaussian_stats(vectors(spark, sf), "label", "features").select("label", "pos", "n", r("mean").alias("mean"), F.round("var", 6).alias("var"))
 
 
+@query(
+    "gaussian_moments_large_mean",
+    f"""WITH {SHIFTED_CELLS}, c AS (SELECT pos, avg(x) AS mu, stddev_pop(x) AS sd FROM cells GROUP BY pos)
+SELECT label, pos, count(*) AS n, round((avg(x) - any_value(mu)) / any_value(sd), 4) + 0 AS mean, round(var_pop(x) / any_value(sd * sd), 5) AS var
+FROM cells JOIN c USING (pos) GROUP BY label, pos""",
+)
+def _(spark, sf):
+    stats = gaussian_stats(shifted_items(spark, sf), "label", "features", standardize=True)
+    return stats.select("label", "pos", "n", r("mean", 4).alias("mean"), F.round("var", 5).alias("var"))
+
+
 @query(
     "gaussian_predictions",
     f"""WITH {VEC_CELLS}, nb AS (SELECT label AS c, pos, avg(x) AS mean, var_pop(x) + 1e-9 AS var FROM cells GROUP BY label, pos),
@@ -332,7 +343,7 @@ def _(spark, sf):
 
 
 TOKENS_SQL = r"""
-docs AS (SELECT doc_id, quality AS label, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS words FROM documents JOIN labels USING (doc_id)),
+docs AS (SELECT doc_id, quality AS label, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: w <> '') AS words FROM documents JOIN labels USING (doc_id)),
 toks AS (SELECT doc_id, label, unnest(words) AS word FROM docs),
 cnt AS (SELECT doc_id, label, word, count(*) AS n FROM toks GROUP BY ALL),
 vocab AS (SELECT count(DISTINCT word) AS d FROM cnt),
@@ -353,7 +364,7 @@ def _(spark, sf):
     from foldwright.operators.naive_bayes import multinomial_sparse_scores, multinomial_sparse_stats
 
     docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    words = docs.select("doc_id", "label", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''")
+    words = docs.select("doc_id", "label", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
     cells = words.groupBy("doc_id", "label", "word").agg(F.count(F.lit(1)).alias("n"))
     logp = multinomial_sparse_stats(cells, "label", "word", "n", 1.0)
     priors = log_priors(class_sizes(docs, "label"), [], "label")
