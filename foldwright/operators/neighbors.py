@@ -23,7 +23,6 @@ from foldwright.functions.exprs import doubles
 from foldwright.operators.linear import Classifier, FittedClassifier, class_values
 from foldwright.session import collect_bounded, materialize
 
-MAX_PIVOTS = 4096
 _SLACK = 1e-9  # relative room for rounding in the triangle inequality
 
 
@@ -90,7 +89,7 @@ def nearest(
     t = t.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k).drop("_copy")
 
     heads = (
-        t.select("tid", "x").orderBy(F.md5(F.col("tid").cast("string")), "tid").limit(min(pivots, MAX_PIVOTS)).collect()
+        t.select("tid", "x").orderBy(F.md5(F.col("tid").cast("string")), "tid").limit(pivots).collect()
     )
     if not heads:
         raise ValueError("no training rows")

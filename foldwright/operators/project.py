@@ -21,7 +21,6 @@ from foldwright.session import collect_bounded
 
 MAX_GRAM_COLUMNS = 4096
 MAX_OUTPUT_COLUMNS = 200_000
-MAX_COMPONENTS = 10_000
 
 
 def column_means(df: DataFrame, features: str) -> np.ndarray:
@@ -136,7 +135,7 @@ class KitchenSinks(FeatureStep):
     def __init__(self, gamma: float = 1.0, n_components: int = 100, seed: int = 1,
                  weights: np.ndarray | None = None, offset: np.ndarray | None = None, **kw):
         super().__init__(**kw)
-        self.gamma, self.n_components, self.seed = float(gamma), min(int(n_components), MAX_COMPONENTS), seed
+        self.gamma, self.n_components, self.seed = float(gamma), int(n_components), seed
         self.weights, self.offset = weights, offset
 
     def _fit(self, dataset: DataFrame) -> RowMap:
@@ -180,7 +179,7 @@ class Nystroem(FeatureStep):
     def __init__(self, kernel: str = "rbf", n_components: int = 100, gamma: float | None = None,
                  degree: int = 3, coef0: float = 0.0, **kw):
         super().__init__(**kw)
-        self.kernel, self.n_components = kernel, min(int(n_components), MAX_COMPONENTS)
+        self.kernel, self.n_components = kernel, int(n_components)
         self.gamma, self.degree, self.coef0 = gamma, int(degree or 3), float(coef0 or 0.0)
 
     def landmarks(self, dataset: DataFrame) -> np.ndarray:

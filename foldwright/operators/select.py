@@ -147,7 +147,7 @@ class TreeSelect(_Selector):
                  min_samples_split: int = 2, min_samples_leaf: int = 1, bootstrap: bool = False,
                  max_depth: int = 10, seed: int = 1, **kw):
         super().__init__(**kw)
-        self.forest = dict(numTrees=int(n_estimators), impurity=criterion, minInstancesPerNode=int(min_samples_leaf),
+        self.forest = dict(numTrees=int(n_estimators), impurity=criterion, minInstancesPerNode=max(int(min_samples_leaf), math.ceil(int(min_samples_split) / 2)),
                            bootstrap=bootstrap, maxDepth=max_depth, seed=seed)
         self.max_features = max_features
 

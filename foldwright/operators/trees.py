@@ -20,6 +20,12 @@ from foldwright.session import materialize
 MAX_DEPTH = 30  # deepest tree Spark builds
 
 
+def _supported(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees deeper than {MAX_DEPTH} levels are not supported")
+    return depth
+
+
 def _instances(min_samples_leaf, min_samples_split) -> int:
     """Smallest node size; a node needs two children, so a split size is at most twice this."""
     return max(int(min_samples_leaf), math.ceil(int(min_samples_split) / 2))
@@ -35,7 +41,7 @@ class DecisionTree(VectorClassifier):
 
     def estimator(self, df):
         depth = max(1, int(self.max_depth) * width_of(df, self.features))
-        return DecisionTreeClassifier(impurity=self.criterion, maxDepth=min(depth, MAX_DEPTH), minInstancesPerNode=self.min_instances, seed=self.seed)
+        return DecisionTreeClassifier(impurity=self.criterion, maxDepth=_supported(depth), minInstancesPerNode=self.min_instances, seed=self.seed)
 
 
 class RandomForest(VectorClassifier):
@@ -50,7 +56,7 @@ class RandomForest(VectorClassifier):
 
     def estimator(self, df):
         return RandomForestClassifier(
-            numTrees=self.n_estimators, impurity=self.criterion, bootstrap=self.bootstrap, maxDepth=min(self.max_depth, MAX_DEPTH),
+            numTrees=self.n_estimators, impurity=self.criterion, bootstrap=self.bootstrap, maxDepth=_supported(self.max_depth),
             minInstancesPerNode=self.min_instances, seed=self.seed,
             featureSubsetStrategy=str(features_per_split(self.max_features, width_of(df, self.features))),
         )

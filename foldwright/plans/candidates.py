@@ -162,10 +162,10 @@ def is_legal(choices: dict[str, Column], sparse: Column, signed: Column) -> Colu
     for step in STEP_NAMES:
         node = choices[step]
         having = lambda flag, side: [n for s, n, i, o in NODES if s == step and flag in (i if side == "in" else o)]  # noqa: B023, E731
-        legal = legal & F.when(sparse, node.isin(having("S", "in"))).otherwise(node.isin(having("D", "in")))
-        legal = legal & (signed | node.isin(having("U", "in")))
-        to_dense, to_sparse = having("D", "out"), having("S", "out")
-        to_signed, to_unsigned = having("G", "out"), having("U", "out")
+        legal = legal & F.when(sparse, node.isin(having("SPARSE", "in"))).otherwise(node.isin(having("DENSE", "in")))
+        legal = legal & (signed | node.isin(having("UNSIGNED", "in")))
+        to_dense, to_sparse = having("DENSE", "out"), having("SPARSE", "out")
+        to_signed, to_unsigned = having("SIGNED", "out"), having("UNSIGNED", "out")
         sparse = F.when(node.isin(to_dense), False).when(node.isin(to_sparse), True).otherwise(sparse) if to_dense or to_sparse else sparse
         signed = F.when(node.isin(to_signed), True).when(node.isin(to_unsigned), False).otherwise(signed) if to_signed or to_unsigned else signed
     return legal

@@ -20,45 +20,44 @@ STEP_NAMES = [s for s, _ in STEPS]
 CONSTANT_STEPS = STEP_NAMES[:-1]
 VARIABLE_STEPS = STEP_NAMES[-1:]
 
-# --- fixed values: node capabilities.  D dense, S sparse, U unsigned, G signed, I input, P predictions
+# --- fixed values: step, node, what it accepts, what it gives
 NODES = [
-    ("one_hot_encoder", "one_hot_encoding", "DSU", "I"),
-    ("imputation", "imputer", "DSU", "I"),
-    ("rescaling", "standard_scaler", "DSU", "I"),
-    ("rescaling", "minmax", "DU", "IG"),
-    ("rescaling", "no_rescaling", "DSU", "I"),
-    ("rescaling", "normalize", "DSU", "I"),
-    ("balancing", "balancer", "DSUG", "I"),
-    ("feature_preprocessor", "extra_rand_trees", "DSU", "I"),
-    ("feature_preprocessor", "fast_ica", "DU", "IU"),
-    ("feature_preprocessor", "feature_agglomeration", "DU", "I"),
-    ("feature_preprocessor", "kernel_pca", "DSU", "DU"),
-    ("feature_preprocessor", "kitchen_sinks", "DSU", "IU"),
-    ("feature_preprocessor", "linear_svm", "DSU", "I"),
-    ("feature_preprocessor", "no_preprocessing", "DSU", "I"),
-    ("feature_preprocessor", "nystroem_sampler", "DSU", "IU"),
-    ("feature_preprocessor", "pca", "DU", "DU"),
-    ("feature_preprocessor", "polynomial_features", "DU", "I"),
-    ("feature_preprocessor", "random_trees_embedding", "DSU", "SG"),
-    ("feature_preprocessor", "select_percentile", "DSU", "I"),
-    ("feature_preprocessor", "select_rates", "DSU", "I"),
-    ("classifier", "adaboost", "DSU", "P"),
-    ("classifier", "bernoulli_nb", "DSU", "P"),
-    ("classifier", "decision_tree", "DSU", "P"),
-    ("classifier", "extra_trees", "DSU", "P"),
-    ("classifier", "gaussian_nb", "DU", "P"),
-    ("classifier", "gradient_boosting", "DU", "P"),
-    ("classifier", "k_nearest_neighbors", "DSU", "P"),
-    ("classifier", "lda", "DU", "P"),
-    ("classifier", "liblinear_svc", "DSU", "P"),
-    ("classifier", "libsvm_svc", "DSU", "P"),
-    ("classifier", "multinomial_nb", "DSG", "P"),
-    ("classifier", "passive_aggresive", "DSU", "P"),
-    ("classifier", "qda", "DU", "P"),
-    ("classifier", "random_forest", "DSU", "P"),
-    ("classifier", "sgd", "DSU", "P"),
+    ("one_hot_encoder", "one_hot_encoding", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("imputation", "imputer", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("rescaling", "standard_scaler", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("rescaling", "minmax", ["DENSE", "UNSIGNED"], ["INPUT", "SIGNED"]),
+    ("rescaling", "no_rescaling", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("rescaling", "normalize", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("balancing", "balancer", ["DENSE", "SPARSE", "UNSIGNED", "SIGNED"], ["INPUT"]),
+    ("feature_preprocessor", "extra_rand_trees", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("feature_preprocessor", "fast_ica", ["DENSE", "UNSIGNED"], ["INPUT", "UNSIGNED"]),
+    ("feature_preprocessor", "feature_agglomeration", ["DENSE", "UNSIGNED"], ["INPUT"]),
+    ("feature_preprocessor", "kernel_pca", ["DENSE", "SPARSE", "UNSIGNED"], ["DENSE", "UNSIGNED"]),
+    ("feature_preprocessor", "kitchen_sinks", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT", "UNSIGNED"]),
+    ("feature_preprocessor", "linear_svm", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("feature_preprocessor", "no_preprocessing", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("feature_preprocessor", "nystroem_sampler", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT", "UNSIGNED"]),
+    ("feature_preprocessor", "pca", ["DENSE", "UNSIGNED"], ["DENSE", "UNSIGNED"]),
+    ("feature_preprocessor", "polynomial_features", ["DENSE", "UNSIGNED"], ["INPUT"]),
+    ("feature_preprocessor", "random_trees_embedding", ["DENSE", "SPARSE", "UNSIGNED"], ["SPARSE", "SIGNED"]),
+    ("feature_preprocessor", "select_percentile", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("feature_preprocessor", "select_rates", ["DENSE", "SPARSE", "UNSIGNED"], ["INPUT"]),
+    ("classifier", "adaboost", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "bernoulli_nb", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "decision_tree", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "extra_trees", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "gaussian_nb", ["DENSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "gradient_boosting", ["DENSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "k_nearest_neighbors", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "lda", ["DENSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "liblinear_svc", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "libsvm_svc", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "multinomial_nb", ["DENSE", "SPARSE", "SIGNED"], ["PREDICTIONS"]),
+    ("classifier", "passive_aggresive", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "qda", ["DENSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "random_forest", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
+    ("classifier", "sgd", ["DENSE", "SPARSE", "UNSIGNED"], ["PREDICTIONS"]),
 ]
-CAPABILITY = {"D": "DENSE", "S": "SPARSE", "U": "UNSIGNED", "G": "SIGNED", "I": "INPUT", "P": "PREDICTIONS"}
 
 
 @dataclass(frozen=True)
@@ -254,7 +253,7 @@ def steps_table(spark: SparkSession) -> DataFrame:
 
 
 def nodes_table(spark: SparkSession) -> DataFrame:
-    rows = [(s, n, [CAPABILITY[c] for c in i], [CAPABILITY[c] for c in o]) for s, n, i, o in NODES]
+    rows = NODES
     return spark.createDataFrame(rows, "step string, node string, input array<string>, output array<string>")
 
 

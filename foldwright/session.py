@@ -50,11 +50,13 @@ _shipped: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a private one only in local mode without a setting."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foldwright-"))
         current = sc.getCheckpointDir()
     return current

@@ -69,7 +69,7 @@ def _(spark, sf):
     kinds = {"sparse": F.array_join(pair, " "), "binary": F.array_join(single, " "), "dense": F.concat_ws(" ", F.col("l_orderkey"), F.size("cells"))}
     for kind, line in kinds.items():
         path = scratch_path(spark, kind)
-        rows.select(line.alias("value")).coalesce(1).write.text(path)
+        rows.select(line.alias("value")).write.text(path)
         found = D.detect_format(D.read_lines(spark, path)).select(F.lit(kind).alias("kind"), "format").distinct()
         out = found if out is None else out.unionByName(found)
     return out

@@ -34,7 +34,7 @@ def _list(items):
 
 
 NODE_VALUES = ", ".join(
-    f"('{s}', {STEP_NAMES.index(s)}, '{n}', {nodes_of(s).index(n)}, {len(nodes_of(s))}, '{i}', '{o}')" for s, n, i, o in NODES
+    f"('{s}', {STEP_NAMES.index(s)}, '{n}', {nodes_of(s).index(n)}, {len(nodes_of(s))}, {_list(i)}, {_list(o)})" for s, n, i, o in NODES
 )
 PARAM_VALUES = ", ".join(
     f"('{p.step}', '{p.node}', '{p.key}', '{p.kind}', {'NULL' if p.low is None else repr(float(p.low))}::DOUBLE, "
@@ -87,8 +87,10 @@ allowed AS (SELECT id FROM picked WHERE (pre, clf) NOT IN (SELECT (pre, clf) FRO
 
 
 def _ids(spark, sf):
-    """Order keys, spread over the cores: a small file is one split but each key costs a full drawing."""
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).repartition(spark.sparkContext.defaultParallelism)
+    """Order keys.  A small file is one split, but each key costs a full drawing: spread it, and leave larger inputs as they are."""
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    cores = spark.sparkContext.defaultParallelism
+    return ids if ids.rdd.getNumPartitions() >= cores else ids.repartition(cores)
 
 
 def order_candidates(spark, sf):
@@ -229,9 +231,9 @@ def _walk_sql(source: str) -> str:
     for i in range(6):
         sql += f"""
 w{i} AS (SELECT s.* REPLACE (
-    CASE WHEN outp LIKE '%D%' THEN FALSE WHEN outp LIKE '%S%' THEN TRUE ELSE sparse END AS sparse,
-    CASE WHEN outp LIKE '%G%' THEN TRUE WHEN outp LIKE '%U%' THEN FALSE ELSE signed END AS signed,
-    legal AND (CASE WHEN sparse THEN inp LIKE '%S%' ELSE inp LIKE '%D%' END) AND (signed OR inp LIKE '%U%') AS legal)
+    CASE WHEN list_contains(outp, 'DENSE') THEN FALSE WHEN list_contains(outp, 'SPARSE') THEN TRUE ELSE sparse END AS sparse,
+    CASE WHEN list_contains(outp, 'SIGNED') THEN TRUE WHEN list_contains(outp, 'UNSIGNED') THEN FALSE ELSE signed END AS signed,
+    legal AND (CASE WHEN sparse THEN list_contains(inp, 'SPARSE') ELSE list_contains(inp, 'DENSE') END) AND (signed OR list_contains(inp, 'UNSIGNED')) AS legal)
   FROM {prev} s JOIN choice c ON c.id = s.id AND c.spos = {i}),"""
         prev = f"w{i}"
     return sql.rstrip(",")
@@ -317,7 +319,7 @@ def _(spark, sf):
 @query(
     "node_usage",
     f"WITH {DRAW_SQL}, u AS (SELECT step, node, count(*) AS drawn FROM choice GROUP BY ALL) "
-    "SELECT n.step, CAST(spos AS INTEGER) AS pos, n.node, inp LIKE '%S%' AS takes_sparse, inp LIKE '%U%' AS takes_unsigned, coalesce(drawn, 0) AS drawn FROM node n LEFT JOIN u USING (step, node)",
+    "SELECT n.step, CAST(spos AS INTEGER) AS pos, n.node, list_contains(inp, 'SPARSE') AS takes_sparse, list_contains(inp, 'UNSIGNED') AS takes_unsigned, coalesce(drawn, 0) AS drawn FROM node n LEFT JOIN u USING (step, node)",
 )
 def _(spark, sf):
     cells = C.with_choices(order_candidates(spark, sf)).select(
