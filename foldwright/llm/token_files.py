@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import pieces
-from foldwright.session import scratch_path
+from foldwright.session import broadcast_checked, scratch_path
 
 END = 0
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SPACES = "\t-\r "
@@ -35,7 +35,7 @@ PRETOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACE
 
 
 class WordEncoder:
-    """Byte-level BPE ids as little-endian bytes, with a bounded table of pretokens per worker."""
+    """Byte-level BPE ids as little-endian bytes, with two bounded tables of pretokens per worker."""
 
     _held: dict[str, WordEncoder] = {}
 
@@ -45,6 +45,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -58,9 +59,11 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [PRETOKEN.findall(t) if COMMON.fullmatch(t) else None for t in texts]
         whole = [i for i, c in enumerate(cut) if c is None]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        new = list({w for c in cut if c is not None for w in c}.difference(self.words))
+        if len(self.words) > CACHED_WORDS:  # words in use move over from the older table
+            self.words, self.older = {}, self.words
+        wanted = set().union(*(c for c in cut if c is not None)).difference(self.words)
+        self.words.update((w, self.older[w]) for w in wanted if w in self.older)
+        new = list(wanted.difference(self.words))
         self.words.update(zip(new, self._batch(new), strict=True))
         out = [b"" if c is None else b"".join(map(self.words.__getitem__, c)) for c in cut]
         for i, ids in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
@@ -106,9 +109,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the files with ``start``: the number of ids of all documents before."""
     rows = spark.read.orc(path)
     ends = rows.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("held"))
+    parts = len(rows.inputFiles())  # a part is a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file part
     bases = ends.select(F.col("part"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return rows.join(broadcast_checked(bases, parts), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def find_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
