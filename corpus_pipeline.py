@@ -16,6 +16,7 @@ from foldwright.llm.language_id import keep_identified
 from foldwright.llm.mixing import apply_mix
 from foldwright.llm.near_dedup import near_dedup
 from foldwright.llm.piece_codec import encode
+from foldwright.session import ship_package
 
 #: No SQL: the stages fit models, iterate and draw; tests hold them against brute force.
 ORACLE_SQL = None
@@ -23,6 +24,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a main language, go."""
+    ship_package(spark)
     return keep_identified(docs)
 
 
@@ -48,6 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces and ids of every row, with merge-dropout."""
+    ship_package(spark)
     encoded = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 

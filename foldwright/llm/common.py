@@ -22,6 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a frame under the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
