@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +38,12 @@ def drop_stored(*frames: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner delete shuffle files of plans that are done; otherwise they stay until the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

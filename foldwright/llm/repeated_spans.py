@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import store
+from foldwright.llm.common import drop_stored, free_shuffles, store
 
 SPAN = 50
 GRAM = 24
@@ -86,34 +86,36 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def cut_blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_ids, sizes, body): documents of at least SPAN bytes, packed in id order within a batch."""
+    """(block, doc_ids, keys, sizes, body): documents of at least SPAN bytes, packed in id order within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, count = ["block", "doc_ids", "sizes", "body"], 0
+        names, count = ["block", "doc_ids", "keys", "sizes", "body"], 0
 
-        def pack(ids, parts):
+        def pack(ids, keys, parts):
             order = sorted(range(len(ids)), key=ids.__getitem__)
             number = (TaskContext.get().partitionId() << 32) + count
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(parts[i]) for i in order]], pa.list_(pa.int64())), pa.array([b"".join(parts[i] for i in order)], pa.binary())], names
+                [pa.array([number], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[keys[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(parts[i]) for i in order]], pa.list_(pa.int64())), pa.array([b"".join(parts[i] for i in order)], pa.binary())], names
             )
 
-        ids, parts, held = [], [], 0
+        ids, keys, parts, held = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode()
                 if doc_id is None or len(raw) < SPAN:
                     continue
                 if held and held + len(raw) > BLOCK_BYTES:
-                    yield pack(ids, parts)
-                    ids, parts, held, count = [], [], 0, count + 1
+                    yield pack(ids, keys, parts)
+                    ids, keys, parts, held, count = [], [], [], 0, count + 1
                 ids.append(doc_id)
+                keys.append(key)
                 parts.append(raw)
                 held += len(raw)
         if ids:
-            yield pack(ids, parts)
+            yield pack(ids, keys, parts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, body binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "block long, doc_ids array<long>, keys array<long>, sizes array<long>, body binary")
 
 
 def _ranges(h: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +160,7 @@ def shared_anchors(blocks: DataFrame, n_ranges: int) -> DataFrame:
 
 
 def contexts(blocks: DataFrame, flags: DataFrame, n_ranges: int) -> DataFrame:
-    """(anchor, class, doc_id, start, lead, context): occurrences of shared anchors.
+    """(anchor, class, doc_id, text_key, start, lead, length, context): occurrences of shared anchors.
 
     ``start`` is where the context begins in the document and ``lead`` the anchor's place in it.  A block gives the bytes of a
     class once, with its smallest document.
@@ -187,14 +189,14 @@ def contexts(blocks: DataFrame, flags: DataFrame, n_ranges: int) -> DataFrame:
             new = np.zeros(len(at), dtype=bool)
             new[seen] = True
             raw = [row["body"][a:b] if n else None for a, b, n in zip(begin.tolist(), end.tolist(), new.tolist(), strict=True)]
-            ids = np.array(row["doc_ids"], dtype=np.int64)[doc]
+            ids, keys = (np.array(row[c], dtype=np.int64)[doc] for c in ("doc_ids", "keys"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(ids), pa.array(begin - (ends[doc] - sizes[doc])), pa.array((at - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(raw, pa.binary())],
-                ["anchor", "class", "doc_id", "start", "lead", "length", "context"],
+                [pa.array(h.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(ids), pa.array(keys), pa.array(begin - (ends[doc] - sizes[doc])), pa.array((at - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(raw, pa.binary())],
+                ["anchor", "class", "doc_id", "text_key", "start", "lead", "length", "context"],
             )
 
     rows = blocks.join(flags, "block", "left")
-    return rows.select("doc_ids", "sizes", "body", "flags").mapInArrow(run, "anchor long, class long, doc_id long, start long, lead int, length int, context binary")
+    return rows.select("doc_ids", "keys", "sizes", "body", "flags").mapInArrow(run, "anchor long, class long, doc_id long, text_key long, start long, lead int, length int, context binary")
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -258,6 +260,25 @@ def repeated_windows(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]
     return [hit[a:b] - begins[i] for i, (a, b) in enumerate(zip(cut, np.r_[cut[1:], len(hit)], strict=True))]
 
 
+def may_repeat(texts: list[bytes], lead: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which contexts of a pool may hold a window that another context of the same anchor holds too.
+
+    A window starts 0-8, 9-17 or 18-26 bytes before the anchor, so it covers one of three stretches around it; a context that
+    shares none of its three stretches shares no window.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    hashes = Hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
+    out = np.zeros(len(texts), dtype=bool)
+    for before, after in ((0, SPAN - 8), (9, SPAN - 17), (18, GRAM)):
+        has = np.flatnonzero((lead >= before) & (lead + after <= sizes))
+        at = begins[has] + lead[has]
+        key = hashes.of(at - before, at + after) ^ _mix(anchor[has].view(np.uint64))
+        _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[has[count[place] > 1]] = True
+    return out
+
+
 def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
     """(anchor, class, owner, starts): the smallest document of a class, and which windows of it lie in a smaller one still."""
 
@@ -271,6 +292,9 @@ def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
         several[1:] = held[1:] == held[:-1]
         several[:-1] |= several[1:]
         pool = np.flatnonzero(several)
+        if len(pool):
+            given = group["context"].take(pa.array(best[pool])).to_pylist()
+            pool = pool[may_repeat(given, group["lead"].to_numpy()[best[pool]].astype(np.int64), held[pool])]
         starts: list[list[int]] = [[] for _ in best]
         if len(pool):
             texts = group["context"].take(pa.array(best[pool])).to_pylist()
@@ -278,16 +302,15 @@ def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
                 starts[i] = hit.tolist()
         return pa.table({"anchor": pa.array(held), "class": pa.array(kind[best]), "owner": pa.array(doc[best]), "starts": pa.array(starts, pa.list_(pa.int32()))})
 
-    rows = found.filter("context IS NOT NULL").select(F.pmod("anchor", F.lit(n_pools)).alias("pool"), "anchor", "class", "doc_id", "context")
+    rows = found.filter("context IS NOT NULL").select(F.pmod("anchor", F.lit(n_pools)).alias("pool"), "anchor", "class", "doc_id", "lead", "context")
     return rows.groupBy("pool").applyInArrow(run, "anchor long, class long, owner long, starts array<int>")
 
 
-def _removed(data: bytes, spans: list[dict] | None) -> tuple[int, int, str]:
-    change = np.zeros(len(data) + 1, dtype=np.int64)
-    for x in spans or []:
-        for s in x["starts"]:
-            change[x["start"] + s] += 1
-            change[x["start"] + s + x["length"]] -= 1
+def _removed(data: bytes, edges: np.ndarray) -> tuple[int, int, str]:
+    """Removed bytes, their runs and the digest of the rest; ``edges`` alternate between begin and end of a stretch."""
+    if not len(edges):
+        return 0, 0, hashlib.sha256(data).hexdigest()
+    change = np.bincount(edges[::2], minlength=len(data) + 1) - np.bincount(edges[1::2], minlength=len(data) + 1)
     gone = np.cumsum(change[:-1]) > 0
     kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
     runs = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
@@ -298,44 +321,42 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes when a 50-byte string that covers it also starts in a document with a smaller doc_id.  Null texts count as empty.
-    Rows without doc_id neither lose bytes nor take any.  Rows that share a doc_id are one document: they do not remove each
-    other's bytes, and each loses what it shares with smaller ids.  Equal texts are merged first: the later ones go whole.
+    Rows without doc_id neither lose bytes nor take any.  Rows that share a doc_id do not remove each other's bytes, and each loses
+    what its own text shares with smaller ids.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("digest"))
-    firsts = store(rows.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id")), "firsts")
-    merged = rows.join(firsts, "digest", "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copy"))
-    blocks = store(cut_blocks(merged.filter(~F.col("copy"))), "blocks")
+    blocks = store(cut_blocks(docs), "blocks")
     total = blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_ranges = max(16, math.ceil(total / RANGE_BYTES))
     found = store(contexts(blocks, shared_anchors(blocks, n_ranges), n_ranges), "contexts")
+    drop_stored(blocks)
+    free_shuffles(docs.sparkSession)
     volume = found.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     classes = judge_pools(found, max(16, math.ceil(volume / POOL_BYTES)))
-    whole = F.array(F.lit(0))
+    later = F.col("doc_id") > F.col("owner")
+    stretch = lambda begin, length: F.array(begin.cast("int"), (begin + length).cast("int"))
     spans = (
-        found.select("anchor", "class", "doc_id", "start", "length")
+        found.select("anchor", "class", "doc_id", "text_key", "start", "length")
         .join(classes, ["anchor", "class"])
+        .filter((later & (F.col("length") >= SPAN)) | (~later & (F.size("starts") > 0)))
         .select(
-            "doc_id", "start",
-            F.when(F.col("doc_id") > F.col("owner"), F.when(F.col("length") >= SPAN, whole)).otherwise(F.col("starts")).alias("starts"),
-            F.when(F.col("doc_id") > F.col("owner"), F.col("length")).otherwise(SPAN).alias("length"),
+            F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"),
+            F.when(later, stretch(F.col("start"), F.col("length"))).otherwise(F.flatten(F.transform("starts", lambda s: stretch(F.col("start") + s, F.lit(SPAN))))).alias("edges"),
         )
-        .filter(F.size("starts") > 0)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "starts", "length")).alias("spans"))
+        .groupBy("of", "of_key")
+        .agg(F.flatten(F.collect_list("edges")).alias("edges"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.zeros(0, dtype=np.int32)
         for batch in batches:
-            out = []
-            for body, copy, spans in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                data, marks = (body.as_py() or "").encode(), spans.as_py()
-                if copy.as_py() and len(data) >= SPAN:
-                    marks = [{"start": 0, "starts": [0], "length": len(data)}]
-                out.append((len(data), *_removed(data, marks)))
+            edges, out = batch.column(2), []
+            flat, bounds, known = edges.values.to_numpy(), edges.offsets.to_numpy(), edges.is_valid().to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                data = (batch.column(1)[i].as_py() or "").encode()
+                out.append((len(data), *_removed(data, flat[bounds[i] : bounds[i + 1]] if known[i] else nothing)))
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    final = merged.join(spans.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "copy", "spans")
+    final = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(spans, (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key")), "left").select("doc_id", "text", "edges")
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     return final.mapInArrow(run, f"doc_id {doc_id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -17,7 +17,7 @@ BASE = "the quick brown fox jumps over the lazy dog while many other animals loo
 NEAR = BASE.replace("evening", "morning")
 TEXTS = [
     (1, BASE, "a"), (2, "  " + BASE.replace(" ", "\t\n"), "a"), (3, NEAR, None), (4, None, "b"), (5, "", "b"), (6, "   \n\t", None), (7, LONG, "c"), (8, "x", "c"),
-    (9, "A b", "d"), (10, "a  B", "d"), (11, "été 日本語 🙂 œuvre", "e"), (1, BASE, "a"), (None, BASE, "a"), (None, None, None), (14, LONG + " tail", "c"), (15, "%%% 123 ---", "e"),
+    (9, "A b", "d"), (10, "a  B", "d"), (11, "été 日本語 🙂 œuvre", "e"), (1, BASE, "a"), (None, BASE, "a"), (None, None, None), (14, LONG + " tail", "c"), (3, BASE + " again and again", "a"), (15, "%%% 123 ---", "e"),
 ]
 SCHEMA = "doc_id long, text string, source string, lang string, body string, key long, part int, ids int, n long, id long, s string, address long, size int, copies int, score int"
 
