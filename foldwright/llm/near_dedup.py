@@ -7,8 +7,9 @@ candidate is estimated jointly from how many registers are larger, smaller and e
 sizes, and confirmed on the full sets.
 
 Equal sets are merged first.  In every band bucket all members are compared with one leader, drawn anew for each bucket, and
-each document confirms its most similar leader.  Only where a bucket still holds several components are their members paired
-across components, so that no link between components is lost and copies are never expanded into pairs.
+each document confirms its most similar leaders.  Where a bucket still holds several components, the members outside its largest
+one are held against all its members in blocks, so that no link between components is lost and copies are never expanded into
+pairs.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ WORDS = 5
 REGISTERS, BANDS = 128, 32
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
 LEAST_PERCENT = 75
-#: Five standard deviations of the estimate below the least similarity.
-LEAST_ESTIMATE = 0.55
-ROUNDS = (0.70, LEAST_ESTIMATE)
+#: Four standard deviations of the estimate below the least similarity.
+LEAST_ESTIMATE = 0.60
+LEADERS = 3  # confirmed first per document
+BLOCK, SMALL = 1024, 48
 
 _ROOT = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
 _ROOT_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -190,11 +192,69 @@ def bucket_leaders(members: DataFrame) -> DataFrame:
     return found.filter("n > 1").select("bucket", "leader")
 
 
+def best_leaders(estimated: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of every document and its most similar leaders; a document has at most one leader per band."""
+    ranked = estimated.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("estimate", F.xxhash64("id", "leader").alias("draw"), "leader")), asc=False).alias("r"))
+    pairs = ranked.select("id", F.explode(F.slice("r", 1, most)).alias("r")).select("id", "r.leader")
+    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def _crossing(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of two sets of members that lie in different components and may be similar enough.
+
+    A pair that shares several buckets is given by its first one.  Estimates are taken only where enough registers agree.
+    """
+    x, y = (np.frombuffer(b"".join(t["registers"].to_pylist()), dtype="<u2").reshape(t.num_rows, REGISTERS) for t in (left, right))
+    (i1, h1, n1), (i2, h2, n2) = ([t[c].to_numpy() for c in ("id", "home", "n_shingles")] for t in (left, right))
+    outer2, band = right["outlier"].to_numpy(zero_copy_only=False), left["band"][0].as_py() if left.num_rows else 0
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(left.num_rows):
+        equal = y == x[k]
+        near = np.flatnonzero((equal.sum(axis=1) >= REGISTERS * LEAST_ESTIMATE * 0.8) & (h2 != h1[k]) & (~outer2 | (i2 > i1[k])))
+        if len(near):
+            bands = equal[near].reshape(len(near), BANDS, -1).all(axis=2)
+            near = near[bands.argmax(axis=1) == band]
+        if len(near):
+            value = estimate_jaccard(np.broadcast_to(x[k], (len(near), REGISTERS)), y[near], np.full(len(near), n1[k]), n2[near])
+            near = near[value >= LEAST_ESTIMATE]
+            out.append((np.full(len(near), i1[k]), i2[near]))
+    a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 2
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def crossing_pairs(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) between components that meet in a bucket, from (bucket, band, id, home, n_shingles, registers).
+
+    Members of a bucket outside its largest component are held against all members, in blocks of about BLOCK by BLOCK that a task
+    compares as matrices.  Buckets of up to SMALL members are joined row by row.
+    """
+    homes = members.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("n"))
+    main = homes.groupBy("bucket").agg(F.sum("n").alias("total"), F.max_by("home", F.struct("n", "home")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+    placed = members.join(main, "bucket").withColumn("outlier", F.col("home") != F.col("main"))
+    placed = placed.withColumn("left_blocks", F.ceil(F.col("outside") / BLOCK)).withColumn("right_blocks", F.ceil(F.col("total") / BLOCK))
+    own_left, own_right = F.pmod(F.xxhash64("id"), F.col("left_blocks")), F.pmod(F.xxhash64("id"), F.col("right_blocks"))
+    span = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    columns = ["bucket", "band", "id", "home", "n_shingles", "registers", "outlier"]
+    large = F.col("total") > SMALL
+    left = placed.filter(large & F.col("outlier")).select(*columns, own_left.alias("i"), F.explode(span(F.col("right_blocks"))).alias("j"))
+    right = placed.filter(large).select(*columns, F.explode(span(F.col("left_blocks"))).alias("i"), own_right.alias("j"))
+    keys = ["bucket", "i", "j"]
+    found = left.groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys)).applyInArrow(_crossing, "a long, b long")
+    small = placed.filter(~large)
+    one = small.filter("outlier").select(*(F.col(c).alias(f"{c}_1") for c in columns))
+    two = small.select(*(F.col(c).alias(f"{c}_2") for c in columns))
+    other = (F.col("bucket_1") == F.col("bucket_2")) & (F.col("home_1") != F.col("home_2")) & (~F.col("outlier_2") | (F.col("id_2") > F.col("id_1")))
+    near = _estimate()("registers_1", "registers_2", "n_shingles_1", "n_shingles_2") >= LEAST_ESTIMATE
+    few = one.join(two, other).filter(near).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
+    return found.union(few).distinct()
+
+
 def near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, component_id) of the linked classes (id, n_shingles, bands, registers); texts come from ``docs``."""
-    ids = classes.select("id", F.explode("bands").alias("bucket"))
+    ids = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     leaders = store(bucket_leaders(ids), "leaders")
-    stars = ids.join(leaders, "bucket").select("id", "leader").filter("id <> leader").distinct()
+    crowd = ids.join(leaders, "bucket")
+    stars = crowd.select("id", "leader").filter("id <> leader").distinct()
     sketches = classes.select("id", "n_shingles", "registers")
     estimated = (
         stars.join(sketches, "id")
@@ -202,41 +262,24 @@ def near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
         .select("id", "leader", _estimate()("registers", "leader_registers", "n_shingles", "leader_n").alias("estimate"))
         .filter(F.col("estimate") >= LEAST_ESTIMATE)
     )
-    ends = estimated.union(estimated.select("leader", "id", "estimate")).toDF("id", "other", "estimate")
-    best = store(ends.groupBy("id").agg(F.max_by("other", F.struct("estimate", F.xxhash64("id", "other"))).alias("other")), "best")
-    pairs = best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    crowded = ids.join(leaders, "bucket", "left_semi").select("id").distinct()
+    pairs = store(best_leaders(estimated, LEADERS), "pairs")
+    crowded = crowd.select("id").distinct()
     texts = store(docs.select(F.col("doc_id").alias("id"), "text").join(crowded, "id", "left_semi"), "texts")
     links = store(confirm(pairs, texts), "links")
     groups = components(links)
     # members of buckets in which several components meet
-    homes = ids.join(leaders, "bucket", "left_semi").join(groups, "id", "left").select("id", "bucket", F.coalesce("component_id", "id").alias("home"))
+    homes = crowd.join(groups, "id", "left").select("id", "bucket", "band", F.coalesce("component_id", "id").alias("home"))
     mixed = homes.groupBy("bucket").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x <> y").select("bucket")
-    members = store(homes.join(mixed, "bucket", "left_semi").join(classes, "id").select("id", "bucket", "home", "n_shingles", "bands", "registers"), "members")
-    one = members.select(*(F.col(c).alias(f"{c}_1") for c in members.columns))
-    two = members.select(*(F.col(c).alias(f"{c}_2") for c in members.columns))
-    earlier = F.array_position("bands_1", F.col("bucket_1")).cast("int") - 1
-    elsewhere = F.arrays_overlap(F.slice("bands_1", F.lit(1), earlier), F.slice("bands_2", F.lit(1), earlier))
-    across = one.join(two, (F.col("bucket_1") == F.col("bucket_2")) & (F.col("home_1") < F.col("home_2")) & ~elsewhere)
-    crossing = store(
-        across.select(
-            F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"),
-            _estimate()("registers_1", "registers_2", "n_shingles_1", "n_shingles_2").alias("estimate"),
-        ).filter(F.col("estimate") >= LEAST_ESTIMATE).join(pairs, ["a", "b"], "left_anti"),
-        "crossing",
-    )
-    upper = 2.0
-    for lower in ROUNDS:
-        level = crossing.filter((F.col("estimate") >= lower) & (F.col("estimate") < upper)).select("a", "b")
-        at = groups.select("id", "component_id")
-        level = level.join(at.toDF("a", "home_a"), "a", "left").join(at.toDF("b", "home_b"), "b", "left")
-        level = level.filter(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")
-        more = store(confirm(level, texts), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            groups = components(links)
-        upper = lower
-    return groups
+    members = store(homes.join(mixed, "bucket", "left_semi").join(sketches, "id").select("bucket", "band", "id", "home", "n_shingles", "registers"), "members")
+    more = store(confirm(crossing_pairs(members).join(pairs, ["a", "b"], "left_anti"), texts), "links")
+    if more.isEmpty():
+        return groups
+    # links between components join the components
+    at = groups.select("id", "component_id")
+    ends = more.join(at.toDF("a", "x"), "a", "left").join(at.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    joined = components(ends)
+    known = groups.union(more.select("a", "a").union(more.select("b", "b")).join(at.toDF("a", "x"), "a", "left_anti").distinct().toDF("id", "component_id"))
+    return known.join(joined.toDF("component_id", "joined"), "component_id", "left").select("id", F.coalesce("joined", "component_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
