@@ -290,7 +290,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-        for batch, texts in pieces(batches, "__text"):
+        for batch, texts in pieces(batches, "__text", 1 << 19):
             keys = batch.column(batch.schema.get_field_index("__key")).to_numpy()
             ids, counts = encode_texts(tables, texts, keys.view(np.uint64), dropout)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
@@ -307,7 +307,8 @@ def decoder(spark, model_path: str):
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
         tables = shared.value
-        return pa.array([decode_ids(tables, x) if x is not None else None for x in lists.to_pylist()], pa.string())
+        flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return pa.array([decode_ids(tables, flat[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
 
     return run
 
@@ -318,10 +319,8 @@ def id_bytes_crc32() -> Column:
 
     @F.arrow_udf("long")
     def run(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(np.array([len(x) if x is not None else 0 for x in lists], dtype=np.int64)) if lists.null_count else np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
-        begin = np.r_[0, ends[:-1]]
-        return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], pa.int64())
+        flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return pa.array([zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.int64())
 
     return run
 
