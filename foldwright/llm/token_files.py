@@ -10,6 +10,7 @@ tokenizers library; all other texts go to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ END = 0
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
 CACHED_WORDS = 250_000
+RUN_WORDS = 400
+SPACE_SIGN = "Ġ"  # how byte-level vocabularies write a space
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SPACES = "\t-\r "
@@ -42,8 +45,12 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.opens = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.opens[i] = token.startswith(SPACE_SIGN)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -56,6 +63,20 @@ class WordEncoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode new pretokens.  Those of a space and letters go many at a time: each of them, and nothing inside it, begins with
+        a token that holds the space, so the ids of a run are cut there."""
+        plain = [w for w in words if len(w) > 1 and w[0] == " " and w[1:].isalpha()]
+        other = [w for w in words if not (len(w) > 1 and w[0] == " " and w[1:].isalpha())]
+        runs = [plain[i : i + RUN_WORDS] for i in range(0, len(plain), RUN_WORDS)]
+        for run, raw in zip(runs, self._batch(["".join(r) for r in runs]), strict=True):
+            cuts = (4 * np.flatnonzero(self.opens[np.frombuffer(raw, dtype="<u4")])).tolist()
+            if len(cuts) == len(run):
+                self.words.update(zip(run, (raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)), strict=True))
+            else:
+                other += run
+        self.words.update(zip(other, self._batch(other), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [PRETOKEN.findall(t) if COMMON.fullmatch(t) else None for t in texts]
         whole = [i for i, c in enumerate(cut) if c is None]
@@ -63,8 +84,7 @@ class WordEncoder:
             self.words, self.older = {}, self.words
         wanted = set().union(*(c for c in cut if c is not None)).difference(self.words)
         self.words.update((w, self.older[w]) for w in wanted if w in self.older)
-        new = list(wanted.difference(self.words))
-        self.words.update(zip(new, self._batch(new), strict=True))
+        self._learn(list(wanted.difference(self.words)))
         out = [b"" if c is None else b"".join(map(self.words.__getitem__, c)) for c in cut]
         for i, ids in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
             out[i] = ids
