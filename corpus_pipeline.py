@@ -6,11 +6,10 @@ reads it.  All stages but the last return the columns of ``docs``.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import read, store
+from foldwright.llm.common import read, store, vocabulary
 from foldwright.llm.exact_dedup import exact_dedup, normalized
 from foldwright.llm.language_id import keep_identified
 from foldwright.llm.mixing import apply_mix
@@ -51,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces and ids of every row, with merge-dropout."""
     ship_package(spark)
-    encoded = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
+    encoded = encode(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 

@@ -20,6 +20,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a frame under the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

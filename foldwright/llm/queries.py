@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm import licenses
-from foldwright.llm.common import read
+from foldwright.llm.common import read, vocabulary
 from foldwright.llm.embedding_dedup import embedding_dedup
 from foldwright.llm.exact_dedup import exact_dedup
 from foldwright.llm.language_id import language_of_documents
@@ -53,7 +52,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_merge_dropout")
 def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return round_trip(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 @query("op2_language_mixture")
@@ -63,7 +62,7 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_orc_tokens")
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_summary(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_summary(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 @query(
