@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.arrow import map_matrix, map_matrix_by
 from foldwright.functions.constants import GAUSSIAN_EPSILON
-from foldwright.functions.exprs import argmax_index, clip_nonnegative, doubles
+from foldwright.functions.exprs import argmax_index, clip_nonnegative, doubles, softmax
 from foldwright.operators.moments import held_out_complement, held_out_moments, long_form, moments
 from foldwright.session import collect_bounded
 
@@ -139,6 +139,10 @@ class NaiveBayesModel:
             return df.withColumn(name, map_matrix_by(fns, self.fold, self.features))
         return df.withColumn(name, map_matrix(self._scorer(self.parts[-1]), self.features))
 
+    def probabilities(self, df: DataFrame, name: str = "probability") -> DataFrame:
+        """Class probabilities, in the order of ``classes``."""
+        return self.scores(df, name).withColumn(name, softmax(name))
+
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         lookup = F.array(*[F.lit(c) for c in self.classes])
         return self.scores(df, "_scores").withColumn(name, F.get(lookup, argmax_index("_scores"))).drop("_scores")

@@ -170,6 +170,12 @@ def vote(neighbors: DataFrame, weights: str = "uniform") -> DataFrame:
 
     With distance weights, exact matches outvote everything else.
     """
+    tally = tallies(neighbors, weights)
+    return tally.groupBy("qid").agg(F.min_by("tlabel", F.struct(-F.col("v"), F.col("tlabel"))).alias("prediction"))
+
+
+def tallies(neighbors: DataFrame, weights: str = "uniform") -> DataFrame:
+    """(qid, tlabel, v): votes of the classes among the neighbours."""
     n = neighbors
     if weights == "distance":
         n = n.withColumn("_exact", F.min("distance").over(Window.partitionBy("qid")) == 0)
@@ -178,8 +184,7 @@ def vote(neighbors: DataFrame, weights: str = "uniform") -> DataFrame:
         w = F.lit(1.0)
     else:
         raise ValueError(f"unknown weights: {weights}")
-    tally = n.groupBy("qid", "tlabel").agg(F.sum(w).alias("v"))
-    return tally.groupBy("qid").agg(F.min_by("tlabel", F.struct(-F.col("v"), F.col("tlabel"))).alias("prediction"))
+    return n.groupBy("qid", "tlabel").agg(F.sum(w).alias("v"))
 
 
 @dataclass
@@ -193,6 +198,16 @@ class NeighborModel(FittedClassifier):
     label: str
     classes: list
 
+    def scores(self, df: DataFrame, name: str = "scores") -> DataFrame:
+        """Shares of the votes, in the order of ``classes``."""
+        found = tallies(nearest(self.train, df, self.k, self.p, self.features, self.row_id, self.label), self.weights)
+        shares = found.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("tlabel", "v"))).alias("_v"), F.sum("v").alias("_n"))
+        row = F.array(*[F.coalesce(F.try_element_at("_v", F.lit(c)), F.lit(0.0)) / F.col("_n") for c in self.classes])
+        return df.join(shares.select(F.col("qid").alias(self.row_id), row.alias(name)), self.row_id, "left")
+
+    def probabilities(self, df: DataFrame, name: str = "probability") -> DataFrame:
+        return self.scores(df, name)
+
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         found = nearest(self.train, df, self.k, self.p, self.features, self.row_id, self.label)
         votes = vote(found, self.weights).select(F.col("qid").alias(self.row_id), F.col("prediction").alias(name))

@@ -298,6 +298,28 @@ def _(spark, sf):
     return fit_naive_bayes(df, "gaussian").predict(df).select("row_id", "prediction")
 
 
+_SHARES_SQL = """, top AS (SELECT *, max(s) OVER (PARTITION BY row_id) AS m FROM ll)
+SELECT row_id, c, round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY row_id), 4) + 0 AS p FROM top"""
+
+
+def _class_rows(df, classes):
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("c"), F.col("probability").alias("p"))
+    return df.select("row_id", F.explode(pairs).alias("e")).select("row_id", F.col("e.c").alias("c"), r(F.col("e.p"), 4).alias("p"))
+
+
+@query(
+    "gaussian_probabilities",
+    f"""WITH {VEC_CELLS}, nb AS (SELECT label AS c, pos, avg(x) AS mean, var_pop(x) + 1e-9 AS var FROM cells GROUP BY label, pos),
+prior AS (SELECT label AS c, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM embeddings GROUP BY label),
+ll AS (SELECT row_id, c, any_value(lp) + sum(-0.5 * (ln(2 * pi() * var) + (x - mean) * (x - mean) / var)) AS s FROM cells JOIN nb USING (pos) JOIN prior USING (c) GROUP BY row_id, c)"""
+    + _SHARES_SQL,
+)
+def _(spark, sf):
+    df = vectors(spark, sf)
+    model = fit_naive_bayes(df, "gaussian")
+    return _class_rows(model.probabilities(df), model.classes)
+
+
 @query("class_log_priors", "SELECT label, count(*) AS n_c, round(ln(count(*) / sum(count(*)) OVER ()), 6) AS log_prior FROM embeddings GROUP BY label")
 def _(spark, sf):
     return log_priors(class_sizes(vectors(spark, sf), "label"), [], "label").select("label", "n_c", F.round("log_prior", 6).alias("log_prior"))
@@ -323,6 +345,18 @@ def _(spark, sf):
     return fit_naive_bayes(df, "bernoulli").predict(df).select("row_id", "prediction")
 
 
+@query(
+    "bernoulli_probabilities",
+    f"""WITH {_BERNOULLI}, ll AS (SELECT row_id, c, any_value(ln(n_c / (SELECT count(*) FROM embeddings))) + sum(CASE WHEN x > 0 THEN ln(p) ELSE ln(1 - p) END) AS s
+FROM cells JOIN b USING (pos) JOIN nc USING (c) GROUP BY row_id, c)"""
+    + _SHARES_SQL,
+)
+def _(spark, sf):
+    df = vectors(spark, sf)
+    model = fit_naive_bayes(df, "bernoulli")
+    return _class_rows(model.probabilities(df), model.classes)
+
+
 _MULTINOMIAL = f"""{VEC_CELLS}, nj AS (SELECT label AS c, pos, sum(greatest(x, 0)) AS n FROM cells GROUP BY label, pos),
 t AS (SELECT c, pos, ln((n + 0.5) / (sum(n) OVER (PARTITION BY c) + 0.5 * 64)) AS logp FROM nj)"""
 
@@ -342,6 +376,17 @@ def _(spark, sf):
     return fit_naive_bayes(df, "multinomial", alpha=0.5, fit_prior=False).predict(df).select("row_id", "prediction")
 
 
+@query(
+    "multinomial_probabilities",
+    f"""WITH {_MULTINOMIAL}, ll AS (SELECT row_id, c, sum(greatest(x, 0) * logp) - ln(10) AS s FROM cells JOIN t USING (pos) GROUP BY row_id, c)"""
+    + _SHARES_SQL,
+)
+def _(spark, sf):
+    df = vectors(spark, sf)
+    model = fit_naive_bayes(df, "multinomial", alpha=0.5, fit_prior=False)
+    return _class_rows(model.probabilities(df), model.classes)
+
+
 TOKENS_SQL = r"""
 docs AS (SELECT doc_id, quality AS label, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: w <> '') AS words FROM documents JOIN labels USING (doc_id)),
 toks AS (SELECT doc_id, label, unnest(words) AS word FROM docs),
@@ -424,6 +469,18 @@ def _(spark, sf):
     return KNeighbors(7, "uniform", 2).fit(train).predict(test).select("row_id", "prediction")
 
 
+@query(
+    "neighbor_probabilities",
+    _nearest_sql(_L2, 7)
+    + """, v AS (SELECT qid, label, count(*) AS v FROM best GROUP BY qid, label), q AS (SELECT DISTINCT qid FROM v), c AS (SELECT DISTINCT label FROM embeddings)
+SELECT q.qid AS row_id, c.label AS c, round(coalesce(v, 0) / 7.0, 4) + 0 AS p FROM q CROSS JOIN c LEFT JOIN v ON v.qid = q.qid AND v.label = c.label""",
+)
+def _(spark, sf):
+    train, test = _held_out(spark, sf)
+    model = KNeighbors(7, "uniform", 2).fit(train)
+    return _class_rows(model.probabilities(test), model.classes)
+
+
 # ---------------------------------------------------------------- discriminants
 
 @query(
