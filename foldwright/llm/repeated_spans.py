@@ -322,9 +322,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes when a 50-byte string that covers it also starts in a document with a smaller doc_id.  Null texts count as empty.
     Rows without doc_id neither lose bytes nor take any.  Rows that share a doc_id do not remove each other's bytes, and each loses
-    what its own text shares with smaller ids.
+    what its own text shares with smaller ids.  Of equal texts only the first is searched; later ones go whole.
     """
-    blocks = store(cut_blocks(docs), "blocks")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.sha2(text, 256).alias("digest"))
+    firsts = store(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "firsts")
+    blocks = store(cut_blocks(rows.join(firsts, "digest").filter("doc_id = first_id")), "blocks")
+    free_shuffles(docs.sparkSession)
     total = blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_ranges = max(16, math.ceil(total / RANGE_BYTES))
     found = store(contexts(blocks, shared_anchors(blocks, n_ranges), n_ranges), "contexts")
@@ -334,6 +338,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     classes = judge_pools(found, max(16, math.ceil(volume / POOL_BYTES)))
     later = F.col("doc_id") > F.col("owner")
     stretch = lambda begin, length: F.array(begin.cast("int"), (begin + length).cast("int"))
+    whole = rows.select("doc_id", F.xxhash64("text").alias("of_key"), "digest", F.octet_length(text).alias("n")).join(firsts, "digest")
+    whole = whole.filter((F.col("doc_id") > F.col("first_id")) & (F.col("n") >= SPAN)).select(F.col("doc_id").alias("of"), "of_key", F.array(F.lit(0), F.col("n")).alias("edges"))
     spans = (
         found.select("anchor", "class", "doc_id", "text_key", "start", "length")
         .join(classes, ["anchor", "class"])
@@ -342,6 +348,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"),
             F.when(later, stretch(F.col("start"), F.col("length"))).otherwise(F.flatten(F.transform("starts", lambda s: stretch(F.col("start") + s, F.lit(SPAN))))).alias("edges"),
         )
+        .union(whole)
         .groupBy("of", "of_key")
         .agg(F.flatten(F.collect_list("edges")).alias("edges"))
     )
