@@ -37,7 +37,7 @@ def _folded() -> np.ndarray:
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document index and code of every trigram of the letters, runs of other characters being one space; letters per document."""
-    joined = "\n".join(texts)
+    joined = "\n".join([*texts, ""])  # every text ends in a space
     cps = _folded()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     owner = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)[: len(cps)]
@@ -212,5 +212,5 @@ def language_of_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
     """The rows whose main language is known and has at least ``least_share`` of the text; columns as given."""
     model = LanguageModel.fit(docs.filter(~held_out()).select("text", "lang"))
-    found = identify(docs, model, docs.columns)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select(*docs.columns)
+    found = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"])
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select("row.*")
