@@ -143,7 +143,8 @@ def mix_sources(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
         duals.select(F.col("source").alias("also"), "lam", "mean"), F.col("of").eqNullSafe(F.col("also"))
     )
     tilt = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))), F.lit(limit))
-    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.coalesce(tilt, F.lit(limit)))
+    # nine digits: sums taken in another order must not turn a document over
+    rate = F.round(F.when(F.col("size") == 0, 1.0).otherwise(F.coalesce(tilt, F.lit(limit))), 9)
     rated = rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
     piece = F.pmod(F.xxhash64("doc_id", "text_key"), F.ceil(F.col("docs") / PIECE))
     rated = rated.select("doc_id", "source", "text_key", "size", "rate", piece.alias("piece"))
