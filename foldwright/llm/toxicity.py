@@ -45,7 +45,7 @@ _DOUBLES = re.compile(r"(.)\1.*(.)\2")
 _SIGNS = re.compile(r"^[$@|+]{3,}|[$@|+]{3,}$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LEET_CHARS = re.compile("[" + re.escape("".join(LEET)) + "]")
-SPACED = re.compile(r"(?<!\S)(?:\S([ .\-_*·]))(?:\S\1)+\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S([ .\-_*·]))(?:\S\1)+\S(?=[?!.,;:]*(?!\S))")
 
 
 @dataclass
