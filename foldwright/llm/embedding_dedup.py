@@ -2,13 +2,17 @@
 
 A rotation learnt on a bounded sample turns vectors into balanced binary codes.  A code is cut into TABLES chunks; codes that
 differ in fewer than 2 * TABLES bits agree in some chunk up to one bit, so every vector probes each table with its own chunk and
-those one bit away.  A pair is taken from the first table that shows it; the cosine of the original vectors decides.  Equal
+those one bit away.  How many bits pairs at the least cosine differ in depends on the vectors: a common direction moves them
+apart once codes are centred.  So pairs at exactly that cosine are planted around the sample, and further rotations with tables of
+their own are added until LEAST_RECALL of them are shown; where MAX_CODES rotations do not suffice, all pairs of a label are
+compared in blocks.  A pair is taken from the first table that shows it; the cosine of the original vectors decides.  Equal
 vectors of one label are merged first and counted, so copies are never paired.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,10 @@ SAMPLE = 20_000
 BITS = 64
 TABLES = 4
 CHUNK = BITS // TABLES
-MAX_BITS_APART = 20
+MAX_CODES = 16
+PLANTED = 8000
+LEAST_RECALL = 0.995
+BLOCK = 2048
 MAX_WIDTHS = 64
 
 
@@ -58,6 +65,42 @@ class BinaryCodes:
         return np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64)
 
 
+def planted_pairs(vectors: np.ndarray, least: float, n: int = PLANTED, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the sample and others at exactly the least cosine, half of them off in any direction, half as vectors differ."""
+    rng = np.random.default_rng(seed)
+    x = vectors[rng.integers(0, len(vectors), n)]
+    aside = rng.standard_normal(x.shape)
+    half = n // 2
+    apart = vectors[rng.integers(0, len(vectors), half)] - vectors[rng.integers(0, len(vectors), half)]
+    apart -= (apart * x[:half]).sum(axis=1, keepdims=True) * x[:half]
+    differs = np.linalg.norm(apart, axis=1) > 1e-6
+    aside[:half][differs] = apart[differs]
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    return x, least * x + np.sqrt(max(0.0, 1 - least * least)) * aside
+
+
+def shown(apart: np.ndarray) -> np.ndarray:
+    """Whether codes that differ in these bits meet in some table."""
+    chunks = apart.view(np.uint64)[:, None] >> np.arange(0, BITS, CHUNK, dtype=np.uint64) & np.uint64((1 << CHUNK) - 1)
+    return (np.bitwise_count(chunks) <= 1).any(axis=1)
+
+
+def fit_codes(vectors: np.ndarray, least: float) -> tuple[list[BinaryCodes], int] | None:
+    """Enough rotations for LEAST_RECALL, and the most bits in which planted pairs differ; None if MAX_CODES do not suffice."""
+    x, y = planted_pairs(vectors, least)
+    models: list[BinaryCodes] = []
+    met, bits = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=np.int64)
+    while len(models) < MAX_CODES:
+        models.append(BinaryCodes.fit(vectors, seed=7 + len(models)))
+        apart = models[-1].encode(x) ^ models[-1].encode(y)
+        met |= shown(apart)
+        bits += np.bitwise_count(apart.view(np.uint64))
+        if met.mean() >= LEAST_RECALL:
+            return models, int(bits.max())
+    return None
+
+
 def _unit(values: pa.Array) -> np.ndarray:
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(values), -1)
@@ -65,10 +108,14 @@ def _unit(values: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _code(model: BinaryCodes):
-    @F.arrow_udf("long")
+def _codes(models: list[BinaryCodes]):
+    @F.arrow_udf("array<long>")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array(model.encode(_unit(values)) if len(values) else np.zeros(0, np.int64))
+        if not len(values):
+            return pa.array([], pa.list_(pa.int64()))
+        x = _unit(values)
+        found = np.stack([m.encode(x) for m in models], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(models)), pa.array(found.ravel()))
 
     return run
 
@@ -85,27 +132,46 @@ def _chunk(code: str | Column, table: int) -> Column:
     return F.shiftrightunsigned(code, CHUNK * table).bitwiseAND(F.lit((1 << CHUNK) - 1))
 
 
-def candidates(codes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of (id, label, code) rows of one label that some table shows, each once."""
-    probes = codes.select(
-        F.col("id").alias("a"), "label", F.col("code").alias("code_a"),
-        F.explode(F.array(*(F.struct(F.lit(t).alias("table"), _chunk("code", t).bitwiseXOR(F.lit(flip)).alias("chunk")) for t in range(TABLES) for flip in [0, *(1 << k for k in range(CHUNK))]))).alias("probe"),
-    ).select("a", "label", "code_a", "probe.*")
-    entries = codes.select(
-        F.col("id").alias("b"), "label", F.col("code").alias("code_b"),
-        F.explode(F.array(*(F.struct(F.lit(t).alias("table"), _chunk("code", t).alias("chunk")) for t in range(TABLES)))).alias("entry"),
-    ).select("b", "label", "code_b", "entry.*")
-    apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
+def candidates(codes: DataFrame, n_codes: int, most_apart: int) -> DataFrame:
+    """Pairs (a, b) of (id, label, codes) rows of one label that some table shows, each once."""
+    each = [(t, F.col("codes")[t // TABLES], t % TABLES) for t in range(TABLES * n_codes)]
+    entries = codes.select("id", "label", "codes", F.explode(F.array(*(F.struct(F.lit(t).alias("table"), _chunk(code, k).alias("chunk")) for t, code, k in each))).alias("entry"))
+    entries = entries.select(F.col("id").alias("b"), "label", F.col("codes").alias("codes_b"), "entry.*")
+    flips = F.array(*(F.lit(flip).cast("long") for flip in [0, *(1 << k for k in range(CHUNK))]))
+    probes = entries.select(F.col("b").alias("a"), "label", F.col("codes_b").alias("codes_a"), "table", "chunk", F.explode(flips).alias("flip"))
+    probes = probes.withColumn("chunk", F.col("chunk").bitwiseXOR(F.col("flip"))).drop("flip")
+    apart = [F.col("codes_a")[r].bitwiseXOR(F.col("codes_b")[r]) for r in range(n_codes)]
     first = F.lit(True)
-    for t in range(TABLES - 1):
-        first = first & ((F.col("table") <= t) | (F.bit_count(_chunk(apart, t)) > 1))
+    for t in range(TABLES * n_codes - 1):
+        first = first & ((F.col("table") <= t) | (F.bit_count(_chunk(apart[t // TABLES], t % TABLES)) > 1))
     return (
         probes.join(entries, ["label", "table", "chunk"])
-        .filter((F.col("a") < F.col("b")) & first & (F.bit_count(apart) <= MAX_BITS_APART))
+        .filter((F.col("a") < F.col("b")) & (reduce(lambda x, y: x + y, map(F.bit_count, apart)) <= most_apart) & first)
         .select("a", "b")
     )
 
 
+def all_candidates(same: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of (id, label, embedding) rows of one label, all compared in blocks of about BLOCK by BLOCK."""
+    blocks = same.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = same.select("id", "label", "embedding").join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("id", "embedding"), F.col("blocks")))
+    left = placed.select("id", "label", "embedding", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = placed.select("id", "label", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("i"), F.col("own").alias("j"))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        near = _unit(x["embedding"].combine_chunks()) @ _unit(y["embedding"].combine_chunks()).T >= least - 1e-9
+        a, b = np.nonzero(near)
+        a, b = x["id"].to_numpy()[a], y["id"].to_numpy()[b]
+        within = x["i"][0].as_py() == x["j"][0].as_py()
+        keep = a < b if within else a != b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    keys = ["label", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+
+
 def embedding_dedup(rows: DataFrame, least: float = 0.98) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -125,9 +191,12 @@ def embedding_dedup(rows: DataFrame, least: float = 0.98) -> DataFrame:
     for width in widths:
         same = classes.filter(F.col("width") == width)
         sample = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-        model = BinaryCodes.fit(_unit(pa.array(list(sample))))
-        codes = store(same.select("id", "label", _code(model)("embedding").alias("code")), "codes")
-        found = candidates(codes)
+        fitted = fit_codes(_unit(pa.array(list(sample))), least)
+        if fitted is None:
+            found = all_candidates(same, least)
+        else:
+            models, most_apart = fitted
+            found = candidates(store(same.select("id", "label", _codes(models)("embedding").alias("codes")), "codes"), len(models), most_apart)
         vectors = same.select("id", "embedding")
         both = found.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")
         pairs = pairs.union(both.withColumn("cosine", _cosine()("x", "y")).filter(F.col("cosine") >= least).select("a", "b"))
