@@ -4,8 +4,10 @@ Disguised words (digits and signs for letters, letters set apart, letters repeat
 under a character language model picks the likeliest reading, and the restored words are scored by a logistic model on word
 beginnings, endings and whole words.  Plain words have one reading only and skip the lattice.
 
-The language model and the classifier learn from at most SAMPLE labelled documents, drawn by a hash of their ids; the counting
-runs on Spark.  Scoring reads every whole text.
+The language model counts the words of all texts, labelled or not.  It is bounded by hashed buckets, two for each count of which
+the smaller holds, so no trigram is left out for being rare.  The classifier alone learns from at most SAMPLE labelled documents,
+drawn by a hash of their ids; its CANDIDATES most frequent features are weighed and at most FEATURES with a gain of LEAST_GAIN or
+more are kept.  All counting runs on Spark.  Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ CANDIDATES = 200_000
 FEATURES = 4096
 LEAST_GAIN = 25.0
 CACHED_TOKENS = 150_000
+BUCKETS = 1 << 20  # of each of the two tables of the character model
+HELD_WORDS = 50_000
+HELD_LOGS = 500_000
 THRESHOLD = 0.7
 
 # Signs that stand for letters.
@@ -48,42 +53,107 @@ _LEET_CHARS = re.compile("[" + re.escape("".join(LEET)) + "]")
 SPACED = re.compile(r"(?<!\S)(?:\S([ .\-_*·]))(?:\S\1)+\S(?=[?!.,;:]*(?!\S))")
 
 
+_MASK = (1 << 64) - 1
+_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+TRIGRAM, PAIR, CONTEXT2, SINGLE, CONTEXT1 = range(1, 6)
+
+
+def _slots(kind: int, a: int, b: int, c: int) -> tuple[int, int]:
+    """The buckets of a count in the two tables, as in :func:`_slot_arrays`."""
+    x = (kind * _MIXERS[0] + a * _MIXERS[1] + b * _MIXERS[2] + c * _MIXERS[3]) & _MASK
+    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 29)) * 0x94D049BB133111EB) & _MASK
+    return (x >> 44) % BUCKETS, BUCKETS + (x >> 8) % BUCKETS
+
+
+def _slot_arrays(kind: int, a: np.ndarray | int, b: np.ndarray | int, c: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    u = np.uint64
+    x = u(kind * _MIXERS[0] & _MASK) + a * u(_MIXERS[1]) + b * u(_MIXERS[2]) + c * u(_MIXERS[3])
+    x = (x ^ (x >> u(31))) * u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u(29))) * u(0x94D049BB133111EB)
+    return ((x >> u(44)) % u(BUCKETS)).astype(np.int64), ((x >> u(8)) % u(BUCKETS)).astype(np.int64) + BUCKETS
+
+
+def add_words(table: np.ndarray, words: dict[str, int]) -> None:
+    """Add the trigrams of words, with ^ before and $ after, to a table of 2 * BUCKETS counts and their total."""
+    padded = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 3 for w in words), dtype=np.int64, count=len(words))
+    n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+    inside = np.ones(len(padded), dtype=bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    at = np.flatnonzero(inside)
+    weights = np.repeat(n, sizes - 2)
+    a, b, c = padded[at], padded[at + 1], padded[at + 2]
+    o = np.zeros(1, dtype=np.uint64)
+    for kind, x, y, z in ((TRIGRAM, a, b, c), (PAIR, o, b, c), (CONTEXT2, a, b, o), (SINGLE, o, o, c), (CONTEXT1, o, b, o)):
+        for slots in _slot_arrays(kind, x, y, z):
+            table[: 2 * BUCKETS] += np.bincount(slots, weights=weights, minlength=2 * BUCKETS)
+    table[-1] += weights.sum()
+
+
 @dataclass
 class CharacterModel:
     """Trigram logarithms over letters, with ^ before and $ after a word; unseen trigrams fall back on shorter ones."""
 
-    logs: dict[str, float] = field(default_factory=dict)
+    counts: np.ndarray  # (2 * BUCKETS + 1), the last one is the total
+    held: dict[str, float] = field(default_factory=dict, repr=False)
 
     @classmethod
-    def of(cls, counts: dict[str, int]) -> CharacterModel:
-        pair, single, context2, context1, total = Counter(), Counter(), Counter(), Counter(), 0
-        for gram, n in counts.items():
-            pair[gram[1:]] += n
-            single[gram[2]] += n
-            context2[gram[:2]] += n
-            context1[gram[1]] += n
-            total += n
-        logs = {}
-        for gram, n in counts.items():
-            p = 0.75 * n / context2[gram[:2]] + 0.2 * pair[gram[1:]] / context1[gram[1]] + 0.05 * single[gram[2]] / total
-            logs[gram] = math.log(p)
-        logs |= {g: math.log(0.2 * n / context1[g[0]] + 0.05 * single[g[1]] / total) for g, n in pair.items()}
-        logs |= {g: math.log(0.05 * n / total) for g, n in single.items()}
-        return cls(logs)
+    def fit(cls, docs: DataFrame) -> CharacterModel:
+        """Count the words of all texts; each task sends the buckets it has filled."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, words = np.zeros(2 * BUCKETS + 1), Counter()
+
+            def flush():
+                plain: Counter[str] = Counter()
+                for token, n in words.items():
+                    if (w := token.strip(EDGE)).isalpha():
+                        plain[w] += n
+                words.clear()
+                if plain:
+                    add_words(table, plain)
+
+            for _, texts in pieces(batches, "text"):
+                for t in texts:
+                    words.update(t.lower().split())
+                    if len(words) > HELD_WORDS:
+                        flush()
+            flush()
+            filled = np.flatnonzero(table)
+            for i in range(0, len(filled), 1 << 16):
+                part = filled[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part].astype(np.int64))], ["bucket", "n"])
+
+        summed = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * BUCKETS + 1 rows
+        counts = np.zeros(2 * BUCKETS + 1)
+        counts[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
+        return cls(counts.astype(np.float32))
+
+    def count(self, kind: int, a: int, b: int, c: int) -> float:
+        i, j = _slots(kind, a, b, c)
+        return float(min(self.counts[i], self.counts[j]))
 
     def log(self, context: str, letter: str) -> float:
-        logs = self.logs
-        value = logs.get(context + letter)
+        value = self.held.get(context + letter)
         if value is None:
-            value = logs.get(context[1] + letter)
-            if value is None:
-                value = max(logs.get(letter, LEAST_LOG), LEAST_LOG)
+            if len(self.held) >= HELD_LOGS:
+                self.held.clear()
+            value = self.held[context + letter] = self._log(*map(ord, context + letter))
         return value
 
-
-def word_trigrams(word: str) -> Iterator[str]:
-    padded = f"^^{word}$"
-    return (padded[i : i + 3] for i in range(len(padded) - 2))
+    def _log(self, a: int, b: int, c: int) -> float:
+        single = self.count(SINGLE, 0, 0, c)
+        if not single:
+            return LEAST_LOG
+        p = 0.05 * single / float(self.counts[-1])
+        pair = min(self.count(PAIR, 0, b, c), single)
+        if not pair:
+            return max(math.log(p), LEAST_LOG)
+        p += 0.2 * pair / max(pair, self.count(CONTEXT1, 0, b, 0))
+        three = min(self.count(TRIGRAM, a, b, c), pair)
+        return math.log(p + (0.75 * three / max(three, self.count(CONTEXT2, a, b, 0)) if three else 0.0))
 
 
 def decode(model: CharacterModel, token: str) -> list[str]:
@@ -199,7 +269,7 @@ class Grams:
 
 def restore_text(docs: DataFrame, model: CharacterModel) -> DataFrame:
     """(doc_id, restored): the words of every text after restoration, in order, separated by spaces."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was counted on
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS
 
     def whole(text: str) -> str:
         low, out, at = text.lower(), [], 0
@@ -246,12 +316,7 @@ class ToxicityModel:
         totals = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         good, bad = totals.get(False, 0), totals.get(True, 0)
         prior = math.log((bad + 0.5) / (good + 0.5))
-
-        def trigrams_of(text: str):
-            return (g for t in text.lower().split() if (w := t.strip(EDGE)).isalpha() for g in word_trigrams(w))
-
-        counts = collect_bounded(_counted(sample, "gram", trigrams_of).orderBy(F.desc("n"), "gram").limit(CANDIDATES), CANDIDATES, "trigrams")
-        characters = CharacterModel.of({r["gram"]: r["n"] for r in counts})
+        characters = CharacterModel.fit(docs)
         if not bad or not good:
             return cls(characters, {}, np.zeros(0), np.zeros(0), prior)
         shared = sample.sparkSession.sparkContext.broadcast(characters)
@@ -291,7 +356,7 @@ class ToxicityModel:
         return model
 
     def _found(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast((self.characters, self.features))  # bounded by the sample and FEATURES
+        shared = rows.sparkSession.sparkContext.broadcast((self.characters, self.features))  # bounded by BUCKETS and FEATURES
         fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
