@@ -1,6 +1,6 @@
 """Licence scan by canonical digests (DataFrame operations only).
 
-A text is made canonical: ASCII letters to lower case, copyright lines removed, equivalent spellings unified, punctuation and
+A text is made canonical: copyright statements removed, ASCII letters to lower case, equivalent spellings unified, punctuation and
 white space to single spaces.  Its SHA-256 is joined to the digests of known licences.  The same join runs over every line of a
 text, where one-sentence notices stand.  The known table is fixed, so it is broadcast.
 """
@@ -25,6 +25,25 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"),
     ("favour", "favor"),
 ]
+#: Words that may follow "copyright" where a line of a licence body begins with it.
+BODY_WORDS = (
+    "notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|rights?|and|or|also|means|on|in|to|is|are|of|for|with|as|claims?|protections?|treat(?:y|ies)|acts?|"
+    "permissions?|ownership|infringements?|disclaimers?|management|information|status|materials?|works?|lines?|control|permits?|if|when|that|which|this|under|from|may|shall|will|must|not|"
+    "applies|policy|registration|patents?|trademarks?|terms?|assignment|the (?:work|program|software|library)"
+)
+#: A line that is a copyright statement: a sign, a year, or a holder follows; or all rights are reserved and nothing more.
+STATEMENT = (
+    r"(^|\n)[^A-Za-z0-9\n]*(?:"
+    r"(?i:copyright)\b[ \t:,]*(?:\([cC]\)|©|&copy;)"
+    r"|(?i:copyright)\b[^A-Za-z0-9\n]*(?:(?:19|20)\d\d|(?<=[\[<{(])(?i:year|yyyy|name|fullname|date)\b)"
+    rf"|(?i:copyright)\b[ \t:,]+(?:(?i:by|the)[ \t]+)?(?!(?i:{BODY_WORDS})\b)[A-Z]"
+    rf"|(?i:copyright)\b[ \t:,]+(?!(?i:{BODY_WORDS})\b)[^\n]*\b(?:19|20)\d\d\b"
+    r"|\([cC]\)[ \t,]*(?:(?i:copyright)\b|(?:19|20)\d\d)"
+    r"|(?:©|&copy;)"
+    r"|(?i:all rights reserved)[^A-Za-z0-9\n]*(?=\n|$)"
+    r")[^\n]*"
+)
+#: The rule of the SQL, which takes every line that begins so.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F‘’“”–—…]+"
 
@@ -70,12 +89,15 @@ KNOWN = [
 ]
 
 
+def _unified(text: Column) -> Column:
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, text)
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its line breaks; null counts as empty."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.regexp_replace(F.regexp_replace(low, COPYRIGHT_LINE, "$1"), PUNCTUATION, " ")
-    unified = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, plain)
-    return unified
+    stated = F.regexp_replace(F.coalesce(text, F.lit("")), STATEMENT, "$1")
+    low = F.translate(stated, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _unified(F.regexp_replace(low, PUNCTUATION, " "))
 
 
 def canonical(lines: Column) -> Column:
@@ -83,9 +105,14 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
+def match_digest(whole: Column) -> Column:
+    """Digest of a canonical text in one line, with spellings unified that a line break had cut."""
+    return F.sha2(_unified(whole), 256)
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     table = spark.createDataFrame(known, "license_id string, text string")
-    return table.select("license_id", F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest")).distinct()
+    return table.select("license_id", match_digest(canonical(canonical_lines(F.col("text")))).alias("digest")).distinct()
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -108,16 +135,16 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         .withColumnRenamed("doc_id", "of")
     )
     whole = canonical(F.col("lines"))
-    texts = rows.select("doc_id", F.sha2(whole, 256).alias("text_digest"))
+    texts = rows.select("doc_id", whole.alias("whole")).select("doc_id", F.sha2("whole", 256).alias("text_digest"), match_digest(F.col("whole")).alias("digest"))
     return (
-        texts.join(known.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
+        texts.join(known, "digest", "left")
         .join(line_hits, F.col("doc_id").eqNullSafe(F.col("of")), "left")
         .select("doc_id", "text_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
     )
 
 
 def oracle() -> str:
-    """The same scan in SQL."""
+    """The same scan in SQL, over the texts of KNOWN and with COPYRIGHT_LINE for STATEMENT."""
     quoted = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     plain = rf"regexp_replace(regexp_replace({low}, '{COPYRIGHT_LINE}', '\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
