@@ -7,6 +7,8 @@ text, where one-sentence notices stand.  The known table is fixed, so it is broa
 
 from __future__ import annotations
 
+import pkgutil
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +91,30 @@ KNOWN = [
 ]
 
 
+FULL_TEXTS = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"]
+#: Where the appendix on applying a licence begins; the text is also known without it.
+APPENDIX = {"Apache-2.0": "APPENDIX: How to apply", "GPL-1.0": "Appendix: How to Apply", "GPL-2.0": "How to Apply These Terms", "GPL-3.0": "How to Apply These Terms", "LGPL-2.0": "How to Apply These Terms", "LGPL-2.1": "How to Apply These Terms"}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the files in license_texts, with and without appendix; BSD with numbers and with bullets."""
+    out = []
+    for name in FULL_TEXTS:
+        text = pkgutil.get_data("foldwright.llm", f"license_texts/{name}.txt").decode()
+        out.append((name, text))
+        if name in APPENDIX:
+            out.append((name, text[: text.rindex(APPENDIX[name])]))
+        if name == "BSD-3-Clause":
+            body = text[text.index("Redistribution and use") :]
+            three = re.sub(r"(?m)^[ \t]*(?:\d\.|[*-])[ \t]+", "* ", body)
+            two = re.sub(r"(?s)\* Neither the name.*?permission\.", "", three)
+            for key, bullets, title in (("BSD-3-Clause", three, "BSD 3-Clause License\n\n"), ("BSD-2-Clause", two, "BSD 2-Clause License\n\n")):
+                number = iter("123")
+                numbered = re.sub(r"(?m)^\* ", lambda _, n=number: f"{next(n)}. ", bullets)
+                out += [(key, head + t) for head in ("", title) for t in (bullets, numbered)]
+    return out
+
+
 def _unified(text: Column) -> Column:
     return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, text)
 
@@ -110,8 +136,8 @@ def match_digest(whole: Column) -> Column:
     return F.sha2(_unified(whole), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    table = spark.createDataFrame(known, "license_id string, text string")
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    table = spark.createDataFrame(KNOWN + full_texts() if known is None else known, "license_id string, text string")
     return table.select("license_id", match_digest(canonical(canonical_lines(F.col("text")))).alias("digest")).distinct()
 
 

@@ -18,7 +18,7 @@ def ids(spark, rows):
 
 def test_wrappings(spark):
     rows, want = [], {}
-    for key, text in [("ISC", licenses._ISC), ("MIT", licenses._MIT), ("Zlib", licenses._ZLIB)]:
+    for key, text in [("ISC", licenses._ISC), ("MIT", licenses._MIT), ("Zlib", licenses._ZLIB), *licenses.full_texts()]:
         flat = " ".join(STATED.sub("", text).split())
         forms = [textwrap.fill(flat, w, break_long_words=False, break_on_hyphens=False) for w in (30, 47, 60, 72, 80, 100)]
         forms += [re.sub(r" (?=\W*(copyright|\(c\)))", "\n", flat, flags=re.I), re.sub(r"(?i)(copyright) ", "\\1\n", flat), "Copyright 2019 Some Body\n\n" + flat.upper()]
@@ -32,6 +32,7 @@ def test_wrappings(spark):
     want[len(rows)] = "ISC"
     rows.append((len(rows), "Copyright (c) 2004 Some Body\n\n" + ISC))
     got = ids(spark, rows)
+    assert len(rows) > 150
     assert [(want[i], i, rows[i][1][:60]) for i in want if got[i] != want[i]] == []
 
 
