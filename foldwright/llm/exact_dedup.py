@@ -3,7 +3,8 @@
 An index cell holds one 64-bit key and the chain of different texts that share it.  Cells live in buckets addressed by the
 leading bits of the key; a bucket with more than ``capacity`` cells is split, which doubles the directory under it.  Owner
 tasks hold contiguous key ranges of the index files.  Texts are compared by their bytes while grouping on (key, text), after
-each task has merged its own copies, so a text that a third of all rows share reaches its owner once per task.
+each task has merged its own copies, so a text that a third of all rows share is sent once per task.  This grouping alone decides
+keep_id and group_size; rows find them by a join on (key, digest) that reads neither buckets nor directory.
 """
 
 from __future__ import annotations
