@@ -302,7 +302,7 @@ _SHARES_SQL = """, top AS (SELECT *, max(s) OVER (PARTITION BY row_id) AS m FROM
 SELECT row_id, c, round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY row_id), 4) + 0 AS p FROM top"""
 
 
-def _class_rows(df, classes):
+def _probability_rows(df, classes):
     pairs = F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("c"), F.col("probability").alias("p"))
     return df.select("row_id", F.explode(pairs).alias("e")).select("row_id", F.col("e.c").alias("c"), r(F.col("e.p"), 4).alias("p"))
 
@@ -317,7 +317,7 @@ ll AS (SELECT row_id, c, any_value(lp) + sum(-0.5 * (ln(2 * pi() * var) + (x - m
 def _(spark, sf):
     df = vectors(spark, sf)
     model = fit_naive_bayes(df, "gaussian")
-    return _class_rows(model.probabilities(df), model.classes)
+    return _probability_rows(model.probabilities(df), model.classes)
 
 
 @query("class_log_priors", "SELECT label, count(*) AS n_c, round(ln(count(*) / sum(count(*)) OVER ()), 6) AS log_prior FROM embeddings GROUP BY label")
@@ -354,7 +354,7 @@ FROM cells JOIN b USING (pos) JOIN nc USING (c) GROUP BY row_id, c)"""
 def _(spark, sf):
     df = vectors(spark, sf)
     model = fit_naive_bayes(df, "bernoulli")
-    return _class_rows(model.probabilities(df), model.classes)
+    return _probability_rows(model.probabilities(df), model.classes)
 
 
 _MULTINOMIAL = f"""{VEC_CELLS}, nj AS (SELECT label AS c, pos, sum(greatest(x, 0)) AS n FROM cells GROUP BY label, pos),
@@ -384,7 +384,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = vectors(spark, sf)
     model = fit_naive_bayes(df, "multinomial", alpha=0.5, fit_prior=False)
-    return _class_rows(model.probabilities(df), model.classes)
+    return _probability_rows(model.probabilities(df), model.classes)
 
 
 TOKENS_SQL = r"""
@@ -478,7 +478,7 @@ SELECT q.qid AS row_id, c.label AS c, round(coalesce(v, 0) / 7.0, 4) + 0 AS p FR
 def _(spark, sf):
     train, test = _held_out(spark, sf)
     model = KNeighbors(7, "uniform", 2).fit(train)
-    return _class_rows(model.probabilities(test), model.classes)
+    return _probability_rows(model.probabilities(test), model.classes)
 
 
 # ---------------------------------------------------------------- discriminants
