@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwright.llm import licenses
-from foldwright.llm.common import read, vocabulary
+from foldwright.llm import licenses, periodic_runs
+from foldwright.llm.common import SQL_CRC32, read, vocabulary
 from foldwright.llm.embedding_dedup import embedding_dedup
 from foldwright.llm.exact_dedup import exact_dedup
 from foldwright.llm.language_id import language_of_documents
@@ -132,3 +132,31 @@ def op5_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_periodic_runs",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, CRC AS h FROM documents),
+    p AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS tail, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d),
+    t AS (SELECT doc_id, CASE WHEN tail THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w, n FROM p),
+    -- equal stretches of 16 words at distance q: every run has one
+    g AS (SELECT doc_id, n, unnest(range(greatest(n - 15, 0))) AS i, unnest([hash(list_slice(v, i + 1, i + 16)) FOR i IN range(greatest(n - 15, 0))]) AS g FROM (SELECT *, [hash(x) FOR x IN w] AS v FROM t)),
+    e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    s AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island, i FROM e),
+    r AS (SELECT doc_id, min(i) AS start, count(*) + 15 + q AS length, q FROM s GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+    m AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY doc_id, start, length),
+    c AS (SELECT t.doc_id, w, n, coalesce(runs, []) AS runs, coalesce(n_runs, 0) AS n_runs, best, coalesce(said, '') AS said
+          FROM t LEFT JOIN (SELECT doc_id, list({'a': start + period, 'b': start + length}) AS runs, count(*) AS n_runs,
+                                   first({'start': start, 'length': length, 'period': period} ORDER BY length / period DESC, start, period) AS best,
+                                   string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said
+                            FROM m GROUP BY doc_id) f ON f.doc_id = t.doc_id)
+    SELECT doc_id, n_runs, best.start AS start, best.length AS length, best.period AS period, best.length * 1000 // best.period AS exponent_milli, sha256(said) AS runs_sha256,
+           sha256(CASE WHEN n_runs = 0 THEN array_to_string(w, ' ')
+                       ELSE array_to_string([w[i + 1] FOR i IN range(n) IF len(list_filter(runs, lambda r: i >= r.a AND i < r.b)) = 0], ' ') END) AS collapsed_sha256
+    FROM c
+    """.replace("CRC", SQL_CRC32.format("doc_id")),
+)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeat_tails(read(spark, sf_dir, "documents"))
+    return periodic_runs.summarize(periodic_runs.periodic_runs(docs))
