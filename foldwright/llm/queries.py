@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldwright.llm import licenses, periodic_runs
 from foldwright.llm.common import SQL_CRC32, read, vocabulary
 from foldwright.llm.embedding_dedup import embedding_dedup
 from foldwright.llm.exact_dedup import exact_dedup
+from foldwright.llm.hard_negatives import mine_negatives, shifted_label
 from foldwright.llm.language_id import language_of_documents
 from foldwright.llm.mixing import mix_sources
 from foldwright.llm.near_dedup import near_dedup
@@ -160,3 +162,19 @@ def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.repeat_tails(read(spark, sf_dir, "documents"))
     return periodic_runs.summarize(periodic_runs.periodic_runs(docs))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    u AS (SELECT vec_id, label, [floor(256 * x)::BIGINT FOR x IN e] AS i FROM v WHERE list_bool_and([coalesce(isfinite(x), false) FOR x IN e])),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_sum([a.i[k] * b.i[k] FOR k IN range(1, len(a.i) + 1)])::BIGINT AS score FROM u a JOIN u b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+    n AS (SELECT p.a, p.b, p.score AS positive_score, s.b AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+          FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT a AS anchor_id, b AS positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted_label())
