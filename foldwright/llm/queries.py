@@ -16,6 +16,7 @@ from foldwright.llm.language_id import language_of_documents
 from foldwright.llm.mixing import mix_sources
 from foldwright.llm.near_dedup import near_dedup
 from foldwright.llm.piece_codec import round_trip
+from foldwright.llm.pitman_yor import language_model_scores
 from foldwright.llm.repeated_spans import remove_repeats
 from foldwright.llm.token_files import token_summary
 from foldwright.llm.toxicity import toxicity_of_documents
@@ -178,3 +179,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted_label())
+
+
+@query("op12_pitman_yor")
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(read(spark, sf_dir, "documents"))
