@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import drop_stored, free_shuffles, remainder, text_slices
+from foldwright.llm.common import free_shuffles, remainder, text_slices
 from foldwright.session import scratch_path, ship_package
 
 SLICE_BYTES = 8 << 20
@@ -82,14 +82,23 @@ def exchange(messages: DataFrame, fn: Callable[[int, dict[int, list[tuple[int, l
     return messages.groupBy("block").applyInArrow(run, MESSAGE)
 
 
-def _kept(df: DataFrame, name: str) -> dict[int, DataFrame]:
-    """Messages written under the checkpoint folder, one folder per kind, by kind."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.partitionBy("kind").option("compression", "none").parquet(path)
-    schema = spark.createDataFrame([], MESSAGE).select("block", "peer", "x", "y", "data", "kind").schema
-    table = spark.read.schema(schema).parquet(path)
-    return {k: table.filter(F.col("kind") == k).select("block", "kind", "peer", "x", "y", "data") for k in range(13)}
+class _Stored:
+    """Messages written under the checkpoint folder, one folder per kind; read and dropped by kind."""
+
+    def __init__(self, messages: DataFrame, name: str):
+        self.spark = messages.sparkSession
+        self.path = scratch_path(self.spark, name)
+        messages.write.partitionBy("kind").option("compression", "none").parquet(self.path)
+        schema = self.spark.createDataFrame([], MESSAGE).select("block", "peer", "x", "y", "data", "kind").schema
+        self.table = self.spark.read.schema(schema).parquet(self.path)
+
+    def __getitem__(self, kind: int) -> DataFrame:
+        return self.table.filter(F.col("kind") == kind).select("block", "kind", "peer", "x", "y", "data")
+
+    def drop(self, *kinds: int) -> None:
+        for kind in kinds:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/kind={kind}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _all(*frames: DataFrame) -> DataFrame:
@@ -423,30 +432,38 @@ def score_texts(docs: DataFrame, held: Column, burn_in: int = BURN_IN, samples:
     slices = spark.read.schema(numbered.schema).parquet(slices_path)
     total = slices.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(3, int(total // BLOCK_TOKENS).bit_length())
-    words = _kept(_count_words(slices, bits), "words")[WORDS]
-    tokens, known = _sum(words)
-    hot = _hot_contexts(words, tokens / HOT)
-    pairs = _kept(_count_pairs(slices, bits, hot), "pairs")
+    words = _Stored(_count_words(slices, bits), "words")
+    tokens, known = _sum(words[WORDS])
+    hot = _hot_contexts(words[WORDS], tokens / HOT)
+    pairs = _Stored(_count_pairs(slices, bits, hot), "pairs")
     free_shuffles(spark)
     once, twice = _sum(pairs[REPEATED])
     totals = _Totals(int(tokens), int(known), discount=min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5)
-    state = _kept(exchange(_all(words, pairs[SINGLES]), _join_singles), "state")[STATE]
-    seats = _kept(exchange(pairs[REPEATED], _seat_contexts(bits, totals, -1, False, seating)), "seats")
-    sampled: list[tuple[_Totals, DataFrame]] = []
+    state = _Stored(exchange(_all(words[WORDS], pairs[SINGLES]), _join_singles), "state")
+    words.drop(WORDS)
+    pairs.drop(SINGLES)
+    seats = _Stored(exchange(pairs[REPEATED], _seat_contexts(bits, totals, -1, False, seating)), "seats")
+    sampled: list[tuple[_Totals, _Stored]] = []
     for sweep in range(burn_in + samples + 1):
-        parent = _kept(exchange(_all(state, seats[SUMS]), _seat_parent(bits, totals, sweep, seating)), "parent")
+        parent = _Stored(exchange(_all(state[STATE], seats[SUMS]), _seat_parent(bits, totals, sweep, seating)), "parent")
         customers, tables = _sum(parent[STATE])
         totals = _Totals(totals.tokens, totals.known, totals.discount, customers=customers, tables=tables)
-        if sweep > burn_in:
-            sampled.append((totals, parent[STATE]))
         if sweep < burn_in + samples:
-            new = _kept(exchange(_all(pairs[REPEATED], parent[REPLY], seats[SEATS]), _seat_contexts(bits, totals, sweep, sweep >= burn_in, seating)), "seats")
-            drop_stored(seats[SEATS], seats[SUMS])
+            new = _Stored(exchange(_all(pairs[REPEATED], parent[REPLY], seats[SEATS]), _seat_contexts(bits, totals, sweep, sweep >= burn_in, seating)), "seats")
+            seats.drop(SEATS, SUMS)
             seats = new
-    return _scores(docs, slices, slices_path, pairs, seats[SEATS], sampled, bits, hot)
+        parent.drop(REPLY)
+        if sweep > burn_in:
+            sampled.append((totals, parent))
+        else:
+            parent.drop(STATE)
+        free_shuffles(spark)
+    state.drop(STATE)
+    seats.drop(SUMS)
+    return _scores(docs, slices, pairs, seats, sampled, bits, hot)
 
 
-def _scores(docs: DataFrame, slices: DataFrame, path: str, pairs: dict, seats: DataFrame, sampled: list, bits: int, hot: np.ndarray) -> DataFrame:
+def _scores(docs: DataFrame, slices: DataFrame, pairs: _Stored, seats: _Stored, sampled: list, bits: int, hot: np.ndarray) -> DataFrame:
     all_totals = [t for t, _ in sampled]
 
     def ask(s: _Slice) -> Iterator[Message]:
@@ -470,9 +487,14 @@ def _scores(docs: DataFrame, slices: DataFrame, path: str, pairs: dict, seats: D
         for peer, (codes,) in got.get(CODES, []):
             yield peer, PAIR_REPLY, block, 0.0, 0.0, [customers[codes], tables[codes]]
 
-    word_replies = exchange(_all(_send_slices(slices, ask), *(s for _, s in sampled)), answer_words)
-    pair_replies = exchange(_all(pairs[CODES], pairs[REPEATED], seats), answer_pairs)
-    replies = _kept(_all(word_replies, pair_replies), "replies")
+    word_replies = exchange(_all(_send_slices(slices, ask), *(p[STATE] for _, p in sampled)), answer_words)
+    pair_replies = exchange(_all(pairs[CODES], pairs[REPEATED], seats[SEATS]), answer_pairs)
+    replies = _Stored(_all(word_replies, pair_replies), "replies")
+    pairs.drop(CODES, REPEATED)
+    seats.drop(SEATS)
+    for _, parent in sampled:
+        parent.drop(STATE)
+    free_shuffles(docs.sparkSession)
     sent = _all(replies[WORD_REPLY], replies[PAIR_REPLY]).select(F.col("block").alias("slice"), "kind", "peer", "data")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     t = all_totals[0]
