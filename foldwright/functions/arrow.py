@@ -37,20 +37,19 @@ def map_matrix(fn: Callable[[np.ndarray], np.ndarray], features: Column | str) -
 
 
 def map_matrix_by(fns: dict[int, Callable[[np.ndarray], np.ndarray]], group: Column | str, features: Column | str) -> Column:
-    """As :func:`map_matrix`, with one function per integer group value (for example per fold)."""
+    """As :func:`map_matrix`, with one function per integer group value (for example per fold); groups may differ in width."""
 
     @F.arrow_udf("array<double>")
     def run(groups: pa.Array, values: pa.Array) -> pa.Array:
         g = groups.to_numpy(zero_copy_only=False)
-        x = to_matrix(values)
-        out: np.ndarray | None = None
+        parts, places = [], []
         for key in np.unique(g):
             rows = np.flatnonzero(g == key)
-            part = fns[int(key)](x[rows])
-            if out is None:
-                out = np.empty((len(g), part.shape[1]))
-            out[rows] = part
-        return to_lists(out if out is not None else x)
+            parts.append(to_lists(fns[int(key)](to_matrix(values.take(pa.array(rows))))))
+            places.append(rows)
+        if len(parts) < 2:
+            return parts[0] if parts else values.cast(pa.list_(pa.float64()))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(places))))
 
     return run(group, features)
 
@@ -79,7 +78,7 @@ def partial_sums(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = to_matrix(batch.column(batch.schema.get_field_index(features)))
+            values = batch.column(batch.schema.get_field_index(features))
             if keys:
                 table = batch.select(keys).to_pandas()
                 groups = table.groupby(keys, dropna=False, sort=False).indices
@@ -87,7 +86,8 @@ def partial_sums(
                 groups = {(): np.arange(batch.num_rows)}
             for key, rows in groups.items():
                 key = key if isinstance(key, tuple) else (key,)
-                block = per_block(x[rows], key) if with_key else per_block(x[rows])
+                x = to_matrix(values.take(pa.array(rows)) if keys else values)
+                block = per_block(x, key) if with_key else per_block(x)
                 if key in totals:
                     totals[key][0] += len(rows)
                     totals[key][1] += block

@@ -78,7 +78,11 @@ def multinomial_stats(
     """(fold?, label, pos, logp); negative inputs count as zero."""
     keys = [fold] if fold else []
     clipped = df.withColumn(features, clip_nonnegative(doubles(features)))
-    stats = _count_stats(clipped, label, features, F.sum, fold, k)
+    return multinomial_from_counts(_count_stats(clipped, label, features, F.sum, fold, k), keys, label, alpha)
+
+
+def multinomial_from_counts(stats: DataFrame, keys: list[str], label: str, alpha: float) -> DataFrame:
+    """(keys..., label, pos, logp) from the sums n_cj of every class and column."""
     total = stats.groupBy(*keys, label).agg(F.sum("n_cj").alias("_n"), F.count(F.lit(1)).alias("_d"))
     logp = F.log((F.col("n_cj") + alpha) / (F.col("_n") + alpha * F.col("_d")))
     return stats.join(total, [*keys, label]).select(*keys, label, "pos", logp.alias("logp"))
@@ -90,7 +94,11 @@ def bernoulli_stats(
     """(fold?, label, pos, p) with p = (n_cj + alpha) / (n_c + 2 alpha), inputs cut at > 0."""
     keys = [fold] if fold else []
     stats = _count_stats(df, label, features, lambda x: F.sum((x > 0).cast("bigint")), fold, k)
-    sizes = class_sizes(df, label, fold, k)
+    return bernoulli_from_counts(stats, class_sizes(df, label, fold, k), keys, label, alpha)
+
+
+def bernoulli_from_counts(stats: DataFrame, sizes: DataFrame, keys: list[str], label: str, alpha: float) -> DataFrame:
+    """(keys..., label, pos, p) from the positive counts n_cj and the class sizes n_c."""
     p = (F.col("n_cj") + alpha) / (F.col("n_c") + 2 * alpha)
     return stats.join(sizes, [*keys, label]).select(*keys, label, "pos", p.alias("p"))
 
@@ -152,10 +160,13 @@ def _assemble(rows, fold, label, fields) -> tuple[list, dict[int, dict[str, np.n
     """Parameter rows (one per column and class) to matrices per fold."""
     classes = sorted({r[label] for r in rows})
     index = {c: i for i, c in enumerate(classes)}
-    width = max(r["pos"] for r in rows) + 1
-    out: dict[int, dict[str, np.ndarray]] = {}
+    widths: dict[int, int] = {}
+    for r in rows:
+        key = int(r[fold]) if fold else -1
+        widths[key] = max(widths.get(key, 0), r["pos"] + 1)
+    out = {key: {f: np.full((len(classes), width), np.nan) for f in fields} for key, width in widths.items()}
     for r in rows:
-        part = out.setdefault(int(r[fold]) if fold else -1, {f: np.full((len(classes), width), np.nan) for f in fields})
+        part = out[int(r[fold]) if fold else -1]
         for f in fields:
             value = r[f]
             if value is not None:
@@ -190,15 +201,25 @@ def fit_naive_bayes(
     """One model per fold in one pass, or a single model when ``fold`` is None."""
     sizes = class_sizes(df, label, fold, k)
     if kind == "gaussian":
-        stats, fields = gaussian_stats(df, label, features, fold, k, standardize), ["mean", "var", "mu", "sd"]
+        stats = gaussian_stats(df, label, features, fold, k, standardize)
     elif kind == "multinomial":
-        stats, fields = multinomial_stats(df, label, features, alpha, fold, k), ["logp"]
+        stats = multinomial_stats(df, label, features, alpha, fold, k)
     elif kind == "bernoulli":
-        stats, fields = bernoulli_stats(df, label, features, alpha, fold, k), ["p"]
+        stats = bernoulli_stats(df, label, features, alpha, fold, k)
     else:
         raise ValueError(f"unknown kind: {kind}")
+    return naive_bayes_model(kind, stats, sizes, label, features, fold, fit_prior)
+
+
+FIELDS = {"gaussian": ["mean", "var", "mu", "sd"], "multinomial": ["logp"], "bernoulli": ["p"]}
+
+
+def naive_bayes_model(
+    kind: str, stats: DataFrame, sizes: DataFrame, label: str = "label", features: str = "features", fold: str | None = None, fit_prior: bool = True
+) -> NaiveBayesModel:
+    """The model of class statistics (fold?, label, pos, parameters) and class sizes (fold?, label, n_c)."""
     rows = collect_bounded(stats, MAX_PARAMETERS, "class statistics")
-    classes, raw = _assemble(rows, fold, label, fields)
+    classes, raw = _assemble(rows, fold, label, FIELDS[kind])
     priors = _prior_vectors(sizes, fold, label, classes, fit_prior)
     parts = {}
     for f, p in raw.items():

@@ -78,15 +78,15 @@ class PCA(FeatureStep):
         mean = column_means(arr, self.features)
         d = len(mean)
         n, gram = collect_matrix(gram_sums(arr, self.features, mean), d, d, "covariance")
-        values, vectors = np.linalg.eigh(gram / max(n - 1, 1))
-        order = np.argsort(values)[::-1]
-        values, vectors = np.maximum(values[order], 0.0), vectors[:, order].T
-        largest = np.argmax(np.abs(vectors), axis=1)
-        signs = np.sign(vectors[np.arange(d), largest])
-        return mean, values, vectors * np.where(signs == 0, 1.0, signs)[:, None]
+        return mean, *principal_axes(gram / max(n - 1, 1))
 
     def _fit(self, dataset: DataFrame) -> RowMap:
         mean, values, vectors = self.spectrum(dataset)
+        basis, m = self.basis(values, vectors)
+        return self._map(lambda a: map_matrix(lambda x: (x - mean) @ basis, a), components=m, eigenvalues=values)
+
+    def basis(self, values: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, int]:
+        """The kept axes as columns, scaled to unit variance when whitening, and their number."""
         if self.n_components is not None:
             m = min(int(self.n_components), len(values))
         else:
@@ -95,7 +95,16 @@ class PCA(FeatureStep):
         basis = vectors[:m].T
         if self.whiten:
             basis = basis / np.sqrt(np.maximum(values[:m], 1e-300))
-        return self._map(lambda a: map_matrix(lambda x: (x - mean) @ basis, a), components=m, eigenvalues=values)
+        return basis, m
+
+
+def principal_axes(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues descending, axes as rows), the largest entry of every axis being positive."""
+    values, vectors = np.linalg.eigh(covariance)
+    order = np.argsort(values)[::-1]
+    values, vectors = np.maximum(values[order], 0.0), vectors[:, order].T
+    signs = np.sign(vectors[np.arange(len(values)), np.argmax(np.abs(vectors), axis=1)])
+    return values, vectors * np.where(signs == 0, 1.0, signs)[:, None]
 
 
 class PolynomialFeatures(FeatureStep):

@@ -20,22 +20,30 @@ MAX_COLUMNS = 100_000
 
 def chi2_scores(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """(pos, score, pvalue): observed per-class sums against class share x column total."""
-    stats = moments(df.withColumn(features, clip_nonnegative(doubles(features))), [label], features)
-    column = stats.groupBy("pos").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    return chi2_from_moments(moments(df.withColumn(features, clip_nonnegative(doubles(features))), [label], features))
+
+
+def chi2_from_moments(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., pos, score, pvalue) from the moments of every class and column."""
+    at = [*(keys or []), "pos"]
+    column = stats.groupBy(*at).agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
     expected = F.col("n") / F.col("_n") * F.col("_s")
     gap = F.col("s") - expected
-    scored = stats.join(column, "pos").groupBy("pos", "_k").agg(
-        F.sum(F.when(expected != 0, gap * gap / expected)).alias("score")
-    )
-    return scored.select("pos", "score", chi2_pvalue(F.coalesce(F.col("score"), F.lit(float("nan"))), F.col("_k") - 1).alias("pvalue"))
+    scored = stats.join(column, at).groupBy(*at, "_k").agg(F.sum(F.when(expected != 0, gap * gap / expected)).alias("score"))
+    return scored.select(*at, "score", chi2_pvalue(F.coalesce(F.col("score"), F.lit(float("nan"))), F.col("_k") - 1).alias("pvalue"))
 
 
 def f_scores(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """(pos, score, pvalue): between-class over within-class mean square."""
-    stats = moments(df, [label], features)
-    centre = stats.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("_mean"))
+    return f_from_moments(moments(df, [label], features))
+
+
+def f_from_moments(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., pos, score, pvalue) from the moments of every class and column."""
+    at = [*(keys or []), "pos"]
+    centre = stats.groupBy(*at).agg((F.sum("s") / F.sum("n")).alias("_mean"))
     off = F.col("s") / F.col("n") - F.col("_mean")
-    column = stats.join(centre, "pos").groupBy("pos").agg(
+    column = stats.join(centre, at).groupBy(*at).agg(
         F.sum("m2").alias("_within"),
         F.sum(F.col("n") * off * off).alias("_between"),
         F.sum("n").alias("_n"),
@@ -44,7 +52,7 @@ def f_scores(df: DataFrame, label: str = "label", features: str = "features") ->
     d1, d2 = F.col("_k") - 1, F.col("_n") - F.col("_k")
     score = F.when(F.col("_within") > 0, (F.col("_between") / d1) / (F.col("_within") / d2))
     s = F.coalesce(score, F.lit(float("nan")))
-    return column.select("pos", score.alias("score"), f_pvalue(s, d1.cast("double"), d2.cast("double")).alias("pvalue"))
+    return column.select(*at, score.alias("score"), f_pvalue(s, d1.cast("double"), d2.cast("double")).alias("pvalue"))
 
 
 SCORES = {"chi2": chi2_scores, "f_classif": f_scores}
