@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.arrow import map_matrix, to_lists, to_matrix
 from foldwright.functions.exprs import argmax_index, doubles, softmax
+from foldwright.operators import svm
 from foldwright.operators.project import Nystroem
 from foldwright.operators.select import width_of, with_vector
 from foldwright.session import collect_bounded
@@ -106,50 +107,88 @@ class VectorClassifier(Classifier):
         return VectorModel(est.fit(train), classes, self.features)
 
 
-class LinearSVM(VectorClassifier):
-    """One linear SVM per class.  Spark optimises the hinge loss with an l2 penalty."""
+class LinearSVM(Classifier):
+    """Squared-hinge SVM per class against the others, with l2 or l1 penalty (:mod:`foldwright.operators.svm`)."""
 
-    def __init__(self, C=1.0, tol=1e-4, penalty="l2", loss="squared_hinge", max_iter=100, **kw):
+    def __init__(self, C=1.0, tol=1e-4, penalty="l2", loss="squared_hinge", max_iter=100, weight=None, **kw):
         super().__init__(**kw)
-        if penalty != "l2" or loss != "squared_hinge":
-            raise ValueError("only the l2 penalty with squared hinge is allowed")
-        self.C, self.tol, self.max_iter = float(C), float(tol), int(max_iter)
+        if penalty not in ("l1", "l2") or loss != "squared_hinge":
+            raise ValueError("only the squared hinge with l2 or l1 penalty is allowed")
+        self.C, self.tol, self.penalty, self.max_iter, self.weight = float(C), float(tol), penalty, int(max_iter), weight
 
-    def estimator(self, df):
-        reg = 1.0 / (self.C * max(df.count(), 1))
-        return OneVsRest(classifier=LinearSVC(regParam=reg, tol=self.tol, maxIter=self.max_iter), parallelism=4)
+    def weights(self, df: DataFrame, classes: list) -> np.ndarray:
+        """(problems, columns + 1); two classes make one problem, the larger class being positive."""
+        rows = svm.training_rows(df, classes, self.label, self.features, self.weight)
+        return svm.solve(rows, self.problems(classes), width_of(df, self.features), self.C, self.penalty, self.tol, self.max_iter)
+
+    @staticmethod
+    def problems(classes: list) -> list[svm.Problem]:
+        return [svm.Problem(1)] if len(classes) == 2 else [svm.Problem(i) for i in range(len(classes))]
+
+    def fit(self, df: DataFrame) -> FittedClassifier:
+        classes = class_values(df, self.label)
+        if len(classes) == 1:
+            return ConstantModel(classes)
+        w = self.weights(df, classes)
+        return LinearModel(np.concatenate([-w, w]) if len(classes) == 2 else w, classes, self.features)
 
 
 @dataclass
-class MappedModel(FittedClassifier):
-    """A classifier behind a fitted feature map."""
+class PairModel(FittedClassifier):
+    """One weight row per pair of classes i < j over mapped features; a decision of zero or more is for i."""
 
     step: object
-    inner: FittedClassifier
+    weights: np.ndarray
+    classes: list
     features: str
-    classes: list = field(default_factory=list)
 
-    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        kept = df.withColumn("_kept", F.col(self.features))
-        return self.inner.predict(self.step.transform(kept), name).drop(self.features).withColumnRenamed("_kept", self.features)
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        return list(combinations(range(len(self.classes)), 2))
+
+    def decisions(self, df: DataFrame, name: str = "decisions") -> DataFrame:
+        """Adds the decisions of all pairs, in the order (0, 1), (0, 2), ..."""
+        mapped = self.step.transform(df.withColumn("_kept", F.col(self.features)))
+        out = mapped.withColumn(name, svm.decisions(self.weights, self.features))
+        return out.drop(self.features).withColumnRenamed("_kept", self.features)
+
+    def pair_rows(self, df: DataFrame, row_id: str = "row_id") -> DataFrame:
+        """(row_id, i, j, decision): the input of :func:`pair_votes`, with classes in place of their numbers."""
+        names = F.array(*[F.struct(F.lit(self.classes[i]).alias("i"), F.lit(self.classes[j]).alias("j")) for i, j in self.pairs])
+        rows = self.decisions(df, "_d").select(row_id, F.explode(F.arrays_zip(names.alias("p"), F.col("_d").alias("decision"))).alias("e"))
+        return rows.select(row_id, "e.p.i", "e.p.j", "e.decision")
 
     def scores(self, df: DataFrame, name: str = "scores") -> DataFrame:
-        kept = df.withColumn("_kept", F.col(self.features))
-        return self.inner.scores(self.step.transform(kept), name).drop(self.features).withColumnRenamed("_kept", self.features)
+        """Votes per class, plus its summed confidence squeezed into a third, which orders equal votes."""
+        first, second = np.zeros((len(self.pairs), len(self.classes))), np.zeros((len(self.pairs), len(self.classes)))
+        for k, (i, j) in enumerate(self.pairs):
+            first[k, i], second[k, j] = 1.0, 1.0
+
+        def vote(d: np.ndarray) -> np.ndarray:
+            confidence = d @ (first - second)
+            return (d >= 0) @ first + (d < 0) @ second + confidence / (3 * (np.abs(confidence) + 1))
+
+        return self.decisions(df, "_d").withColumn(name, map_matrix(vote, "_d")).drop("_d")
 
 
 class KernelSVM(Classifier):
-    """Linear SVM over a landmark kernel map."""
+    """Squared-hinge SVMs of all pairs of classes, trained in common passes over a landmark kernel map."""
 
-    def __init__(self, C=1.0, kernel="rbf", degree=3, gamma=0.1, coef0=0.0, shrinking=True, tol=1e-4, landmarks=200, max_iter=50, **kw):
+    def __init__(self, C=1.0, kernel="rbf", degree=3, gamma=0.1, coef0=0.0, shrinking=True, tol=1e-4, landmarks=200, max_iter=50, weight=None, **kw):
         super().__init__(**kw)
         self.map = Nystroem(kernel, landmarks, gamma, degree, coef0, features=self.features, row_id=self.row_id)
-        self.inner = LinearSVM(C, tol, max_iter=max_iter, **kw)
+        self.C, self.tol, self.max_iter, self.weight = float(C), float(tol), int(max_iter), weight
 
     def fit(self, df: DataFrame) -> FittedClassifier:
+        classes = class_values(df, self.label)
+        if len(classes) == 1:
+            return ConstantModel(classes)
         step = self.map.fit(df)
-        inner = self.inner.fit(step.transform(df))
-        return MappedModel(step, inner, self.features, inner.classes)
+        mapped = step.transform(df)
+        pairs = [svm.Problem(i, j) for i, j in combinations(range(len(classes)), 2)]
+        rows = svm.training_rows(mapped, classes, self.label, self.features, self.weight)
+        w = svm.solve(rows, pairs, width_of(mapped.limit(1), self.features), self.C, "l2", self.tol, self.max_iter)
+        return PairModel(step, w, classes, self.features)
 
 
 def pair_votes(pairs: DataFrame, row_id: str = "row_id") -> DataFrame:

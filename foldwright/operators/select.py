@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,24 +173,20 @@ class TreeSelect(_Selector):
 
 
 class LinearSelect(_Selector):
-    """Columns whose summed |coefficient| over the classes is at least the mean.
-
-    An l1 logistic model stands in for an l1 linear SVM, which Spark does not offer.
-    """
+    """Columns whose summed |coefficient| over the classes is at least the mean, from an l1 (or l2) squared-hinge SVM."""
 
     def __init__(self, C: float = 1.0, tol: float = 1e-4, loss: str = "squared_hinge", penalty: str = "l1", max_iter: int = 100, **kw):
         super().__init__(**kw)
-        if penalty == "l1" and loss == "hinge":
-            raise ValueError("l1 penalty with hinge loss is not allowed")
-        self.C, self.tol, self.max_iter = float(C), float(tol), max_iter
+        if loss != "squared_hinge" or penalty not in ("l1", "l2"):
+            raise ValueError("only the squared hinge with l1 or l2 penalty is allowed")
+        self.C, self.tol, self.penalty, self.max_iter = float(C), float(tol), penalty, max_iter
 
     def importances(self, dataset: DataFrame) -> DataFrame:
-        n = dataset.count()
-        model = LogisticRegression(
-            featuresCol="_vec", labelCol=self.label, elasticNetParam=1.0, regParam=1.0 / (self.C * n),
-            tol=self.tol, maxIter=self.max_iter, family="multinomial",
-        ).fit(with_vector(dataset, self.features))
-        return importance_table(dataset, abs(model.coefficientMatrix.toArray()).sum(axis=0))
+        from foldwright.operators.linear import LinearSVM, class_values
+
+        estimator = LinearSVM(self.C, self.tol, self.penalty, max_iter=self.max_iter, label=self.label, features=self.features)
+        w = estimator.weights(dataset, class_values(dataset, self.label))
+        return importance_table(dataset, np.abs(w[:, :-1]).sum(axis=0))
 
     def _fit(self, dataset: DataFrame) -> RowMap:
         return self._keep(above_mean(self.importances(dataset)))

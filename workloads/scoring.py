@@ -16,8 +16,10 @@ from foldwright.operators.naive_bayes import (
 )
 from foldwright.functions import exprs as X
 from foldwright.operators.discriminant import LDA, QDA, within_covariance
-from foldwright.operators.linear import SGD, KernelSVM, LinearSVM, OneVsRestMultilabel, PassiveAggressive, pair_votes
+from foldwright.operators import svm
+from foldwright.operators.linear import SGD, KernelSVM, LinearSVM, OneVsRestMultilabel, PairModel, PassiveAggressive, pair_votes
 from foldwright.operators.neighbors import KNeighbors, nearest, vote
+from foldwright.operators.steps import Identity
 from foldwright.operators.trees import AdaBoost, DecisionTree, ExtraTrees, GradientBoosting, RandomForest, samme_round
 from workloads.base import SHIFTED_CELLS, item_matrix, query, r, shifted_items, table, vectors
 from workloads.preparation import ITEM_CELLS, VEC_CELLS
@@ -628,3 +630,63 @@ def _(spark, sf):
     )
     pairs = rows.select("row_id", "e.i", "e.j", F.col("e.d").alias("decision"))
     return pair_votes(pairs).select("row_id", "class", r("score").alias("score"))
+
+
+# ---------------------------------------------------------------- squared-hinge machines on one column
+
+_SVM_STEPS = 14
+
+
+def _newton_sql(problems: str, rows: str) -> str:
+    """Newton steps of the l2 problems (p, positive, negative or NULL) over rows (y, x) with C = 0.01: CTEs s0 ... s14 of (p, w, b)."""
+    start = f"""rows AS (SELECT y, x, count(*) AS s FROM ({rows}) GROUP BY y, x), problems AS ({problems}),
+cases AS MATERIALIZED (SELECT p, x, s, CASE WHEN y = positive THEN 1.0 ELSE -1.0 END AS y FROM rows JOIN problems ON y = positive OR negative IS NULL OR y = negative),
+s0 AS (SELECT p, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM problems)"""
+    step = """, s{n} AS MATERIALIZED (
+  SELECT p, w - (h22 * gw - h12 * gb) / (h11 * h22 - h12 * h12) AS w, b - (h11 * gb - h12 * gw) / (h11 * h22 - h12 * h12) AS b
+  FROM (SELECT p, w, b, 1 + 0.02 * sum(s * x * x) FILTER (slack > 0) AS h11, 0.02 * sum(s * x) FILTER (slack > 0) AS h12, 1 + 0.02 * sum(s) FILTER (slack > 0) AS h22,
+               w - 0.02 * sum(s * y * slack * x) FILTER (slack > 0) AS gw, b - 0.02 * sum(s * y * slack) FILTER (slack > 0) AS gb
+        FROM (SELECT p, w, b, x, s, y, 1 - y * (w * x + b) AS slack FROM cases JOIN s{m} USING (p)) GROUP BY p, w, b))"""
+    return start + "".join(step.format(n=n, m=n - 1) for n in range(1, _SVM_STEPS + 1))
+
+
+def _priced(spark, sf):
+    """(row_id, label, features) of the line items: class by return flag, the price per hundred thousand."""
+    return item_matrix(spark, sf).select("row_id", "label", F.array(F.get("features", F.lit(1)) / 100000).alias("features"))
+
+
+_PRICED_SQL = "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, l_extendedprice / 100000 AS x FROM lineitem"
+
+
+@query(
+    "linear_svm_weights",
+    f"""WITH {_newton_sql("SELECT unnest([0, 1, 2]) AS p, unnest([0, 1, 2]) AS positive, NULL::INT AS negative", _PRICED_SQL)}
+SELECT p AS class, round(w, 5) + 0 AS weight, round(b, 5) + 0 AS intercept, round((w * w + b * b) / 2 + 0.01 * sum(s * greatest(0, 1 - y * (w * x + b)) ** 2), 4) + 0 AS loss, true AS settled
+FROM cases JOIN s{_SVM_STEPS} USING (p) GROUP BY p, w, b""",
+)
+def _(spark, sf):
+    df = _priced(spark, sf)
+    machine = LinearSVM(C=0.01, tol=1e-9)
+    classes = [0, 1, 2]
+    w = machine.weights(df, classes)
+    rows = svm.training_rows(df, classes, "label", "features")
+    loss, gap = svm.loss_and_gradient(rows, machine.problems(classes), w, 0.01)
+    table_ = [(c, float(w[c, 0]), float(w[c, 1]), float(loss[c]), bool(gap[c] < 1e-5)) for c in classes]
+    out = spark.createDataFrame(table_, "class int, weight double, intercept double, loss double, settled boolean")
+    return out.select("class", r("weight", 5).alias("weight"), r("intercept", 5).alias("intercept"), r("loss", 4).alias("loss"), "settled")
+
+
+@query(
+    "one_against_one_votes",
+    f"""WITH {_newton_sql("SELECT unnest([0, 1, 2]) AS p, unnest([0, 0, 1]) AS positive, unnest([1, 2, 2]) AS negative", _PRICED_SQL)},
+d AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, positive AS i, negative AS j, w * l_extendedprice / 100000 + b AS d FROM lineitem, problems JOIN s{_SVM_STEPS} USING (p)),
+v AS (SELECT row_id, i AS c, -d AS conf, CASE WHEN d >= 0 THEN 1 ELSE 0 END AS v FROM d UNION ALL SELECT row_id, j, d, CASE WHEN d < 0 THEN 1 ELSE 0 END FROM d),
+g AS (SELECT row_id, c, sum(conf) AS conf, sum(v) AS v FROM v GROUP BY ALL), m AS (SELECT greatest(abs(max(conf)), abs(min(conf))) AS m FROM g)
+SELECT row_id, c AS "class", round(v + conf * (0.5 - 2.220446049250313e-16) / m, 4) + 0 AS score FROM g, m""",
+)
+def _(spark, sf):
+    df = _priced(spark, sf)
+    pairs = [svm.Problem(0, 1), svm.Problem(0, 2), svm.Problem(1, 2)]
+    w = svm.solve(svm.training_rows(df, [0, 1, 2], "label", "features"), pairs, 1, 0.01, tol=1e-9)
+    model = PairModel(Identity().fit(df), w, [0, 1, 2], "features")
+    return pair_votes(model.pair_rows(df)).select("row_id", "class", r("score", 4).alias("score"))
