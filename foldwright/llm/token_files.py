@@ -5,7 +5,8 @@ filter on doc_id let a reader skip stripes and row groups by metadata; stripes a
 before the row in its part, so a document's place in the whole stream is the sum of the parts before plus its offset.
 
 Texts of common characters are cut into pretokens by a pattern and each distinct pretoken is encoded once per worker by the
-tokenizers library; all other texts go to the library whole.
+tokenizers library; all other texts go to the library whole, also those that hold the string of an added token, which the library
+reads as that token.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        strings = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, strings)) or "(?!)")  # texts that hold one go to the library whole
         self.opens = np.zeros(self.library.get_vocab_size(), dtype=bool)
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith(SPACE_SIGN)
@@ -78,7 +80,7 @@ class WordEncoder:
         self.words.update(zip(other, self._batch(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [PRETOKEN.findall(t) if COMMON.fullmatch(t) else None for t in texts]
+        cut = [PRETOKEN.findall(t) if COMMON.fullmatch(t) and not self.added.search(t) else None for t in texts]
         whole = [i for i, c in enumerate(cut) if c is None]
         if len(self.words) > CACHED_WORDS:  # words in use move over from the older table
             self.words, self.older = {}, self.words
@@ -95,9 +97,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     """Write the ids of every whole text, an end id after each document, in ascending doc_id order.
 
     Null texts count as empty and give the end id alone; null ids come first; rows that repeat an id follow each other in text
-    order.  An empty table writes no rows.
+    order.  Other columns are ignored; an empty table writes no rows.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer_path)
