@@ -14,6 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwright.session import collect_bounded
+
+MAX_KNOWN = 10_000
+
 # Equivalent spellings (written with spaces for punctuation).
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
@@ -144,28 +148,21 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, text_digest, license_id (of the whole text, or null), notices.
 
-    ``notices`` lists, in order and without repeats, the licences that some whole line of the text names.  Null texts count as
-    empty; an empty canonical text or line matches nothing.  Repeated rows stay; other columns are ignored.  ``known`` has
-    (license_id, digest) with one row per digest; licence lists are bounded, so it is broadcast.
+    ``notices`` lists, in order and without repeats, the licences that some whole line of the row's own text names.  Null texts count
+    as empty; an empty canonical text or line matches nothing.  Rows are judged one by one, also where they share an id or have none;
+    repeated rows stay; other columns are ignored; an empty table gives an empty result.  ``known`` has (license_id, digest) with one
+    row per digest and at most MAX_KNOWN rows.
     """
-    known = F.broadcast(known if known is not None else known_digests(docs.sparkSession))
+    table = known if known is not None else known_digests(docs.sparkSession)
+    names = {r["digest"]: r["license_id"] for r in collect_bounded(table.select("digest", "license_id"), MAX_KNOWN, "known licences")}
+    by_digest = F.create_map(*[F.lit(v) for pair in names.items() for v in pair]) if names else F.lit(None).cast("map<string,string>")
     rows = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    line_hits = (
-        rows.select("doc_id", F.explode(F.array_distinct(F.split("lines", "\n"))).alias("line"))
-        .select("doc_id", F.trim("line").alias("line"))
-        .filter("line <> ''")
-        .select("doc_id", F.sha2("line", 256).alias("digest"))
-        .join(known, "digest")
-        .groupBy("doc_id")
-        .agg(F.concat_ws(",", F.array_sort(F.collect_set("license_id"))).alias("notices"))
-        .withColumnRenamed("doc_id", "of")
-    )
-    whole = canonical(F.col("lines"))
-    texts = rows.select("doc_id", whole.alias("whole")).select("doc_id", F.sha2("whole", 256).alias("text_digest"), match_digest(F.col("whole")).alias("digest"))
-    return (
-        texts.join(known, "digest", "left")
-        .join(line_hits, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-        .select("doc_id", "text_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+    lines = F.filter(F.transform(F.array_distinct(F.split("lines", "\n")), lambda line: F.trim(line)), lambda line: line != "")
+    digests = F.filter(F.transform(lines, lambda line: F.sha2(line, 256)), lambda d: d.isin(list(names)))
+    notices = F.array_join(F.array_sort(F.array_distinct(F.transform(digests, lambda d: F.element_at(by_digest, d)))), ",")
+    texts = rows.select("doc_id", canonical(F.col("lines")).alias("whole"), notices.alias("notices"))
+    return texts.select("doc_id", F.sha2("whole", 256).alias("text_digest"), match_digest(F.col("whole")).alias("digest"), "notices").select(
+        "doc_id", "text_digest", F.when(F.col("digest").isin(list(names)), F.element_at(by_digest, F.col("digest"))).alias("license_id"), "notices"
     )
 
 
@@ -178,10 +175,10 @@ def oracle() -> str:
     one = r"sha256(trim(regexp_replace({}, '[ \n]+', ' ', 'g'), ' '))"
     return f"""
     WITH k AS (SELECT DISTINCT license_id, {one.format(unified)} AS digest FROM (VALUES {quoted}) t(license_id, text)),
-    d AS (SELECT doc_id, {unified} AS lines FROM documents),
-    l AS (SELECT DISTINCT doc_id, trim(unnest(string_split(lines, chr(10))), ' ') AS line FROM d),
-    h AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-          FROM l JOIN k ON sha256(line) = digest WHERE line <> '' GROUP BY doc_id)
+    d AS (SELECT row_number() OVER () AS row, doc_id, {unified} AS lines FROM documents),
+    l AS (SELECT DISTINCT row, trim(unnest(string_split(lines, chr(10))), ' ') AS line FROM d),
+    h AS (SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+          FROM l JOIN k ON sha256(line) = digest WHERE line <> '' GROUP BY row)
     SELECT d.doc_id, {one.format("lines")} AS text_digest, k.license_id, coalesce(h.notices, '') AS notices
-    FROM d LEFT JOIN k ON {one.format("lines")} = k.digest LEFT JOIN h ON d.doc_id = h.doc_id
+    FROM d LEFT JOIN k ON {one.format("lines")} = k.digest LEFT JOIN h ON d.row = h.row
     """
