@@ -34,6 +34,7 @@ LEAST_PERCENT = 75
 LEAST_ESTIMATE = 0.55
 LEADERS = 3  # confirmed first per document
 BLOCK, SMALL = 1024, 48
+LONG_WORD = 64  # bytes
 
 _ROOT = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
 _ROOT_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -71,6 +72,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])]
     words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):  # sums modulo 2**64 tell long words apart badly
+        words[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), dtype=np.uint64)[0]
     place = np.searchsorted(starts, begins)
     grams = np.zeros(max(0, len(words) - WORDS + 1), dtype=np.uint64)
     for k, factor in enumerate(_word_factors()):
