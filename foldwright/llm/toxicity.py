@@ -162,7 +162,7 @@ def decode(model: CharacterModel, token: str) -> list[str]:
     The state is the pair of last letters.  A run of one sign may be one letter or two; a joint between letters is either part of
     the disguise or the end of a word; other signs end a word.
     """
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # a path is (path before, letters), read back at the end
     i, n = 0, len(token)
     while i < n:
         c = token[i]
@@ -183,8 +183,8 @@ def decode(model: CharacterModel, token: str) -> list[str]:
             arcs.append((" ", SKIP_COST if readings else BREAK_COST if c in JOINTS else 0.0))
             if c in JOINTS and length == 1:
                 arcs.append(("", JOIN_COST))
-        following: dict[str, tuple[float, str]] = {}
-        for context, (score, text) in states.items():
+        following: dict[str, tuple[float, tuple]] = {}
+        for context, (score, path) in states.items():
             for letters, cost in arcs:
                 s, state = score - cost, context
                 if letters == " ":
@@ -196,11 +196,21 @@ def decode(model: CharacterModel, token: str) -> list[str]:
                         s += model.log(state, letter)
                         state = state[1] + letter
                 if state not in following or s > following[state][0]:
-                    following[state] = (s, text + letters)
+                    following[state] = (s, (path, letters))
         states = following
         i = j
-    best = max(((s + (model.log(c, "$") if c != "^^" else 0.0), t) for c, (s, t) in states.items()), default=(0.0, ""))
-    return best[1].split()
+    ends = [(s + (model.log(c, "$") if c != "^^" else 0.0), path) for c, (s, path) in states.items()]
+    best = max(s for s, _ in ends)
+    return max("".join(_letters(path)) for s, path in ends if s == best).split()
+
+
+def _letters(path: tuple | None) -> list[str]:
+    """The letters of a path, first to last."""
+    out = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return out[::-1]
 
 
 def words_of(model: CharacterModel | None, token: str) -> list[str]:
