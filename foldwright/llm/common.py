@@ -59,34 +59,25 @@ def remainder(doc_id: Column | str, divisor: int) -> Column:
     return F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8")) % divisor
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, characters: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut Arrow batches into slices of about ``characters`` of text, so that memory follows the slice and not the batch.
+def text_ranges(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, texts) of slices of about ``size`` bytes, cut before any text becomes a Python string.
 
     A text longer than that is a slice of its own; a null text counts as empty.
     """
+    reach = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(reach[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(reach, before + size, side="right")))
+        yield start, stop, [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Arrow batches in the slices of :func:`text_ranges`, so that memory follows the slice and not the batch."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            if i > start and held + len(t) > characters:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
-
-
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """As :func:`pieces`, but cut by the bytes of the texts before any text becomes a Python string."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
-        reach = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            before = int(reach[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(reach, before + size, side="right")))
-            yield batch.slice(start, stop - start), [t or "" for t in texts.slice(start, stop - start).to_pylist()]
-            start = stop
+        for start, stop, texts in text_ranges(batch.column(batch.schema.get_field_index(column)), size):
+            yield batch.slice(start, stop - start), texts
 
 
 #: DuckDB expression of the crc32 of a BIGINT's decimal digits; ``{}`` stands for it.

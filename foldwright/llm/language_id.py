@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import pieces
+from foldwright.llm.common import pieces, text_ranges
 from foldwright.session import collect_bounded
 
 BUCKETS = 1 << 18
@@ -210,7 +210,22 @@ def language_of_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """The rows whose main language is known and has at least ``least_share`` of the text; columns as given."""
+    """The rows whose main language is known and has at least ``least_share`` of the text; columns as given.
+
+    Texts without letters go, null ones too; rows are judged one by one, so repeated rows and shared or null ids stay alike.  Without
+    any row that has a language nothing is known and every row goes; an empty table stays empty.
+    """
     model = LanguageModel.fit(docs.filter(~held_out()).select("text", "lang"))
-    found = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"])
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model.logs)  # at most BUCKETS x MAX_LANGUAGES floats
+
+    @F.arrow_udf("double")
+    def main_share(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for _, _, part in text_ranges(texts):
+            owner, code, letters = trigrams(part)
+            share = infer(owner, code, len(part), shared.value)[0].max(axis=1) if shared.value.shape[1] else np.zeros(len(part))
+            out.append(np.where(letters > 0, share, 0.0).astype(np.float64))
+        return pa.array(np.concatenate(out))
+
+    scored = docs.select(F.struct(*docs.columns).alias("row"), main_share(F.col("text")).alias("share"))
+    return scored.filter((F.col("share") > 0) & (F.col("share") >= least_share)).select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import WORD, text_slices
+from foldwright.llm.common import WORD, pieces
 
 LEAST_WORDS, LEAST_POWER = 24, 3
 DIRECT = 5
@@ -188,7 +188,7 @@ def periodic_runs(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "__text"):
+        for batch, texts in pieces(batches, "__text"):
             words, starts, runs = runs_of_texts(texts)
             owner = np.searchsorted(starts, runs[:, 0], side="right") - 1
             runs = runs[np.lexsort((runs[:, 2], runs[:, 0]))]  # owners stay in order

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import free_shuffles, remainder, text_slices
+from foldwright.llm.common import free_shuffles, remainder, pieces
 from foldwright.session import scratch_path, ship_package
 
 SLICE_BYTES = 8 << 20
@@ -140,7 +140,7 @@ def number_texts(docs: DataFrame, held: Column) -> DataFrame:
             row[1] = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids))
             return pa.RecordBatch.from_arrays([r if isinstance(r, pa.Array) else pa.array(r, t) for r, t in zip(row, types, strict=True)], ["slice", "docs", "held", "lengths", "words", "tokens", "n_tokens"])
 
-        for batch, texts in text_slices(batches, "text"):
+        for batch, texts in pieces(batches, "text"):
             ids.append(batch.column(0))
             held_out += batch.column(2).to_pylist()
             for text in texts:
