@@ -93,6 +93,14 @@ def test_near(docs, nothing):
     assert rows_of(near_dedup.near_dedup(nothing)) == []
 
 
+def test_near_long_words(spark):
+    """Words that sums modulo 2**64 cannot tell apart: a Thue-Morse word of 1024 letters and its complement."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word, "s"), (2, other, "s"), (3, word, "s"), (4, " ".join([word] * 3 + ["x", "y", "z"]), "s"), (5, " ".join([other] * 3 + ["x", "y", "z"]), "s")]
+    assert Counter(rows_of(near_dedup.near_dedup(table(spark, rows)))) == near_brute(rows)
+
+
 def test_near_chains(spark):
     rng = np.random.default_rng(3)
     rows, words = [], [f"w{i}" for i in range(60)]
@@ -175,7 +183,9 @@ def test_tokens(docs, nothing, spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(TOKENS)
-    ordered = sorted(((i, t or "") for i, t, _ in TEXTS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    special = [(20, "hello <|endoftext|> there", "s"), (21, "a<|endoftext|>", "s"), (22, "<|endoftext|><|endoftext|> <|end of text|>", "s")]
+    docs = table(spark, [*TEXTS, *special])
+    ordered = sorted(((i, t or "") for i, t, _ in [*TEXTS, *special]), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want, start = Counter(), 0
     for i, t in ordered:
         ids = [*library.encode(t, add_special_tokens=False).ids, 0]
@@ -239,9 +249,29 @@ def test_licenses(spark, nothing):
     rows = [(1, mit), (2, None), (3, ""), (4, "Intro line\nreleased under the MIT licence!\nLicensed under CC BY-NC 4.0"), (4, "Intro line\nreleased under the MIT licence!\nLicensed under CC BY-NC 4.0"), (5, "MIT License"), (None, mit)]
     found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["license_id"], r["notices"]) for r in found) == Counter([(1, "MIT", ""), (2, None, ""), (3, None, ""), (4, None, "CC-BY-NC-4.0,MIT"), (4, None, "CC-BY-NC-4.0,MIT"), (5, None, ""), (None, "MIT", "")])
+    # notices belong to their row, whatever ids rows share
+    rows = [(4, "x\nLicensed under the MIT License."), (4, "plain words"), (None, "Licensed under CC BY-NC 4.0"), (None, "other words")]
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["notices"]) for r in found) == Counter([(4, "MIT"), (4, ""), (None, "CC-BY-NC-4.0"), (None, "")])
     assert rows_of(licenses.license_scan(nothing)) == []
 
 
+def test_long_tokens_are_decoded_in_time():
+    import time
+
+    started = time.time()
+    token = "".join("a1b0c3d"[i % 7] for i in range(1_000_000))
+    assert len("".join(toxicity.decode(_Flat(), token))) > 0
+    assert time.time() - started < 90
+
+
+class _Flat:
+    """A character model in which every letter is alike."""
+
+    def log(self, context: str, letter: str) -> float:
+        return -1.0
+
+
 def test_toxicity(spark, docs, nothing):
     rng = np.random.default_rng(4)
     clean = ["river", "stone", "garden", "window", "letter", "summer", "market", "simple", "island", "mother", "doctor"]
