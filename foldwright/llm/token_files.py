@@ -35,7 +35,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SPACES = "\t-\r "
 #: Texts of these characters are cut alike by PRETOKEN and by the byte-level pre-tokenizer.
 COMMON = re.compile(f"[\t-\r -~¡-©«-±´¶-¸»¿-ɏ‐-‧]*")
-PRETOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+PRETOKEN = re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")  # most frequent first
 
 
 class WordEncoder:
