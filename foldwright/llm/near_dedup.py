@@ -9,7 +9,8 @@ sizes, and confirmed on the full sets.
 Equal sets are merged first.  In every band bucket all members are compared with one leader, drawn anew for each bucket, and
 each document confirms its most similar leaders.  Where a bucket still holds several components, the members outside its largest
 one are held against all its members in blocks, so that no link between components is lost and copies are never expanded into
-pairs.
+pairs.  The blocks carry short codes of the whole sets: a pair leaves its block only if the codes allow the least similarity, which
+every link does, so that the pairs that are merely alike, whose number grows with the square of a group, stay where they are.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAST_PERCENT = 75
 LEAST_ESTIMATE = 0.55
 LEADERS = 3  # confirmed first per document
 BLOCK, SMALL = 1024, 48
+BLOCK_BYTES = 1 << 23  # codes in a block
+SHORT_CODES = 2048  # sets up to this size have codes of 16 bits, larger ones of 32
 LONG_WORD = 64  # bytes
 
 _ROOT = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
@@ -202,14 +205,57 @@ def best_leaders(estimated: DataFrame, most: int) -> DataFrame:
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
+def set_codes(texts: DataFrame) -> DataFrame:
+    """(id, n_shingles, codes) of every text: the low bits of each shingle hash, two bytes in a short set, else four."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in pieces(batches, "text"):
+            sets = shingle_sets(part)
+            codes = [s.astype("<u2" if len(s) <= SHORT_CODES else "<u4").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(codes, pa.binary())], ["id", "n_shingles", "codes"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_shingles long, codes binary").distinct()
+
+
+def _decode(codes: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(codes, dtype="<u2" if size <= SHORT_CODES else "<u4")
+
+
+def most_common(x: np.ndarray, others: list[np.ndarray], seen: np.ndarray) -> np.ndarray:
+    """At least the size of the intersection of a set with each of the others, from their codes.
+
+    ``seen`` is a table of 2**16 false marks, and is so again at the end.  Shingles in common have the same code in any width.
+    """
+    if x.dtype.itemsize == 4:
+        full = np.unique(x)
+        out = np.array([np.isin(y, full, kind="sort").sum() if y.dtype.itemsize == 4 else 0 for y in others], dtype=np.int64)
+    else:
+        out = np.zeros(len(others), dtype=np.int64)
+    narrow = [i for i, y in enumerate(others) if y.dtype.itemsize == 2 or x.dtype.itemsize == 2]
+    if narrow:
+        marks = x.astype(np.uint16)
+        seen[marks] = True
+        sizes = np.array([len(others[i]) for i in narrow])
+        hit = seen[np.concatenate([others[i].astype(np.uint16) for i in narrow])]
+        out[narrow] = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+        seen[marks] = False
+    return np.minimum(out, len(x))
+
+
+def _possible(common: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    return 100 * common >= LEAST_PERCENT * (n_a + n_b - common)
+
+
 def _crossing(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of two sets of members that lie in different components and may be similar enough.
+    """Pairs of two sets of members that lie in different components and whose codes allow a link.
 
     A pair that shares several buckets is given by its first one.  Estimates are taken only where enough registers agree.
     """
     x, y = (np.frombuffer(b"".join(t["registers"].to_pylist()), dtype="<u2").reshape(t.num_rows, REGISTERS) for t in (left, right))
     (i1, h1, n1), (i2, h2, n2) = ([t[c].to_numpy() for c in ("id", "home", "n_shingles")] for t in (left, right))
+    own, other = ([_decode(c, n) for c, n in zip(t["codes"].to_pylist(), sizes, strict=True)] for t, sizes in ((left, n1), (right, n2)))
     outer2, band = right["outlier"].to_numpy(zero_copy_only=False), left["band"][0].as_py() if left.num_rows else 0
+    seen = np.zeros(1 << 16, dtype=bool)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for k in range(left.num_rows):
         equal = y == x[k]
@@ -220,24 +266,42 @@ def _crossing(left: pa.Table, right: pa.Table) -> pa.Table:
         if len(near):
             value = estimate_jaccard(np.broadcast_to(x[k], (len(near), REGISTERS)), y[near], np.full(len(near), n1[k]), n2[near])
             near = near[value >= LEAST_ESTIMATE]
+        if len(near):
+            near = near[_possible(most_common(own[k], [other[j] for j in near], seen), n1[k], n2[near])]
             out.append((np.full(len(near), i1[k]), i2[near]))
     a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 2
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
+def _codes_allow():
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+        n, m = n_a.to_numpy(), n_b.to_numpy()
+        seen = np.zeros(1 << 16, dtype=bool)
+        pairs = zip(a.to_pylist(), b.to_pylist(), n, m, strict=True)
+        common = np.array([most_common(_decode(p, k), [_decode(q, j)], seen)[0] for p, q, k, j in pairs], dtype=np.int64)
+        return pa.array(_possible(common, n, m), pa.bool_())
+
+    return run
+
+
 def crossing_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) between components that meet in a bucket, from (bucket, band, id, home, n_shingles, registers).
+    """Candidate pairs (a, b) between components that meet in a bucket, from (bucket, band, id, home, n_shingles, registers, codes).
 
-    Members of a bucket outside its largest component are held against all members, in blocks of about BLOCK by BLOCK that a task
-    compares as matrices.  Buckets of up to SMALL members are joined row by row.
+    Members of a bucket outside its largest component are held against all members, in blocks of about BLOCK by BLOCK, fewer where
+    sets are large, that a task compares as matrices.  Buckets of up to SMALL members are joined row by row.
     """
-    homes = members.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("n"))
-    main = homes.groupBy("bucket").agg(F.sum("n").alias("total"), F.max_by("home", F.struct("n", "home")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+    homes = members.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("codes")).alias("bytes"))
+    main = homes.groupBy("bucket").agg(
+        F.sum("n").alias("total"), F.max_by("home", F.struct("n", "home")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"),
+        F.sum("bytes").alias("bytes"), (F.sum("bytes") - F.max_by("bytes", F.struct("n", "home"))).alias("outside_bytes"),
+    )
     placed = members.join(main, "bucket").withColumn("outlier", F.col("home") != F.col("main"))
-    placed = placed.withColumn("left_blocks", F.ceil(F.col("outside") / BLOCK)).withColumn("right_blocks", F.ceil(F.col("total") / BLOCK))
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES))
+    placed = placed.withColumn("left_blocks", blocks("outside", "outside_bytes")).withColumn("right_blocks", blocks("total", "bytes"))
     own_left, own_right = F.pmod(F.xxhash64("id"), F.col("left_blocks")), F.pmod(F.xxhash64("id"), F.col("right_blocks"))
     span = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
-    columns = ["bucket", "band", "id", "home", "n_shingles", "registers", "outlier"]
+    columns = ["bucket", "band", "id", "home", "n_shingles", "registers", "codes", "outlier"]
     large = F.col("total") > SMALL
     left = placed.filter(large & F.col("outlier")).select(*columns, own_left.alias("i"), F.explode(span(F.col("right_blocks"))).alias("j"))
     right = placed.filter(large).select(*columns, F.explode(span(F.col("left_blocks"))).alias("i"), own_right.alias("j"))
@@ -247,8 +311,9 @@ def crossing_pairs(members: DataFrame) -> DataFrame:
     one = small.filter("outlier").select(*(F.col(c).alias(f"{c}_1") for c in columns))
     two = small.select(*(F.col(c).alias(f"{c}_2") for c in columns))
     other = (F.col("bucket_1") == F.col("bucket_2")) & (F.col("home_1") != F.col("home_2")) & (~F.col("outlier_2") | (F.col("id_2") > F.col("id_1")))
-    near = _estimate()("registers_1", "registers_2", "n_shingles_1", "n_shingles_2") >= LEAST_ESTIMATE
-    few = one.join(two, other).filter(near).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
+    sizes = ("n_shingles_1", "n_shingles_2")
+    alike = one.join(two, other).filter(_estimate()("registers_1", "registers_2", *sizes) >= LEAST_ESTIMATE)
+    few = alike.filter(_codes_allow()("codes_1", "codes_2", *sizes)).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
     return found.union(few).distinct()
 
 
@@ -273,7 +338,10 @@ def near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     # members of buckets in which several components meet
     homes = crowd.join(groups, "id", "left").select("id", "bucket", "band", F.coalesce("component_id", "id").alias("home"))
     mixed = homes.groupBy("bucket").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x <> y").select("bucket")
-    members = store(homes.join(mixed, "bucket", "left_semi").join(sketches, "id").select("bucket", "band", "id", "home", "n_shingles", "registers"), "members")
+    places = store(homes.join(mixed, "bucket", "left_semi"), "places")
+    codes = store(set_codes(texts.join(places.select("id").distinct(), "id", "left_semi")), "codes")
+    members = places.join(sketches, "id").join(codes, ["id", "n_shingles"]).select("bucket", "band", "id", "home", "n_shingles", "registers", "codes")
+    members = store(members, "members")
     more = store(confirm(crossing_pairs(members).join(pairs, ["a", "b"], "left_anti"), texts), "links")
     if more.isEmpty():
         return groups
