@@ -53,18 +53,20 @@ DRAW_SQL = f"""
 node(step, spos, node, idx, n, inp, outp) AS (VALUES {NODE_VALUES}),
 param(step, node, key, kind, low, high, log, choices, dflt, parent, pvalues) AS (VALUES {PARAM_VALUES}),
 ids AS (SELECT o_orderkey AS id FROM orders),
-choice AS (SELECT id, step, spos, node, inp, outp FROM ids JOIN node ON idx = CAST(floor({_u("'1:' || CAST(id AS VARCHAR) || ':' || step")} * n) AS INTEGER)),
-drawn AS (
+step(step, n) AS (SELECT step, max(n) FROM node GROUP BY step),
+turn AS MATERIALIZED (SELECT id, step, CAST(floor({_u("'1:' || CAST(id AS VARCHAR) || ':' || step")} * n) AS INTEGER) AS idx FROM ids CROSS JOIN step),
+choice AS MATERIALIZED (SELECT id, step, spos, node, inp, outp FROM turn JOIN node USING (step, idx)),
+drawn AS MATERIALIZED (
   SELECT id, p.step, p.key, p.kind, {_u("'1:' || CAST(id AS VARCHAR) || ':' || p.key")} AS u, low, high, log, choices, parent, pvalues
   FROM choice c JOIN param p ON p.step = c.step AND p.node = c.node),
-vals AS (
+vals AS MATERIALIZED (
   SELECT id, step, key, parent, pvalues,
     CASE WHEN kind = 'cat' THEN choices[CAST(floor(u * len(choices)) AS INTEGER) + 1] END AS txt,
     CASE WHEN kind = 'float' AND log THEN exp(ln(low) + u * (ln(high) - ln(low)))
          WHEN kind = 'float' THEN low + u * (high - low)
          WHEN kind = 'int' AND log THEN floor(exp(ln(low - 0.5) + u * (ln(high + 0.5) - ln(low - 0.5))) + 0.5)
          WHEN kind = 'int' THEN floor(low + u * (high - low + 1)) END AS num FROM drawn),
-active AS (
+active AS MATERIALIZED (
   SELECT v.id, v.step, v.key, v.txt, v.num FROM vals v LEFT JOIN vals p ON p.id = v.id AND p.key = v.parent
   WHERE v.parent IS NULL OR list_contains(v.pvalues, p.txt)),
 config AS (
