@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.exprs import argmax_index, uniform_hash
+from foldwright.functions.exprs import argmax_index
 from foldwright.operators.linear import Classifier, FittedClassifier, VectorClassifier, class_values
+from foldwright.operators.random_trees import RandomTrees, grow, matrix
 from foldwright.operators.select import features_per_split, width_of, with_vector
 from foldwright.operators.steps import FeatureStep, RowMap
 from foldwright.session import materialize
@@ -185,32 +187,44 @@ class AdaBoost(Classifier):
 class RandomTreesEmbedding(FeatureStep):
     """Leaf of every row in totally random trees; ``leaves`` holds ``tree * 2^(depth+1) + leaf``.
 
-    The trees are grown on a random target that is a hash of the row id.  ``max_depth`` bounds the
-    number of leaves per tree, so the encoded width is known before the fit.
+    ``max_depth`` bounds the number of leaves per tree, so the encoded width is known before the fit.
     """
 
     def __init__(self, n_estimators=10, max_depth=5, min_samples_split=2, min_samples_leaf=1, seed=1, **kw):
         super().__init__(**kw)
         self.n_estimators, self.max_depth, self.seed = int(n_estimators), int(max_depth), seed
-        self.min_instances = _instances(min_samples_leaf, min_samples_split)
+        self.min_split, self.min_leaf = int(min_samples_split), int(min_samples_leaf)
 
     def _fit(self, dataset: DataFrame) -> RowMap:
-        forest = RandomForestRegressor(
-            featuresCol="_vec", labelCol="_target", leafCol="_leaf", predictionCol="_pred", numTrees=self.n_estimators,
-            maxDepth=self.max_depth, minInstancesPerNode=self.min_instances, bootstrap=False, featureSubsetStrategy="1", seed=self.seed,
-        )
-        target = uniform_hash(F.lit(self.seed), F.col(self.row_id))
-        model = forest.fit(with_vector(dataset, self.features).withColumn("_target", target))
-        return _LeafMap(model, 2 ** (self.max_depth + 1), self.n_estimators, self.features)
+        width = width_of(dataset, self.features)
+        trees = grow(dataset, self.features, width, self.n_estimators, self.max_depth, self.min_split, self.min_leaf, self.seed)
+        return _LeafMap(trees, width, self.features)
 
 
 class _LeafMap(RowMap):
-    def __init__(self, model, per_tree: int, trees: int, features: str):
+    """Rows without features keep null leaves and null features."""
+
+    def __init__(self, trees: RandomTrees, columns: int, features: str):
         super().__init__(lambda a: a, features)
-        self.model, self.per_tree, self.width = model, per_tree, per_tree * trees
+        self.trees, self.columns, self.width = trees, columns, trees.column.size
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = self.model.transform(with_vector(dataset, self.features))
-        leaves = F.transform(vector_to_array("_leaf"), lambda x, t: (t * self.per_tree + x).cast("int"))
-        encoded = F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)), lambda i: F.array_contains("leaves", i).cast("double"))
-        return out.withColumn("leaves", leaves).withColumn(self.features, encoded).drop("_vec", "_leaf", "_pred")
+        trees, columns, width = self.trees, self.columns, self.width
+
+        @F.arrow_udf("array<int>")
+        def leaves(cells: pa.Array) -> pa.Array:
+            known = cells.drop_null()
+            found = trees.nodes(matrix(known, columns)) + np.arange(len(trees.column)) * trees.per_tree
+            rows = iter(found.tolist())
+            return pa.array([next(rows) if ok else None for ok in cells.is_valid().to_pylist()], pa.list_(pa.int32()))
+
+        @F.arrow_udf("array<double>")
+        def encoded(places: pa.Array) -> pa.Array:
+            out = []
+            for row in places.to_pylist():
+                out.append(None if row is None else np.zeros(width))
+                if row is not None:
+                    out[-1][row] = 1.0
+            return pa.array(out, pa.list_(pa.float64()))
+
+        return dataset.withColumn("leaves", leaves(self.features)).withColumn(self.features, encoded("leaves"))

@@ -530,7 +530,26 @@ def _(spark, sf):
     return column_checksum(FeatureAgglomeration(n_clusters=12).fit(df).transform(df))
 
 
-@query("random_trees_embedding")
+def _tree_draw(kind: str, attempt: str = "") -> str:
+    text = f"'1:{kind}:' || tree || ':' || node{attempt}"
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE)"
+
+
+def _tree_level(k: int) -> str:
+    return f"""
+x{k} AS MATERIALIZED (SELECT a.row_id, tree, node, x FROM (SELECT *, CAST(floor({_tree_draw("column")} * d) AS BIGINT) AS pos FROM l{k}, width) a JOIN cells USING (row_id, pos)),
+s{k} AS (SELECT tree, node, min(x) AS lo, max(x) AS hi FROM x{k} GROUP BY tree, node),
+t{k} AS (SELECT *, lo + {_tree_draw("threshold", " || ':0'")} * (hi - lo) AS cut FROM s{k}),
+l{k + 1} AS MATERIALIZED (SELECT row_id, tree, CASE WHEN lo = hi THEN node WHEN x <= CASE WHEN cut < hi THEN cut ELSE lo END THEN 2 * node ELSE 2 * node + 1 END AS node
+  FROM x{k} JOIN t{k} USING (tree, node))"""
+
+
+@query(
+    "random_trees_embedding",
+    f"""WITH {VEC_CELLS}, width AS (SELECT max(pos) + 1 AS d FROM cells),
+l0 AS (SELECT vec_id AS row_id, tree, CAST(1 AS BIGINT) AS node FROM embeddings, range(10) r(tree)), {", ".join(_tree_level(k) for k in range(3))}
+SELECT CAST(tree * 16 + node AS INTEGER) AS leaf, count(*) AS n FROM l3 GROUP BY ALL""",
+)
 def _(spark, sf):
     df = vectors(spark, sf).persist()
     out = RandomTreesEmbedding(n_estimators=10, max_depth=3).fit(df).transform(df)
