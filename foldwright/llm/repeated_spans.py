@@ -1,12 +1,13 @@
 """Removal of repeated 50-byte strings with suffix arrays built by the difference-cover algorithm.
 
 Sorting all suffixes of a corpus would move every byte many times, so the suffixes are distributed by content first.  An anchor is
-the 24-byte string with the smallest hash in some 50-byte window; equal windows have equal anchors at equal offsets.  Blocks of
-documents exchange their anchor hashes by ranges, four bytes each, and learn which of them occur elsewhere; only contexts of
-shared anchors (at most 26 bytes before, 50 from the anchor on) go further.  They meet by anchor in bounded pools.  A pool is
-sorted by the difference-cover algorithm: triples at positions not divisible by three are sorted and named, names are sorted by
-recursion, the remaining suffixes follow from them, both orders are merged, and neighbours with 50 equal bytes form classes whose
-smallest document keeps its bytes.
+the 24-byte string with the smallest hash in some 50-byte window; equal windows have equal anchors at equal offsets.  A window starts
+0-8, 9-17 or 18-26 bytes before its anchor, so it covers one of three stretches of 42 bytes around it.  Blocks of documents exchange
+the hashes of these stretches by ranges, four bytes each, and learn which of them occur elsewhere; only contexts with a shared
+stretch (at most 26 bytes before, 50 from the anchor on) go further.  They meet by anchor in pools.  A pool is sorted by the
+difference-cover algorithm: triples at positions not divisible by three are sorted and named, names are sorted by recursion, the
+remaining suffixes follow from them, both orders are merged, and neighbours with 50 equal bytes form classes whose smallest document
+keeps its bytes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from foldwright.llm.common import drop_stored, free_shuffles, store
 SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM  # windows that hold an anchor start up to this many bytes before it
+STRETCHES = ((0, 42), (9, 33), (18, 24))  # bytes before the anchor's start and from it on; each window covers one of them
 BLOCK_BYTES = 1 << 19
 RANGE_BYTES = 16 << 20
 POOL_BYTES = 1 << 20
@@ -118,9 +120,18 @@ def cut_blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, doc_ids array<long>, keys array<long>, sizes array<long>, body binary")
 
 
-def _ranges(h: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a block in range order: range, remainder of 32 bits, hash."""
-    distinct = np.unique(h)
+def stretches(at: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: Hashes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, keys) for each kind of stretch: the contexts that hold it, and its hash with the anchor's."""
+    out = []
+    for before, after in STRETCHES:
+        has = np.flatnonzero((at - begin >= before) & (at + after <= end))
+        out.append((has, hashes.of(at[has] - before, at[has] + after) ^ _mix(h[has] + _U(before))))
+    return out
+
+
+def _ranges(keys: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a block in range order: range, remainder of 32 bits, key."""
+    distinct = np.unique(keys)
     where = ((distinct >> _U(32)) * _U(n_ranges)) >> _U(32)
     return where.astype(np.int64), (distinct & _U(0xFFFFFFFF)).astype("<u4"), distinct
 
@@ -132,13 +143,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray,
             yield row, np.frombuffer(row["body"], dtype=np.uint8), np.array(row["sizes"], dtype=np.int64)
 
 
-def shared_anchors(blocks: DataFrame, n_ranges: int) -> DataFrame:
-    """(block, flags): which distinct anchors of a block some other block has too, range by range."""
+def _around(row: dict, data: np.ndarray, sizes: np.ndarray) -> tuple:
+    """Anchors of a block: place, hash, document, begin and end of the context, the block's hashes and the stretches."""
+    at, h, hashes = anchors(data, sizes)
+    ends = np.cumsum(sizes)
+    doc = np.searchsorted(ends, at, "right")
+    begin, end = np.maximum(at - REACH, ends[doc] - sizes[doc]), np.minimum(at + SPAN, ends[doc])
+    return at, h, doc, begin, end, hashes, stretches(at, h, begin, end, hashes)
+
+
+def shared_stretches(blocks: DataFrame, n_ranges: int) -> DataFrame:
+    """(block, flags): which distinct stretches of a block some other block has too, range by range."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, sizes in _rows(batches):
-            _, h, _ = anchors(data, sizes)
-            where, rest, _ = _ranges(h, n_ranges)
+            *_, found = _around(row, data, sizes)
+            where, rest, _ = _ranges(np.concatenate([keys for _, keys in found]), n_ranges)
             present, begin = np.unique(where, return_index=True)
             blobs = [x.tobytes() for x in np.split(rest, begin[1:])] if len(rest) else []
             yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), pa.array([row["block"]] * len(present), pa.int64()), pa.array(blobs, pa.binary())], ["part", "block", "hashes"])
@@ -160,30 +180,31 @@ def shared_anchors(blocks: DataFrame, n_ranges: int) -> DataFrame:
 
 
 def contexts(blocks: DataFrame, flags: DataFrame, n_ranges: int) -> DataFrame:
-    """(anchor, class, doc_id, text_key, start, lead, length, context): occurrences of shared anchors.
+    """(anchor, class, doc_id, text_key, start, length, context): occurrences with a stretch that another document has too.
 
-    ``start`` is where the context begins in the document and ``lead`` the anchor's place in it.  A block gives the bytes of a
-    class once, with its smallest document.
+    ``start`` is where the context begins in the document.  A block gives the bytes of a class once, with its smallest document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, sizes in _rows(batches):
-            at, h, hashes = anchors(data, sizes)
-            where, _, distinct = _ranges(h, n_ranges)
+            at, h, doc, begin, end, hashes, found = _around(row, data, sizes)
+            where, _, distinct = _ranges(np.concatenate([keys for _, keys in found]), n_ranges)
             flag = np.zeros(len(distinct), dtype=bool)
             for part in row["flags"] or []:
                 a, b = np.searchsorted(where, part["part"]), np.searchsorted(where, part["part"], "right")
                 flag[a:b] = np.unpackbits(np.frombuffer(part["bits"], dtype=np.uint8), count=b - a).astype(bool)
             ends = np.cumsum(sizes)
-            doc = np.searchsorted(ends, at, "right")
-            place = np.searchsorted(distinct, h)
+            places = [np.searchsorted(distinct, keys) for _, keys in found]
             first = np.full(len(distinct), len(sizes), dtype=np.int64)
             last = np.full(len(distinct), -1, dtype=np.int64)
-            np.minimum.at(first, place, doc)
-            np.maximum.at(last, place, doc)
-            keep = (flag | (first != last))[place]
-            at, h, doc = at[keep], h[keep], doc[keep]
-            begin, end = np.maximum(at - REACH, ends[doc] - sizes[doc]), np.minimum(at + SPAN, ends[doc])
+            for (has, _), place in zip(found, places, strict=True):
+                np.minimum.at(first, place, doc[has])
+                np.maximum.at(last, place, doc[has])
+            flag |= first != last
+            keep = np.zeros(len(at), dtype=bool)
+            for (has, _), place in zip(found, places, strict=True):
+                keep[has[flag[place]]] = True
+            at, h, doc, begin, end = at[keep], h[keep], doc[keep], begin[keep], end[keep]
             kind = hashes.of(begin, end)
             seen = np.unique(np.stack([h, kind]), axis=1, return_index=True)[1] if len(h) else np.zeros(0, dtype=np.int64)
             new = np.zeros(len(at), dtype=bool)
@@ -191,12 +212,12 @@ def contexts(blocks: DataFrame, flags: DataFrame, n_ranges: int) -> DataFrame:
             raw = [row["body"][a:b] if n else None for a, b, n in zip(begin.tolist(), end.tolist(), new.tolist(), strict=True)]
             ids, keys = (np.array(row[c], dtype=np.int64)[doc] for c in ("doc_ids", "keys"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(ids), pa.array(keys), pa.array(begin - (ends[doc] - sizes[doc])), pa.array((at - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(raw, pa.binary())],
-                ["anchor", "class", "doc_id", "text_key", "start", "lead", "length", "context"],
+                [pa.array(h.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(ids), pa.array(keys), pa.array(begin - (ends[doc] - sizes[doc])), pa.array((end - begin).astype(np.int32)), pa.array(raw, pa.binary())],
+                ["anchor", "class", "doc_id", "text_key", "start", "length", "context"],
             )
 
     rows = blocks.join(flags, "block", "left")
-    return rows.select("doc_ids", "keys", "sizes", "body", "flags").mapInArrow(run, "anchor long, class long, doc_id long, text_key long, start long, lead int, length int, context binary")
+    return rows.select("doc_ids", "keys", "sizes", "body", "flags").mapInArrow(run, "anchor long, class long, doc_id long, text_key long, start long, length int, context binary")
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -260,25 +281,6 @@ def repeated_windows(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]
     return [hit[a:b] - begins[i] for i, (a, b) in enumerate(zip(cut, np.r_[cut[1:], len(hit)], strict=True))]
 
 
-def may_repeat(texts: list[bytes], lead: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Which contexts of a pool may hold a window that another context of the same anchor holds too.
-
-    A window starts 0-8, 9-17 or 18-26 bytes before the anchor, so it covers one of three stretches around it; a context that
-    shares none of its three stretches shares no window.
-    """
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    begins = np.cumsum(sizes) - sizes
-    hashes = Hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
-    out = np.zeros(len(texts), dtype=bool)
-    for before, after in ((0, SPAN - 8), (9, SPAN - 17), (18, GRAM)):
-        has = np.flatnonzero((lead >= before) & (lead + after <= sizes))
-        at = begins[has] + lead[has]
-        key = hashes.of(at - before, at + after) ^ _mix(anchor[has].view(np.uint64))
-        _, place, count = np.unique(key, return_inverse=True, return_counts=True)
-        out[has[count[place] > 1]] = True
-    return out
-
-
 def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
     """(anchor, class, owner, starts): the smallest document of a class, and which windows of it lie in a smaller one still."""
 
@@ -292,9 +294,6 @@ def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
         several[1:] = held[1:] == held[:-1]
         several[:-1] |= several[1:]
         pool = np.flatnonzero(several)
-        if len(pool):
-            given = group["context"].take(pa.array(best[pool])).to_pylist()
-            pool = pool[may_repeat(given, group["lead"].to_numpy()[best[pool]].astype(np.int64), held[pool])]
         starts: list[list[int]] = [[] for _ in best]
         if len(pool):
             texts = group["context"].take(pa.array(best[pool])).to_pylist()
@@ -302,7 +301,7 @@ def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
                 starts[i] = hit.tolist()
         return pa.table({"anchor": pa.array(held), "class": pa.array(kind[best]), "owner": pa.array(doc[best]), "starts": pa.array(starts, pa.list_(pa.int32()))})
 
-    rows = found.filter("context IS NOT NULL").select(F.pmod("anchor", F.lit(n_pools)).alias("pool"), "anchor", "class", "doc_id", "lead", "context")
+    rows = found.filter("context IS NOT NULL").select(F.pmod("anchor", F.lit(n_pools)).alias("pool"), "anchor", "class", "doc_id", "context")
     return rows.groupBy("pool").applyInArrow(run, "anchor long, class long, owner long, starts array<int>")
 
 
@@ -331,8 +330,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     free_shuffles(docs.sparkSession)
     total = blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_ranges = max(16, math.ceil(total / RANGE_BYTES))
-    found = store(contexts(blocks, shared_anchors(blocks, n_ranges), n_ranges), "contexts")
-    drop_stored(blocks)
+    flags = store(shared_stretches(blocks, n_ranges), "flags")
+    free_shuffles(docs.sparkSession)
+    found = store(contexts(blocks, flags, n_ranges), "contexts")
+    drop_stored(blocks, flags)
     free_shuffles(docs.sparkSession)
     volume = found.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     classes = judge_pools(found, max(16, math.ceil(volume / POOL_BYTES)))
