@@ -1,13 +1,14 @@
 """Removal of repeated 50-byte strings with suffix arrays built by the difference-cover algorithm.
 
 Sorting all suffixes of a corpus would move every byte many times, so the suffixes are distributed by content first.  An anchor is
-the 24-byte string with the smallest hash in some 50-byte window; equal windows have equal anchors at equal offsets.  A window starts
-0-8, 9-17 or 18-26 bytes before its anchor, so it covers one of three stretches of 42 bytes around it.  Blocks of documents exchange
-the hashes of these stretches by ranges, four bytes each, and learn which of them occur elsewhere; only contexts with a shared
-stretch (at most 26 bytes before, 50 from the anchor on) go further.  They meet by anchor in pools.  A pool is sorted by the
-difference-cover algorithm: triples at positions not divisible by three are sorted and named, names are sorted by recursion, the
-remaining suffixes follow from them, both orders are merged, and neighbours with 50 equal bytes form classes whose smallest document
-keeps its bytes.
+the 24-byte string with the smallest hash in some 50-byte window; equal windows have equal anchors at equal offsets.  The context of
+an anchor (at most 26 bytes before, 50 from its start on) holds all its windows; equal contexts form a class.  Documents lie in
+blocks of ascending doc_id.  Blocks exchange anchors and classes by ranges of anchors, twelve bytes each, and learn for each class
+whether an earlier block has it (then it goes whole) and whether its anchor has other classes.  Only contexts that go nowhere by
+that and whose anchor has several classes move on, one block sending the bytes of a class; they meet by anchor in pools.  A pool is
+sorted by the difference-cover algorithm: triples at positions not divisible by three are sorted and named, names are sorted by
+recursion, the remaining suffixes follow from them, both orders are merged, and neighbours with 50 equal bytes form groups whose
+smallest document keeps its bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import drop_stored, free_shuffles, store
+from foldwright.llm.common import drop_stored, free_shuffles, store, text_ranges
 
 SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM  # windows that hold an anchor start up to this many bytes before it
-STRETCHES = ((0, 42), (9, 33), (18, 24))  # bytes before the anchor's start and from it on; each window covers one of them
 BLOCK_BYTES = 1 << 19
 RANGE_BYTES = 16 << 20
 POOL_BYTES = 1 << 20
@@ -87,53 +88,54 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, h[found], hashes
 
 
-def cut_blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_ids, keys, sizes, body): documents of at least SPAN bytes, packed in id order within a batch."""
+def cut_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, first_id, doc_ids, sizes, body): documents of at least SPAN bytes in ascending doc_id.
+
+    A block holds all rows of each of its ids, or rows of one id only; so of two blocks the one with the smaller ``first_id`` has
+    smaller ids throughout, and blocks with equal ``first_id`` hold that id alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, count = ["block", "doc_ids", "keys", "sizes", "body"], 0
+        count = TaskContext.get().partitionId() << 32
 
-        def pack(ids, keys, parts):
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            number = (TaskContext.get().partitionId() << 32) + count
+        def pack(rows):
+            nonlocal count
+            count += 1
+            ids, parts = [r[0] for r in rows], [r[1] for r in rows]
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[keys[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(parts[i]) for i in order]], pa.list_(pa.int64())), pa.array([b"".join(parts[i] for i in order)], pa.binary())], names
+                [pa.array([count - 1], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in parts]], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())],
+                ["block", "first_id", "doc_ids", "sizes", "body"],
             )
 
-        ids, keys, parts, held = [], [], [], 0
+        # rows of one id may begin in the task before or go on in the next one, so the first and the last id have blocks of their own,
+        # and so has an id whose rows fill more than a block
+        done, same, held, alone = [], [], 0, True
         for batch in batches:
-            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = (text or "").encode()
-                if doc_id is None or len(raw) < SPAN:
-                    continue
-                if held and held + len(raw) > BLOCK_BYTES:
-                    yield pack(ids, keys, parts)
-                    ids, keys, parts, held, count = [], [], [], 0, count + 1
-                ids.append(doc_id)
-                keys.append(key)
-                parts.append(raw)
-                held += len(raw)
-        if ids:
-            yield pack(ids, keys, parts)
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "block long, doc_ids array<long>, keys array<long>, sizes array<long>, body binary")
-
-
-def stretches(at: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: Hashes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(contexts, keys) for each kind of stretch: the contexts that hold it, and its hash with the anchor's."""
-    out = []
-    for before, after in STRETCHES:
-        has = np.flatnonzero((at - begin >= before) & (at + after <= end))
-        out.append((has, hashes.of(at[has] - before, at[has] + after) ^ _mix(h[has] + _U(before))))
-    return out
-
-
-def _ranges(keys: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a block in range order: range, remainder of 32 bits, key."""
-    distinct = np.unique(keys)
-    where = ((distinct >> _U(32)) * _U(n_ranges)) >> _U(32)
-    return where.astype(np.int64), (distinct & _U(0xFFFFFFFF)).astype("<u4"), distinct
+            for start, stop, texts in text_ranges(batch.column(1)):
+                for doc_id, text in zip(batch.column(0).slice(start, stop - start).to_pylist(), texts, strict=True):
+                    raw = text.encode()
+                    if same and same[0][0] != doc_id:
+                        if alone:
+                            yield pack(same)
+                            held, alone = 0, False
+                        else:
+                            done.extend(same)
+                        same = []
+                    if done and held + len(raw) > block_bytes:
+                        yield pack(done)
+                        done, held = [], sum(len(r[1]) for r in same)
+                    if same and held + len(raw) > block_bytes:
+                        yield pack(same)
+                        same, held, alone = [], 0, True
+                    same.append((doc_id, raw))
+                    held += len(raw)
+        for rest in (done, same):
+            if rest:
+                yield pack(rest)
+
+    rows = docs.filter(F.octet_length("text") >= SPAN).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    return rows.mapInArrow(run, "block long, first_id long, doc_ids array<long>, sizes array<long>, body binary")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
@@ -143,81 +145,109 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray,
             yield row, np.frombuffer(row["body"], dtype=np.uint8), np.array(row["sizes"], dtype=np.int64)
 
 
-def _around(row: dict, data: np.ndarray, sizes: np.ndarray) -> tuple:
-    """Anchors of a block: place, hash, document, begin and end of the context, the block's hashes and the stretches."""
+@dataclass
+class Around:
+    """Contexts of a block, and their distinct classes in order of (anchor, class)."""
+
+    at: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray  # class of each context
+    anchor: np.ndarray
+    kind: np.ndarray
+    part: np.ndarray
+
+
+def around(data: np.ndarray, sizes: np.ndarray, n_ranges: int) -> Around:
     at, h, hashes = anchors(data, sizes)
     ends = np.cumsum(sizes)
     doc = np.searchsorted(ends, at, "right")
     begin, end = np.maximum(at - REACH, ends[doc] - sizes[doc]), np.minimum(at + SPAN, ends[doc])
-    return at, h, doc, begin, end, hashes, stretches(at, h, begin, end, hashes)
+    kind = _mix(hashes.of(begin, end) + h)
+    order = np.lexsort((kind, h))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = kind[order[1:]] != kind[order[:-1]]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    anchor = h[order[new]]
+    part = (((anchor >> _U(32)) * _U(n_ranges)) >> _U(32)).astype(np.int64)
+    return Around(at, begin, end, doc, place, anchor, kind[order[new]], part)
 
 
-def shared_stretches(blocks: DataFrame, n_ranges: int) -> DataFrame:
-    """(block, flags): which distinct stretches of a block some other block has too, range by range."""
+def exchange_classes(blocks: DataFrame, n_ranges: int) -> DataFrame:
+    """(block, flags): for the distinct classes of a block, whether no earlier block has them and whether their anchor has others."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, sizes in _rows(batches):
-            *_, found = _around(row, data, sizes)
-            where, rest, _ = _ranges(np.concatenate([keys for _, keys in found]), n_ranges)
-            present, begin = np.unique(where, return_index=True)
-            blobs = [x.tobytes() for x in np.split(rest, begin[1:])] if len(rest) else []
-            yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), pa.array([row["block"]] * len(present), pa.int64()), pa.array(blobs, pa.binary())], ["part", "block", "hashes"])
+            c = around(data, sizes, n_ranges)
+            present, begin = np.unique(c.part, return_index=True)
+            cut = np.r_[begin, len(c.part)]
+            rest = (c.anchor & _U(0xFFFFFFFF)).astype("<u4")
+            n = len(present)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(present), pa.array([row["block"]] * n, pa.int64()), pa.array([row["first_id"]] * n, pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in (rest, c.kind))],
+                ["part", "block", "first_id", "anchors", "classes"],
+            )
 
     def meet(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, dtype="<u4") for b in group["hashes"].to_pylist()]
-        every = np.concatenate(blobs)
-        order = np.argsort(every, kind="stable")
-        same = every[order[1:]] == every[order[:-1]]
-        flags = np.zeros(len(every), dtype=bool)
-        flags[order[1:][same]] = True
-        flags[order[:-1][same]] = True
-        bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum([len(b) for b in blobs])[:-1])]
+        group = group.take(np.argsort(group["first_id"].to_numpy(), kind="stable"))
+        kinds = [np.frombuffer(b, dtype=np.uint64) for b in group["classes"].to_pylist()]
+        anchor = np.concatenate([np.frombuffer(b, dtype="<u4") for b in group["anchors"].to_pylist()])
+        sizes = np.array([len(k) for k in kinds])
+        kind, owner = np.concatenate(kinds), np.repeat(group["first_id"].to_numpy(), sizes)
+        order = np.argsort(kind, kind="stable")
+        new = np.r_[True, kind[order[1:]] != kind[order[:-1]]]
+        heads = order[new]
+        mine = np.empty(len(kind), dtype=np.int64)
+        mine[order] = np.cumsum(new) - 1
+        _, of, classes = np.unique(anchor[heads], return_inverse=True, return_counts=True)
+        first, several = owner == owner[heads][mine], (classes > 1)[of][mine]
+        cut = np.cumsum(sizes)[:-1]
+        bits = [np.packbits(np.r_[a, b]).tobytes() for a, b in zip(np.split(first, cut), np.split(several, cut), strict=True)]
         return pa.table({"part": group["part"], "block": group["block"], "bits": pa.array(bits, pa.binary())})
 
-    sent = blocks.select("block", "sizes", "body").mapInArrow(send, "part long, block long, hashes binary")
+    sent = blocks.select("block", "first_id", "sizes", "body").mapInArrow(send, "part long, block long, first_id long, anchors binary, classes binary")
     met = sent.groupBy("part").applyInArrow(meet, "part long, block long, bits binary")
-    return met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("flags"))
+    return met.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("flags"))
 
 
-def contexts(blocks: DataFrame, flags: DataFrame, n_ranges: int) -> DataFrame:
-    """(anchor, class, doc_id, text_key, start, length, context): occurrences with a stretch that another document has too.
+def judge_blocks(blocks: DataFrame, flags: DataFrame, n_ranges: int) -> DataFrame:
+    """What the exchange decides, and what it leaves to the pools.
 
-    ``start`` is where the context begins in the document.  A block gives the bytes of a class once, with its smallest document.
+    One row per block with ``edges``: begin and end of removed stretches in its body, as 64-bit integers.  One row per context that
+    is still open with anchor, class, owner (its doc_id), start in the body, lead (the anchor's place) and, once per class, its bytes.
     """
+    names = ["block", "edges", "anchor", "class", "owner", "start", "lead", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, sizes in _rows(batches):
-            at, h, doc, begin, end, hashes, found = _around(row, data, sizes)
-            where, _, distinct = _ranges(np.concatenate([keys for _, keys in found]), n_ranges)
-            flag = np.zeros(len(distinct), dtype=bool)
+            c = around(data, sizes, n_ranges)
+            first, several = np.ones(len(c.kind), dtype=bool), np.zeros(len(c.kind), dtype=bool)
             for part in row["flags"] or []:
-                a, b = np.searchsorted(where, part["part"]), np.searchsorted(where, part["part"], "right")
-                flag[a:b] = np.unpackbits(np.frombuffer(part["bits"], dtype=np.uint8), count=b - a).astype(bool)
-            ends = np.cumsum(sizes)
-            places = [np.searchsorted(distinct, keys) for _, keys in found]
-            first = np.full(len(distinct), len(sizes), dtype=np.int64)
-            last = np.full(len(distinct), -1, dtype=np.int64)
-            for (has, _), place in zip(found, places, strict=True):
-                np.minimum.at(first, place, doc[has])
-                np.maximum.at(last, place, doc[has])
-            flag |= first != last
-            keep = np.zeros(len(at), dtype=bool)
-            for (has, _), place in zip(found, places, strict=True):
-                keep[has[flag[place]]] = True
-            at, h, doc, begin, end = at[keep], h[keep], doc[keep], begin[keep], end[keep]
-            kind = hashes.of(begin, end)
-            seen = np.unique(np.stack([h, kind]), axis=1, return_index=True)[1] if len(h) else np.zeros(0, dtype=np.int64)
-            new = np.zeros(len(at), dtype=bool)
-            new[seen] = True
+                a, b = np.searchsorted(c.part, part["part"]), np.searchsorted(c.part, part["part"], "right")
+                bits = np.unpackbits(np.frombuffer(part["bits"], dtype=np.uint8), count=2 * (b - a)).astype(bool)
+                first[a:b], several[a:b] = bits[: b - a], bits[b - a :]
+            ids = np.array(row["doc_ids"], dtype=np.int64)[c.doc]
+            least = np.full(len(c.kind), np.iinfo(np.int64).max)
+            np.minimum.at(least, c.place, ids)
+            gone = ~first[c.place] | (ids > least[c.place])
+            edges = np.stack([c.begin[gone], c.end[gone]], axis=1)
+            if len(edges):  # contexts come in order, so stretches that touch are merged in one pass
+                cut = np.flatnonzero(edges[1:, 0] > np.maximum.accumulate(edges[:, 1])[:-1]) + 1
+                edges = np.stack([edges[np.r_[0, cut], 0], np.maximum.reduceat(edges[:, 1], np.r_[0, cut])], axis=1)
+            free = np.flatnonzero(~gone & several[c.place])
+            new = np.zeros(len(free), dtype=bool)
+            new[np.unique(c.place[free], return_index=True)[1]] = True
+            at, begin, end, place = c.at[free], c.begin[free], c.end[free], c.place[free]
             raw = [row["body"][a:b] if n else None for a, b, n in zip(begin.tolist(), end.tolist(), new.tolist(), strict=True)]
-            ids, keys = (np.array(row[c], dtype=np.int64)[doc] for c in ("doc_ids", "keys"))
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([edges.astype("<i8").tobytes()], pa.binary()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(ids), pa.array(keys), pa.array(begin - (ends[doc] - sizes[doc])), pa.array((end - begin).astype(np.int32)), pa.array(raw, pa.binary())],
-                ["anchor", "class", "doc_id", "text_key", "start", "length", "context"],
+                [pa.array([row["block"]] * len(free), pa.int64()), pa.nulls(len(free), pa.binary()), pa.array(c.anchor[place].view(np.int64)), pa.array(c.kind[place].view(np.int64)), pa.array(ids[free]), pa.array(begin), pa.array((at - begin).astype(np.int32)), pa.array(raw, pa.binary())], names
             )
 
-    rows = blocks.join(flags, "block", "left")
-    return rows.select("doc_ids", "keys", "sizes", "body", "flags").mapInArrow(run, "anchor long, class long, doc_id long, text_key long, start long, length int, context binary")
+    rows = blocks.join(flags, "block", "left").select("block", "doc_ids", "sizes", "body", "flags")
+    return rows.mapInArrow(run, "block long, edges binary, anchor long, class long, owner long, start long, lead int, context binary")
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -281,90 +311,93 @@ def repeated_windows(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]
     return [hit[a:b] - begins[i] for i, (a, b) in enumerate(zip(cut, np.r_[cut[1:], len(hit)], strict=True))]
 
 
+def may_repeat(texts: list[bytes], lead: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which contexts of a pool may hold a window that another context of the same anchor holds too.
+
+    A window starts 0-8, 9-17 or 18-26 bytes before the anchor, so it covers one of three stretches around it; a context that
+    shares none of its three stretches shares no window.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    hashes = Hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
+    out = np.zeros(len(texts), dtype=bool)
+    for before, after in ((0, SPAN - 8), (9, SPAN - 17), (18, GRAM)):
+        has = np.flatnonzero((lead >= before) & (lead + after <= sizes))
+        at = begins[has] + lead[has]
+        key = hashes.of(at - before, at + after) ^ _mix(anchor[has].view(np.uint64))
+        _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[has[count[place] > 1]] = True
+    return out
+
+
 def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
-    """(anchor, class, owner, starts): the smallest document of a class, and which windows of it lie in a smaller one still."""
+    """(block, edges): stretches of the open contexts that lie in a document with a smaller id."""
 
     def run(group: pa.Table) -> pa.Table:
-        anchor, kind, doc = (group[c].to_numpy() for c in ("anchor", "class", "doc_id"))
-        order = np.lexsort((doc, kind, anchor))
-        first = np.r_[True, (anchor[order[1:]] != anchor[order[:-1]]) | (kind[order[1:]] != kind[order[:-1]])]
-        best = order[first]
-        held = anchor[best]
-        several = np.zeros(len(best), dtype=bool)
-        several[1:] = held[1:] == held[:-1]
-        several[:-1] |= several[1:]
-        pool = np.flatnonzero(several)
-        starts: list[list[int]] = [[] for _ in best]
+        anchor, kind, owner, block, start = (group[c].to_numpy() for c in ("anchor", "class", "owner", "block", "start"))
+        empty = group["context"].is_null().to_numpy().astype(np.int8)
+        order = np.lexsort((empty, kind, anchor))
+        new = np.r_[True, (anchor[order[1:]] != anchor[order[:-1]]) | (kind[order[1:]] != kind[order[:-1]])]
+        best, mine = order[new], np.empty(len(order), dtype=np.int64)
+        mine[order] = np.cumsum(new) - 1
+        texts = group["context"].take(pa.array(best)).to_pylist()
+        pool = np.flatnonzero(may_repeat(texts, group["lead"].to_numpy()[best].astype(np.int64), anchor[best]))
+        hits = {}
         if len(pool):
-            texts = group["context"].take(pa.array(best[pool])).to_pylist()
-            for i, hit in zip(pool.tolist(), repeated_windows(texts, doc[best[pool]]), strict=True):
-                starts[i] = hit.tolist()
-        return pa.table({"anchor": pa.array(held), "class": pa.array(kind[best]), "owner": pa.array(doc[best]), "starts": pa.array(starts, pa.list_(pa.int32()))})
+            hits = {i: hit for i, hit in zip(pool.tolist(), repeated_windows([texts[i] for i in pool], owner[best[pool]]), strict=True) if len(hit)}
+        held = [k for k, i in enumerate(mine.tolist()) if i in hits]
+        edges = [np.stack([start[k] + hits[mine[k]], start[k] + hits[mine[k]] + SPAN], axis=1).astype("<i8").tobytes() for k in held]
+        return pa.table({"block": pa.array(block[held] if held else [], pa.int64()), "edges": pa.array(edges, pa.binary())})
 
-    rows = found.filter("context IS NOT NULL").select(F.pmod("anchor", F.lit(n_pools)).alias("pool"), "anchor", "class", "doc_id", "context")
-    return rows.groupBy("pool").applyInArrow(run, "anchor long, class long, owner long, starts array<int>")
+    rows = found.filter("anchor IS NOT NULL").select(F.pmod("anchor", F.lit(n_pools)).alias("pool"), "anchor", "class", "owner", "block", "start", "lead", "context")
+    return rows.groupBy("pool").applyInArrow(run, "block long, edges binary")
 
 
-def _removed(data: bytes, edges: np.ndarray) -> tuple[int, int, str]:
-    """Removed bytes, their runs and the digest of the rest; ``edges`` alternate between begin and end of a stretch."""
-    if not len(edges):
-        return 0, 0, hashlib.sha256(data).hexdigest()
+def _results(row: dict, data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, str]]:
+    """doc_id, bytes, removed bytes, their runs and the digest of the rest, for the documents of a block."""
+    edges = np.concatenate([np.frombuffer(e, dtype="<i8") for e in row["edges"] or []] or [np.zeros(0, dtype=np.int64)])
     change = np.bincount(edges[::2], minlength=len(data) + 1) - np.bincount(edges[1::2], minlength=len(data) + 1)
     gone = np.cumsum(change[:-1]) > 0
-    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-    runs = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
-    return int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()
+    end = 0
+    for doc_id, size in zip(row["doc_ids"], sizes.tolist(), strict=True):
+        begin, end = end, end + size
+        out = gone[begin:end]
+        runs = int(np.count_nonzero(np.diff(np.r_[False, out].astype(np.int8)) == 1))
+        yield doc_id, size, int(out.sum()), runs, hashlib.sha256(data[begin:end][~out].tobytes()).hexdigest()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes when a 50-byte string that covers it also starts in a document with a smaller doc_id.  Null texts count as empty.
     Rows without doc_id neither lose bytes nor take any.  Rows that share a doc_id do not remove each other's bytes, and each loses
-    what its own text shares with smaller ids.  Of equal texts only the first is searched; later ones go whole.
+    what its own text shares with smaller ids.  Other columns are ignored; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.sha2(text, 256).alias("digest"))
-    firsts = store(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "firsts")
-    blocks = store(cut_blocks(rows.join(firsts, "digest").filter("doc_id = first_id")), "blocks")
-    free_shuffles(docs.sparkSession)
+    blocks = store(cut_blocks(docs, block_bytes), "blocks")
+    free_shuffles(spark)
     total = blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_ranges = max(16, math.ceil(total / RANGE_BYTES))
-    flags = store(shared_stretches(blocks, n_ranges), "flags")
-    free_shuffles(docs.sparkSession)
-    found = store(contexts(blocks, flags, n_ranges), "contexts")
-    drop_stored(blocks, flags)
-    free_shuffles(docs.sparkSession)
+    flags = store(exchange_classes(blocks, n_ranges), "flags")
+    free_shuffles(spark)
+    found = store(judge_blocks(blocks, flags, n_ranges), "contexts")
+    drop_stored(flags)
+    free_shuffles(spark)
     volume = found.agg(F.sum(F.octet_length("context"))).first()[0] or 0
-    classes = judge_pools(found, max(16, math.ceil(volume / POOL_BYTES)))
-    later = F.col("doc_id") > F.col("owner")
-    stretch = lambda begin, length: F.array(begin.cast("int"), (begin + length).cast("int"))
-    whole = rows.select("doc_id", F.xxhash64("text").alias("of_key"), "digest", F.octet_length(text).alias("n")).join(firsts, "digest")
-    whole = whole.filter((F.col("doc_id") > F.col("first_id")) & (F.col("n") >= SPAN)).select(F.col("doc_id").alias("of"), "of_key", F.array(F.lit(0), F.col("n")).alias("edges"))
-    spans = (
-        found.select("anchor", "class", "doc_id", "text_key", "start", "length")
-        .join(classes, ["anchor", "class"])
-        .filter((later & (F.col("length") >= SPAN)) | (~later & (F.size("starts") > 0)))
-        .select(
-            F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"),
-            F.when(later, stretch(F.col("start"), F.col("length"))).otherwise(F.flatten(F.transform("starts", lambda s: stretch(F.col("start") + s, F.lit(SPAN))))).alias("edges"),
-        )
-        .union(whole)
-        .groupBy("of", "of_key")
-        .agg(F.flatten(F.collect_list("edges")).alias("edges"))
-    )
+    sure = found.filter("edges IS NOT NULL").select("block", "edges")
+    edges = sure.union(judge_pools(found, max(16, math.ceil(volume / POOL_BYTES)))).groupBy("block").agg(F.collect_list("edges").alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = np.zeros(0, dtype=np.int32)
-        for batch in batches:
-            edges, out = batch.column(2), []
-            flat, bounds, known = edges.values.to_numpy(), edges.offsets.to_numpy(), edges.is_valid().to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                data = (batch.column(1)[i].as_py() or "").encode()
-                out.append((len(data), *_removed(data, flat[bounds[i] : bounds[i + 1]] if known[i] else nothing)))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    final = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(spans, (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key")), "left").select("doc_id", "text", "edges")
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return final.mapInArrow(run, f"doc_id {doc_id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        for row, data, sizes in _rows(batches):
+            columns = zip(*_results(row, data, sizes), strict=True)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    searched = blocks.join(edges, "block", "left").select("doc_ids", "sizes", "body", "edges")
+    searched = searched.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    none = F.lit(0).cast("long")
+    other = docs.filter((F.octet_length(text) < SPAN) | F.col("doc_id").isNull())
+    other = other.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    kind = docs.schema["doc_id"].dataType
+    return searched.withColumn("doc_id", F.col("doc_id").cast(kind)).unionByName(other)

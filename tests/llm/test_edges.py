@@ -150,6 +150,19 @@ def test_spans_shared_passages(spark):
     assert Counter(rows_of(repeated_spans.remove_repeats(table(spark, rows)))) == spans_brute(rows)
 
 
+@pytest.mark.parametrize("block_bytes", [150, 1000, 20000])
+def test_spans_shared_ids_over_blocks(spark, block_bytes):
+    """Rows of one id in several blocks, an id with more rows than a block holds, and one phrase in ever new surroundings."""
+    rng = np.random.default_rng(block_bytes)
+    phrase = "the same forty-two letters in every document."
+    passages = ["".join(rng.choice(list("abcde "), 70)) for _ in range(5)]
+    rows = []
+    for _ in range(90):
+        parts = [p if rng.random() < 0.4 else "".join(rng.choice(list("xyzé "), 30)) for p in rng.permutation(passages)[:3]]
+        rows.append((int(rng.choice([3, 3, 3, 7, *range(10, 40)])), "".join(parts) + phrase + "".join(rng.choice(list("uvw "), 40)), "s"))
+    assert Counter(rows_of(repeated_spans.remove_repeats(table(spark, rows).repartition(4), block_bytes))) == spans_brute(rows)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n in [*range(12), 50, 301]:
