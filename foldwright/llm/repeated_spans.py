@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from foldwright.llm.common import drop_stored, free_shuffles, store, text_ranges
 SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM  # windows that hold an anchor start up to this many bytes before it
-BLOCK_BYTES = 1 << 19
-RANGE_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+RANGE_BYTES = 4 << 20
 POOL_BYTES = 1 << 20
 
 _U = np.uint64
@@ -191,21 +192,30 @@ def exchange_classes(blocks: DataFrame, n_ranges: int) -> DataFrame:
             )
 
     def meet(group: pa.Table) -> pa.Table:
-        group = group.take(np.argsort(group["first_id"].to_numpy(), kind="stable"))
-        kinds = [np.frombuffer(b, dtype=np.uint64) for b in group["classes"].to_pylist()]
-        anchor = np.concatenate([np.frombuffer(b, dtype="<u4") for b in group["anchors"].to_pylist()])
-        sizes = np.array([len(k) for k in kinds])
-        kind, owner = np.concatenate(kinds), np.repeat(group["first_id"].to_numpy(), sizes)
-        order = np.argsort(kind, kind="stable")
-        new = np.r_[True, kind[order[1:]] != kind[order[:-1]]]
-        heads = order[new]
-        mine = np.empty(len(kind), dtype=np.int64)
-        mine[order] = np.cumsum(new) - 1
-        _, of, classes = np.unique(anchor[heads], return_inverse=True, return_counts=True)
-        first, several = owner == owner[heads][mine], (classes > 1)[of][mine]
+        turn = np.argsort(group["first_id"].to_numpy(), kind="stable")
+        blobs = group["classes"].combine_chunks()
+        sizes = pc.binary_length(blobs).to_numpy()[turn] // 8
+        kind = np.frombuffer(b"".join(blobs[i].as_buffer() for i in turn.tolist()), dtype=np.uint64)
+        owner = np.repeat(np.unique(group["first_id"].to_numpy()[turn], return_inverse=True)[1].astype(np.int32), sizes)
+        order = np.argsort(kind, kind="stable").astype(np.int32)
+        by = kind[order]
+        new = np.r_[True, by[1:] != by[:-1]]
+        del kind, by
+        heads, mine = order[new], np.empty(len(order), dtype=np.int32)
+        mine[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
+        first = owner == owner[heads][mine]
+        blobs = group["anchors"].combine_chunks()
+        anchor = np.frombuffer(b"".join(blobs[i].as_buffer() for i in turn.tolist()), dtype="<u4")[heads]
+        order = np.argsort(anchor, kind="stable").astype(np.int32)
+        same = np.zeros(len(order) + 1, dtype=bool)  # whether a class and the next one in order share the anchor
+        same[1:-1] = anchor[order[1:]] == anchor[order[:-1]]
+        several = np.zeros(len(order), dtype=bool)
+        several[order] = same[1:] | same[:-1]
+        several = several[mine]
         cut = np.cumsum(sizes)[:-1]
         bits = [np.packbits(np.r_[a, b]).tobytes() for a, b in zip(np.split(first, cut), np.split(several, cut), strict=True)]
-        return pa.table({"part": group["part"], "block": group["block"], "bits": pa.array(bits, pa.binary())})
+        return pa.table({"part": group["part"], "block": group["block"].take(pa.array(turn)), "bits": pa.array(bits, pa.binary())})
 
     sent = blocks.select("block", "first_id", "sizes", "body").mapInArrow(send, "part long, block long, first_id long, anchors binary, classes binary")
     met = sent.groupBy("part").applyInArrow(meet, "part long, block long, bits binary")
