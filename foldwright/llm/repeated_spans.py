@@ -260,6 +260,23 @@ def judge_blocks(blocks: DataFrame, flags: DataFrame, n_ranges: int) -> DataFram
     return rows.mapInArrow(run, "block long, edges binary, anchor long, class long, owner long, start long, lead int, context binary")
 
 
+def _one_key(*columns: np.ndarray) -> np.ndarray:
+    """One integer per row that sorts like the rows of non-negative columns; columns too wide for 63 bits are numbered first."""
+    key = columns[0].astype(np.int64)
+    for column in columns[1:]:
+        top = int(column.max(initial=0)) + 1
+        if (int(key.max(initial=0)) + 1) * top >= 2**63:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * top + column
+    return key
+
+
+def _before(some: np.ndarray, others: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """How many of the others precede each of some; the columns to sort by hold the others first, both in order."""
+    key = _one_key(*columns)
+    return np.searchsorted(key[: len(others)], key[len(others) :])
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of positive integers by the difference cover modulo three."""
     n = len(s)
@@ -268,9 +285,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     padded = np.r_[s, 0, 0, 0].astype(np.int64)
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.r_[one, two]
-    order = np.lexsort((padded[sample + 2], padded[sample + 1], padded[sample]))
-    by = sample[order]
-    new = np.r_[True, (padded[by[1:]] != padded[by[:-1]]) | (padded[by[1:] + 1] != padded[by[:-1] + 1]) | (padded[by[1:] + 2] != padded[by[:-1] + 2])]
+    key = _one_key(padded[sample], padded[sample + 1], padded[sample + 2])
+    order = np.argsort(key)
+    by, key = sample[order], key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
     names = np.empty(len(sample), dtype=np.int64)
     names[order] = np.cumsum(new)
     if names.max() < len(sample):
@@ -281,12 +299,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[sorted_sample] = np.arange(1, len(sorted_sample) + 1)
     sorted_sample = sorted_sample[sorted_sample < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], padded[zero]))]
+    zero = zero[np.argsort(_one_key(padded[zero], rank[zero + 1]))]
     ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    top = len(sample) + 2
-    less = np.searchsorted(padded[ones] * top + rank[ones + 1], padded[zero] * top + rank[zero + 1])
-    pairs = np.unique(np.r_[padded[twos], padded[zero]] * (padded.max() + 1) + np.r_[padded[twos + 1], padded[zero + 1]], return_inverse=True)[1]
-    less = less + np.searchsorted(pairs[: len(twos)] * top + rank[twos + 2], pairs[len(twos) :] * top + rank[zero + 2])
+    less = _before(zero, ones, padded[np.r_[ones, zero]], rank[np.r_[ones, zero] + 1])
+    less = less + _before(zero, twos, *(x[np.r_[twos, zero] + k] for k, x in enumerate((padded, padded, rank))))
     out = np.empty(n, dtype=np.int64)
     at = less + np.arange(len(zero))
     out[at] = zero
@@ -309,10 +325,11 @@ def repeated_windows(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]
     if not len(order):
         return [np.zeros(0, dtype=np.int64)] * len(texts)
     new = np.ones(len(order), dtype=bool)
-    span = np.arange(SPAN)
-    for i in range(1, len(order), 1 << 15):
-        j = min(len(order), i + (1 << 15))
-        new[i:j] = (data[order[i:j, None] + span] != data[order[i - 1 : j - 1, None] + span]).any(axis=1)
+    new[1:] = False
+    words = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))  # eight bytes from each place on
+    for k in (*range(0, SPAN - 8, 8), SPAN - 8):
+        word = words[order + k]
+        new[1:] |= word[1:] != word[:-1]
     starts = np.flatnonzero(new)
     owner = owners[text_of[order]]
     least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.r_[starts, len(order)]))
@@ -352,12 +369,21 @@ def judge_pools(found: DataFrame, n_pools: int) -> DataFrame:
         mine[order] = np.cumsum(new) - 1
         texts = group["context"].take(pa.array(best)).to_pylist()
         pool = np.flatnonzero(may_repeat(texts, group["lead"].to_numpy()[best].astype(np.int64), anchor[best]))
-        hits = {}
+        counts, hits = np.zeros(len(best), dtype=np.int64), np.zeros(0, dtype=np.int64)
         if len(pool):
-            hits = {i: hit for i, hit in zip(pool.tolist(), repeated_windows([texts[i] for i in pool], owner[best[pool]]), strict=True) if len(hit)}
-        held = [k for k, i in enumerate(mine.tolist()) if i in hits]
-        edges = [np.stack([start[k] + hits[mine[k]], start[k] + hits[mine[k]] + SPAN], axis=1).astype("<i8").tobytes() for k in held]
-        return pa.table({"block": pa.array(block[held] if held else [], pa.int64()), "edges": pa.array(edges, pa.binary())})
+            each = repeated_windows([texts[i] for i in pool], owner[best[pool]])
+            counts[pool], hits = [len(x) for x in each], np.concatenate(each)
+        n = counts[mine]
+        at = np.repeat((np.cumsum(counts) - counts)[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        windows, home = hits[at] + np.repeat(start, n), np.repeat(block, n)
+        order = np.lexsort((windows, home))
+        windows, home = windows[order], home[order]
+        new = np.ones(len(order), dtype=bool)  # windows of a block that overlap or touch become one stretch
+        new[1:] = (home[1:] != home[:-1]) | (windows[1:] > windows[:-1] + SPAN)
+        edges = np.stack([windows[new], windows[np.r_[new[1:], True][: len(new)]] + SPAN], axis=1).astype("<i8")
+        held, cut = np.unique(home[new], return_index=True)
+        blobs = [edges[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(edges)])]
+        return pa.table({"block": pa.array(held, pa.int64()), "edges": pa.array(blobs, pa.binary())})
 
     rows = found.filter("anchor IS NOT NULL").select(F.pmod("anchor", F.lit(n_pools)).alias("pool"), "anchor", "class", "owner", "block", "start", "lead", "context")
     return rows.groupBy("pool").applyInArrow(run, "block long, edges binary")
@@ -396,7 +422,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     free_shuffles(spark)
     volume = found.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     sure = found.filter("edges IS NOT NULL").select("block", "edges")
-    edges = sure.union(judge_pools(found, max(16, math.ceil(volume / POOL_BYTES)))).groupBy("block").agg(F.collect_list("edges").alias("edges"))
+    edges = store(sure.union(judge_pools(found, max(16, math.ceil(volume / POOL_BYTES)))), "edges")
+    drop_stored(found)
+    free_shuffles(spark)
+    edges = edges.groupBy("block").agg(F.collect_list("edges").alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, sizes in _rows(batches):
