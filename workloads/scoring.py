@@ -522,6 +522,56 @@ def _(spark, sf):
     return _held_out_bac(spark, sf, QDA(0.5))
 
 
+def _two_measures(spark, sf):
+    """Quantity and discount in percent of every order line, with the return flag as class."""
+    items = item_matrix(spark, sf)
+    return items.withColumn("features", F.array(F.col("features")[0].cast("double"), F.col("features")[2].cast("double") * 100.0))
+
+
+_TWO_MEASURES = """item AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label,
+                  CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) * 100.0 AS y FROM lineitem),
+mean AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM item GROUP BY label),
+scatter AS (SELECT label, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy
+            FROM item JOIN mean USING (label) GROUP BY label),
+"""
+_CLASS_SCORES = """one AS (SELECT x, y, max(s) FILTER (label = 0) AS s0, max(s) FILTER (label = 1) AS s1, max(s) FILTER (label = 2) AS s2 FROM score GROUP BY x, y)
+SELECT row_id, round(s0, 4) + 0 AS score_0, round(s1, 4) + 0 AS score_1, round(s2, 4) + 0 AS score_2,
+       CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS prediction FROM item JOIN one USING (x, y)"""
+
+
+def _class_scores(model, df):
+    out = model.predict(model.scores(df))
+    return out.select("row_id", *[r(F.col("scores")[c], 4).alias(f"score_{c}") for c in range(3)], F.col("prediction").cast("int").alias("prediction"))
+
+
+@query(
+    "lda_scores",
+    f"""WITH {_TWO_MEASURES}
+pooled AS (SELECT sum(sxx) / (sum(n) - count(*)) AS a, sum(sxy) / (sum(n) - count(*)) AS b, sum(syy) / (sum(n) - count(*)) AS d, sum(n) AS total FROM scatter),
+line AS (SELECT label, (mx * d - my * b) / (a * d - b * b) AS wx, (my * a - mx * b) / (a * d - b * b) AS wy, mx, my, ln(n / total) AS prior FROM scatter CROSS JOIN pooled),
+spot AS (SELECT DISTINCT x, y FROM item),
+score AS (SELECT x, y, l.label, x * wx + y * wy - 0.5 * (mx * wx + my * wy) + prior AS s FROM spot CROSS JOIN line l),
+{_CLASS_SCORES}""",
+)
+def _(spark, sf):
+    df = _two_measures(spark, sf)
+    return _class_scores(LDA().fit(df), df)
+
+
+@query(
+    "qda_scores",
+    f"""WITH {_TWO_MEASURES}
+blend AS (SELECT label, mx, my, n, 0.9 * sxx / (n - 1) + 0.1 AS a, 0.9 * sxy / (n - 1) AS b, 0.9 * syy / (n - 1) + 0.1 AS d, sum(n) OVER () AS total FROM scatter),
+spot AS (SELECT DISTINCT x, y FROM item),
+score AS (SELECT x, y, c.label, ln(n / total) - 0.5 * ln(a * d - b * b)
+            - 0.5 * (d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b) AS s FROM spot CROSS JOIN blend c),
+{_CLASS_SCORES}""",
+)
+def _(spark, sf):
+    df = _two_measures(spark, sf)
+    return _class_scores(QDA(0.1).fit(df), df)
+
+
 # ---------------------------------------------------------------- trees, linear models
 
 @query("decision_tree_bac")
