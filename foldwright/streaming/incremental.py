@@ -16,7 +16,10 @@ from foldwright.session import scratch_path
 
 
 def stream_table(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+    """Parquet files of a folder as a stream.
+
+    A pattern such as ``dir/name.parque[t]`` takes one table, be it a file or a folder of part files.
+    """
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -41,6 +44,8 @@ def run_available(aggregate: DataFrame, name: str, out: str | None = None, state
         .start()
     )
     query.awaitTermination()
+    # without any input no batch is run: the result is empty then
+    spark.createDataFrame([], aggregate.schema).write.mode("ignore").parquet(target)
     return spark.read.schema(aggregate.schema).parquet(target)
 
 
