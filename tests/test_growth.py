@@ -3,6 +3,7 @@
 import pytest
 
 import workloads.catalog as catalog
+from foldwright.operators.moments import exact_median
 from foldwright.streaming.incremental import run_available, stream_table, streaming_moments
 
 
@@ -23,3 +24,19 @@ def test_stream_without_files_gives_no_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = stream_table(spark, f"{tmp_path}/in", spark.createDataFrame([], "label int, features array<double>").schema)
     assert run_available(streaming_moments(stream, "label", "features"), "m", f"{tmp_path}/out", f"{tmp_path}/state").count() == 0
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_median_sorts_no_column_in_one_task(spark):
+    df = spark.range(2000).selectExpr("id % 2 AS pos", "double(id) AS x")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        median = exact_median(df, ["pos"], "x")
+        assert "SortMergeJoin" not in planned(median)
+        assert {r["pos"]: r["median"] for r in median.collect()} == {0: 999.0, 1: 1000.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
