@@ -3,7 +3,11 @@
 import pytest
 
 import workloads.catalog as catalog
+import workloads.search as search
+from foldwright.functions.exprs import project_step
 from foldwright.operators.moments import exact_median
+from foldwright.plans import candidates as C
+from foldwright.plans.space import CONSTANT_STEPS, STEP_NAMES, VARIABLE_STEPS
 from foldwright.streaming.incremental import run_available, stream_table, streaming_moments
 
 
@@ -40,3 +44,21 @@ def test_median_sorts_no_column_in_one_task(spark):
         assert {r["pos"]: r["median"] for r in median.collect()} == {0: 999.0, 1: 1000.0}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_drawing_is_spread_by_the_number_of_ids(spark, tmp_path, monkeypatch):
+    spark.range(1000).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(search, "IDS_PER_TASK", 20, raising=False)
+    ids = search._ids(spark, str(tmp_path))
+    assert ids.rdd.getNumPartitions() >= 50
+    assert max(ids.rdd.glom().map(len).collect()) <= 40 and ids.distinct().count() == 1000
+
+
+def test_drawn_steps_are_the_projection_of_the_whole(spark):
+    ids = spark.range(300)
+    whole = C.draw_candidates(ids, "id")
+    for steps in (CONSTANT_STEPS, VARIABLE_STEPS, ["imputation", "rescaling"]):
+        want = {r["id"]: r["c"] for r in whole.select("id", project_step("config", steps).alias("c")).collect()}
+        assert {r["id"]: r["config"] for r in C.draw_candidates(ids, "id", steps=steps).collect()} == want
+    want = {tuple(r) for r in C.with_choices(whole).select("id", *STEP_NAMES).collect()}
+    assert {tuple(r) for r in C.draw_choices(ids, "id").collect()} == want
