@@ -124,7 +124,23 @@ def read_info(spark: SparkSession, glob: str, from_folder: bool = False) -> Data
     """
     path = F.col("_metadata.file_path")
     name = F.regexp_extract(path, r"([^/=]+)_public\.info", 1) if from_folder else _dataset_of(path, r"_public\.info(/[^/]*)?")
-    lines = spark.read.text(glob).select(name.alias("name"), "value")
+    return _parsed_info(spark.read.text(glob).select(name.alias("name"), "value"))
+
+
+def write_packed_info(infos: DataFrame, path: str) -> None:
+    """Many info files, given as (file, value), as text lines ``file<TAB>line``: a folder each would cost more than its few lines."""
+    lines = infos.select(F.coalesce("file", F.lit("")).alias("file"), F.explode(F.split("value", "\n")).alias("line"))
+    lines.select(F.concat_ws("\t", "file", "line").alias("value")).write.text(path)
+
+
+def read_packed_info(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of :func:`read_info` from lines ``file<TAB>line``."""
+    part = F.split("value", "\t", 2)
+    return _parsed_info(spark.read.text(path).select(_dataset_of(part[0], r"_public\.info").alias("name"), part[1].alias("value")))
+
+
+def _parsed_info(lines: DataFrame) -> DataFrame:
+    """One row per dataset from the lines (name, value) of its info file."""
     pair = F.split("value", " = ", 2)
     clean = F.trim(F.regexp_replace(F.rtrim(pair[1]), "^'+|'+$", ""))
     entries = lines.filter(F.size(pair) == 2).select("name", F.trim(F.regexp_replace(pair[0], "^'+", "")).alias("key"), clean.alias("value"))

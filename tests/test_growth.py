@@ -8,6 +8,7 @@ from foldwright.functions.exprs import project_step
 from foldwright.operators.moments import exact_median
 from foldwright.plans import candidates as C
 from foldwright.plans.space import CONSTANT_STEPS, STEP_NAMES, VARIABLE_STEPS
+from foldwright.sources import datasets as D
 from foldwright.streaming.incremental import run_available, stream_table, streaming_moments
 
 
@@ -62,3 +63,12 @@ def test_drawn_steps_are_the_projection_of_the_whole(spark):
         assert {r["id"]: r["config"] for r in C.draw_candidates(ids, "id", steps=steps).collect()} == want
     want = {tuple(r) for r in C.with_choices(whole).select("id", *STEP_NAMES).collect()}
     assert {tuple(r) for r in C.draw_choices(ids, "id").collect()} == want
+
+
+def test_info_of_many_datasets_needs_few_files(spark, tmp_path):
+    text = "task = 'binary.classification'\nmetric = 'bac_metric'\nfeat_num = {n}\nlabel_num = 2\nis_sparse = 0\nnote"
+    rows = [(f"set{n}_public.info", text.format(n=n)) for n in range(300)]
+    D.write_packed_info(spark.createDataFrame(rows, "file string, value string").coalesce(2), f"{tmp_path}/info")
+    assert len(list((tmp_path / "info").rglob("*.txt"))) <= 2
+    got = D.read_packed_info(spark, f"{tmp_path}/info").collect()
+    assert {(r["name"], r["feat_num"], r["task"], len(r["info"])) for r in got} == {(f"set{n}", n, 1, 5) for n in range(300)}
