@@ -5,6 +5,7 @@ import pytest
 import workloads.catalog as catalog
 import workloads.search as search
 from foldwright.functions.exprs import project_step
+from foldwright.operators.linear import pair_votes
 from foldwright.operators.moments import exact_median
 from foldwright.plans import candidates as C
 from foldwright.plans.space import CONSTANT_STEPS, STEP_NAMES, VARIABLE_STEPS
@@ -72,3 +73,13 @@ def test_info_of_many_datasets_needs_few_files(spark, tmp_path):
     assert len(list((tmp_path / "info").rglob("*.txt"))) <= 2
     got = D.read_packed_info(spark, f"{tmp_path}/info").collect()
     assert {(r["name"], r["feat_num"], r["task"], len(r["info"])) for r in got} == {(f"set{n}", n, 1, 5) for n in range(300)}
+
+
+def test_pair_votes_shuffle_the_sums_once(spark):
+    rows = [(1, 0, 1, 0.5), (1, 0, 2, -0.5), (1, 1, 2, 0.25), (2, 0, 1, -1.0), (2, 0, 2, 2.0), (2, 1, 2, None)]
+    votes = pair_votes(spark.createDataFrame(rows, "row_id bigint, i int, j int, decision double"))
+    got = {(r["row_id"], r["class"]): r["score"] for r in votes.collect()}
+    # the largest summed confidence is 2, so a quarter of each is added to the votes
+    want = {(1, 0): 1.0, (1, 1): 1.0625, (1, 2): 0.9375, (2, 0): 0.75, (2, 1): 0.75, (2, 2): 0.5}
+    assert got == pytest.approx(want)
+    assert "ReusedExchange" in planned(votes)
