@@ -55,14 +55,18 @@ START, END = _named(b" start"), _named(b" end")  # no word holds a space
 # ---------------------------------------------------------------- packed arrays
 
 def pack(a: np.ndarray) -> bytes:
-    """One array, compressed; integers are narrowed to the smallest type that holds them."""
+    """One array, compressed byte place by byte place; integers are narrowed to the smallest type that holds them.  Where most values
+    but few are small, wide ones would make all of them wide: their places are nearly empty and cost little."""
     if a.dtype.kind in "iu" and a.dtype != np.uint64 and len(a):
         a = a.astype(np.min_scalar_type(int(a.max())))
-    return a.dtype.str[1:].encode() + zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    places = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+    return a.dtype.str[1:].encode() + zstandard.ZstdCompressor(level=1).compress(places.data if places.size else b"")
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), dtype=data[:2].decode())
+    kind = np.dtype(data[:2].decode())
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), dtype=np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(places.T).view(kind).ravel()
 
 
 def _batch(messages: Iterable[Message]) -> pa.RecordBatch:
@@ -409,6 +413,14 @@ def _seat_contexts(bits: int, totals: _Totals, sweep: int, sampled: bool, seatin
     return run
 
 
+def _filled(seen: np.ndarray, customers: np.ndarray, tables: np.ndarray, samples: int) -> list[np.ndarray]:
+    """Customers and summed tables of pairs seen never (0), once (1) or often (2); those of the last are given."""
+    out = [np.array(few, dtype=np.int64)[seen] for few in ([0, 1, 0], [0, samples, 0])]
+    for all_pairs, given in zip(out, (customers, tables), strict=True):
+        all_pairs[seen == 2] = given
+    return out
+
+
 def _sum(df: DataFrame) -> tuple[float, float]:
     x, y = df.agg(F.sum("x"), F.sum("y")).first()
     return x or 0.0, y or 0.0
@@ -438,6 +450,7 @@ def score_texts(docs: DataFrame, held: Column, burn_in: int = BURN_IN, samples:
     pairs = _Stored(_count_pairs(slices, bits, hot), "pairs")
     free_shuffles(spark)
     once, twice = _sum(pairs[REPEATED])
+    free_shuffles(spark)  # again, as the plan of a write is let go only after the write has been reported
     totals = _Totals(int(tokens), int(known), discount=min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5)
     state = _Stored(exchange(_all(words[WORDS], pairs[SINGLES]), _join_singles), "state")
     words.drop(WORDS)
@@ -447,6 +460,7 @@ def score_texts(docs: DataFrame, held: Column, burn_in: int = BURN_IN, samples:
     for sweep in range(burn_in + samples + 1):
         parent = _Stored(exchange(_all(state[STATE], seats[SUMS]), _seat_parent(bits, totals, sweep, seating)), "parent")
         customers, tables = _sum(parent[STATE])
+        free_shuffles(spark)
         totals = _Totals(totals.tokens, totals.known, totals.discount, customers=customers, tables=tables)
         if sweep < burn_in + samples:
             new = _Stored(exchange(_all(pairs[REPEATED], parent[REPLY], seats[SEATS]), _seat_contexts(bits, totals, sweep, sweep >= burn_in, seating)), "seats")
@@ -485,7 +499,8 @@ def _scores(docs: DataFrame, slices: DataFrame, pairs: _Stored, seats: _Stored,
         count, summed = got[REPEATED][0][1][3], got[SEATS][0][1][1]
         customers, tables = np.r_[0, 1, count.astype(np.int64)], np.r_[0, len(all_totals), summed.astype(np.int64)]
         for peer, (codes,) in got.get(CODES, []):
-            yield peer, PAIR_REPLY, block, 0.0, 0.0, [customers[codes], tables[codes]]
+            often = codes[codes > 1]
+            yield peer, PAIR_REPLY, block, 0.0, 0.0, [np.minimum(codes, 2), customers[often], tables[often]]
 
     word_replies = exchange(_all(_send_slices(slices, ask), *(p[STATE] for _, p in sampled)), answer_words)
     pair_replies = exchange(_all(pairs[CODES], pairs[REPEATED], seats[SEATS]), answer_pairs)
@@ -495,6 +510,8 @@ def _scores(docs: DataFrame, slices: DataFrame, pairs: _Stored, seats: _Stored,
     for _, parent in sampled:
         parent.drop(STATE)
     free_shuffles(docs.sparkSession)
+    replies[WORD_REPLY].isEmpty()
+    free_shuffles(docs.sparkSession)
     sent = _all(replies[WORD_REPLY], replies[PAIR_REPLY]).select(F.col("block").alias("slice"), "kind", "peer", "data")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     t = all_totals[0]
@@ -507,6 +524,7 @@ def _scores(docs: DataFrame, slices: DataFrame, pairs: _Stored, seats: _Stored,
         got: dict[int, list] = {WORD_REPLY: [], PAIR_REPLY: []}
         for kind, _, data in sorted(zip(answers["kind"].to_pylist(), answers["peer"].to_pylist(), answers["data"].to_pylist(), strict=True), key=lambda m: m[:2]):
             got[kind].append([unpack(d) for d in data])
+        got[PAIR_REPLY] = [_filled(*arrays, len(all_totals)) for arrays in got[PAIR_REPLY]]
         count, *parts = (np.concatenate(c).astype(np.float64) for c in zip(*got[WORD_REPLY], strict=True))
         customers, tables = (np.concatenate(c).astype(np.float64) for c in zip(*got[PAIR_REPLY], strict=True))
         n = len(all_totals)
