@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import read, store, vocabulary
+from foldwright.llm.common import read, smaller_batches, store, vocabulary
 from foldwright.llm.exact_dedup import exact_dedup, normalized
 from foldwright.llm.language_id import keep_identified
 from foldwright.llm.mixing import apply_mix
@@ -24,6 +24,7 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a main language, go."""
     ship_package(spark)
+    smaller_batches(spark)
     return keep_identified(docs)
 
 
@@ -37,6 +38,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays; rows without doc_id link with nothing and stay."""
+    smaller_batches(spark)
     gone = near_dedup(docs).filter("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"))
     return rows.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
@@ -50,6 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces and ids of every row, with merge-dropout."""
     ship_package(spark)
+    smaller_batches(spark)
     encoded = encode(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
