@@ -24,6 +24,7 @@ from foldwright.llm.graph import components
 from foldwright.session import collect_bounded
 
 SAMPLE = 20_000
+STRETCH_BITS = 12
 BITS = 64
 TABLES = 4
 CHUNK = BITS // TABLES
@@ -101,6 +102,39 @@ def fit_codes(vectors: np.ndarray, least: float) -> tuple[list[BinaryCodes], int
     return None
 
 
+def shortlist(rows: DataFrame, keys: list[Column], n: int) -> DataFrame:
+    """At most 2 * n rows, among them the n smallest by the 64-bit keys; more only where all keys of more than n rows are equal.
+
+    Counts of stretches of a key show where the n rows end; where many rows share that stretch, it is cut into stretches again.
+    """
+    below, tied, left = F.lit(False), F.lit(True), n
+    for key in keys:
+        low, high = -(1 << 63), (1 << 63) - 1
+        for shift in [*range(64 - STRETCH_BITS, 0, -STRETCH_BITS), 0]:
+            stretches = rows.filter(tied & key.between(low, high)).groupBy(F.shiftright(key, shift).alias("stretch")).count()
+            counts = sorted(collect_bounded(stretches, 1 << STRETCH_BITS, "stretches of hashes"))
+            reach = np.cumsum([c for _, c in counts], dtype=np.int64)
+            last = int(np.searchsorted(reach, left))
+            if last == len(counts):
+                return rows
+            stretch, held = counts[last]
+            left -= int(reach[last]) - held
+            low, high = stretch << shift, (stretch + 1 << shift) - 1
+            if held <= n:
+                return rows.filter(below | (tied & (key <= high)))
+        below, tied = below | (tied & (key < low)), tied & (key == low)
+    return rows.filter(below | tied)
+
+
+def least_hashed(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows with the smallest (hash of id, id), in that order; rows of equal id go by the hash of label and vector.
+
+    They are sorted out of a short list, as a sort with a limit hands n rows of every task to the driver.
+    """
+    own, other = F.xxhash64("id"), F.xxhash64("label", "embedding")
+    return shortlist(rows, [own, other], n).orderBy(own, "id", other).limit(n)
+
+
 def _unit(values: pa.Array) -> np.ndarray:
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(values), -1)
@@ -145,7 +179,7 @@ def candidates(codes: DataFrame, n_codes: int, most_apart: int) -> DataFrame:
     for t in range(TABLES * n_codes - 1):
         first = first & ((F.col("table") <= t) | (F.bit_count(_chunk(apart[t // TABLES], t % TABLES)) > 1))
     return (
-        probes.join(entries, ["label", "table", "chunk"])
+        probes.join(entries.hint("merge"), ["label", "table", "chunk"])  # each row of codes becomes many: file sizes say nothing of a broadcast
         .filter((F.col("a") < F.col("b")) & (reduce(lambda x, y: x + y, map(F.bit_count, apart)) <= most_apart) & first)
         .select("a", "b")
     )
@@ -190,8 +224,8 @@ def embedding_dedup(rows: DataFrame, least: float = 0.98) -> DataFrame:
     pairs = rows.sparkSession.createDataFrame([], "a long, b long")
     for width in widths:
         same = classes.filter(F.col("width") == width)
-        sample = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-        fitted = fit_codes(_unit(pa.array(list(sample))), least)
+        sample = least_hashed(same, SAMPLE).select("embedding").toArrow()["embedding"]
+        fitted = fit_codes(_unit(sample.combine_chunks()), least)
         if fitted is None:
             found = all_candidates(same, least)
         else:
@@ -202,7 +236,7 @@ def embedding_dedup(rows: DataFrame, least: float = 0.98) -> DataFrame:
         pairs = pairs.union(both.withColumn("cosine", _cosine()("x", "y")).filter(F.col("cosine") >= least).select("a", "b"))
     pairs = store(pairs, "links")
     ends = pairs.union(pairs.select("b", "a")).toDF("id", "other")
-    linked = ends.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("linked"))
+    linked = ends.hint("merge").join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("linked"))
     groups = components(pairs)
     decided = classes.join(linked, "id", "left").join(groups, "id", "left").select(
         "label", "embedding", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
