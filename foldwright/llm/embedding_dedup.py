@@ -1,8 +1,8 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation learnt on a bounded sample turns vectors into balanced binary codes.  A code is cut into TABLES chunks; codes that
-differ in fewer than 2 * TABLES bits agree in some chunk up to one bit, so every vector probes each table with its own chunk and
-those one bit away.  How many bits pairs at the least cosine differ in depends on the vectors: a common direction moves them
+differ in fewer than 2 * TABLES bits agree in some chunk up to one bit.  Such chunks agree in one of their halves, so vectors of
+equal halves meet in one task, which finds those whose other halves are at most one bit away.  How many bits pairs at the least cosine differ in depends on the vectors: a common direction moves them
 apart once codes are centred.  So pairs at exactly that cosine are planted around the sample, and further rotations with tables of
 their own are added until LEAST_RECALL of them are shown; where MAX_CODES rotations do not suffice, all pairs of a label are
 compared in blocks.  A pair is taken from the first table that shows it; the cosine of the original vectors decides.  Equal
@@ -11,15 +11,16 @@ vectors of one label are merged first and counted, so copies are never paired.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import store
+from foldwright.llm.common import drop_stored, free_shuffles, store
 from foldwright.llm.graph import components
 from foldwright.session import collect_bounded
 
@@ -28,6 +29,10 @@ STRETCH_BITS = 12
 BITS = 64
 TABLES = 4
 CHUNK = BITS // TABLES
+HALF = CHUNK // 2
+HALVES = 2 * TABLES
+ROWS = 1 << 16
+PAIRS = 1 << 18
 MAX_CODES = 16
 PLANTED = 8000
 LEAST_RECALL = 0.995
@@ -162,27 +167,83 @@ def _cosine():
     return run
 
 
-def _chunk(code: str | Column, table: int) -> Column:
-    return F.shiftrightunsigned(code, CHUNK * table).bitwiseAND(F.lit((1 << CHUNK) - 1))
+def _chunk_bits(apart: np.ndarray, table: int) -> np.ndarray:
+    """In how many bits of this table's chunk codes differ that differ in these bits, one column a code."""
+    return np.bitwise_count(apart[:, table // TABLES] >> np.uint64(CHUNK * (table % TABLES)) & np.uint64((1 << CHUNK) - 1))
+
+
+def _matches(group: np.ndarray, place: np.ndarray, codes: np.ndarray, most_apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group whose halves beside the one they share are at most one bit apart, each pair of codes once.
+
+    A pair comes from the first table that shows it; if both halves are equal, from the lower one.
+    """
+    beside = codes[np.arange(len(codes)), place // HALVES] >> (HALF * (place % HALVES ^ 1)).astype(np.uint64) & np.uint64((1 << HALF) - 1)
+    key = group << HALF | beside.astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, place, codes = key[order], place[order], codes[order]
+    for flip in [0, *(1 << k for k in range(HALF))]:
+        start = np.searchsorted(key, key | flip) if flip else np.arange(1, len(key) + 1)
+        count = np.searchsorted(key, key | flip, side="right") - start
+        count[key & flip != 0 if flip else place % 2 != 0] = 0
+        reach = np.cumsum(count)
+        low = 0
+        while low < len(key):
+            before = reach[low] - count[low]
+            high = max(low + 1, int(np.searchsorted(reach, before + PAIRS, side="right")))
+            if reach[high - 1] > before:
+                n = count[low:high]
+                a = np.repeat(np.arange(low, high), n)
+                b = np.arange(len(a)) + np.repeat(start[low:high] - (reach[low:high] - n - before), n)
+                bits = sum(np.bitwise_count(codes[a, r] ^ codes[b, r]).astype(np.int64) for r in range(codes.shape[1]))
+                near = bits <= most_apart
+                a, b = a[near], b[near]
+                table = place[a] // 2
+                first, apart = np.ones(len(a), dtype=bool), codes[a] ^ codes[b]
+                for t in range(table.max(initial=0)):
+                    first &= (table <= t) | (_chunk_bits(apart, t) > 1)
+                if first.any():
+                    yield order[a[first]], order[b[first]]
+            low = high
 
 
 def candidates(codes: DataFrame, n_codes: int, most_apart: int) -> DataFrame:
     """Pairs (a, b) of (id, label, codes) rows of one label that some table shows, each once."""
-    each = [(t, F.col("codes")[t // TABLES], t % TABLES) for t in range(TABLES * n_codes)]
-    entries = codes.select("id", "label", "codes", F.explode(F.array(*(F.struct(F.lit(t).alias("table"), _chunk(code, k).alias("chunk")) for t, code, k in each))).alias("entry"))
-    entries = entries.select(F.col("id").alias("b"), "label", F.col("codes").alias("codes_b"), "entry.*")
-    flips = F.array(*(F.lit(flip).cast("long") for flip in [0, *(1 << k for k in range(CHUNK))]))
-    probes = entries.select(F.col("b").alias("a"), "label", F.col("codes_b").alias("codes_a"), "table", "chunk", F.explode(flips).alias("flip"))
-    probes = probes.withColumn("chunk", F.col("chunk").bitwiseXOR(F.col("flip"))).drop("flip")
-    apart = [F.col("codes_a")[r].bitwiseXOR(F.col("codes_b")[r]) for r in range(n_codes)]
-    first = F.lit(True)
-    for t in range(TABLES * n_codes - 1):
-        first = first & ((F.col("table") <= t) | (F.bit_count(_chunk(apart[t // TABLES], t % TABLES)) > 1))
-    return (
-        probes.join(entries.hint("merge"), ["label", "table", "chunk"])  # each row of codes becomes many: file sizes say nothing of a broadcast
-        .filter((F.col("a") < F.col("b")) & (reduce(lambda x, y: x + y, map(F.bit_count, apart)) <= most_apart) & first)
-        .select("a", "b")
-    )
+    halves = [(p, F.col("codes")[p // HALVES], p % HALVES) for p in range(HALVES * n_codes)]
+    entry = F.explode(F.array(*(F.shiftrightunsigned(code, HALF * k).bitwiseAND(F.lit((1 << HALF) - 1)) + F.lit(p << HALF) for p, code, k in halves)))
+    entries = codes.select("id", "label", *(F.col("codes")[r].alias(f"code_{r}") for r in range(n_codes)), entry.alias("half"))
+
+    def ends(table: pa.Table) -> np.ndarray:
+        label, half = table["label"].combine_chunks().dictionary_encode().indices.to_numpy(), table["half"].to_numpy()
+        return np.flatnonzero((label[1:] != label[:-1]) | (half[1:] != half[:-1])) + 1
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = np.zeros(table.num_rows, dtype=np.int64)
+        group[ends(table)] = 1
+        ids, code = table["id"].combine_chunks(), np.stack([table[f"code_{r}"].to_numpy() for r in range(n_codes)], axis=1).view(np.uint64)
+        for a, b in _matches(np.cumsum(group), table["half"].to_numpy() >> HALF, code, most_apart):
+            x, y = ids.take(pa.array(a)), ids.take(pa.array(b))
+            less = pc.less(x, y)
+            found = pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x)], ["a", "b"])
+            yield found.filter(pc.not_equal(x, y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, least = [], ROWS
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < least:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            whole = int(ends(table).max(initial=0))
+            if whole:
+                yield from pairs(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+            least = max(ROWS, 2 * (table.num_rows - whole))
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    met = entries.repartition("label", "half").sortWithinPartitions(F.xxhash64("label", "half"), "label", "half")
+    id_type = codes.schema["id"].dataType.simpleString()
+    return met.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def all_candidates(same: DataFrame, least: float) -> DataFrame:
@@ -221,7 +282,9 @@ def embedding_dedup(rows: DataFrame, least: float = 0.98) -> DataFrame:
         good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("width", F.size("embedding")), "vectors"
     )
     widths = [r["width"] for r in collect_bounded(classes.select("width").distinct(), MAX_WIDTHS, "vector lengths")]
-    pairs = rows.sparkSession.createDataFrame([], "a long, b long")
+    spark = rows.sparkSession
+    free_shuffles(spark)
+    pairs, stored = spark.createDataFrame([], "a long, b long"), []
     for width in widths:
         same = classes.filter(F.col("width") == width)
         sample = least_hashed(same, SAMPLE).select("embedding").toArrow()["embedding"]
@@ -230,18 +293,25 @@ def embedding_dedup(rows: DataFrame, least: float = 0.98) -> DataFrame:
             found = all_candidates(same, least)
         else:
             models, most_apart = fitted
-            found = candidates(store(same.select("id", "label", _codes(models)("embedding").alias("codes")), "codes"), len(models), most_apart)
+            stored.append(store(same.select("id", "label", _codes(models)("embedding").alias("codes")), "codes"))
+            found = candidates(stored[-1], len(models), most_apart)
+        stored.append(store(found, "candidates"))
+        free_shuffles(spark)
         vectors = same.select("id", "embedding")
-        both = found.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")
+        both = stored[-1].hint("merge").join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")  # small files may hold many pairs
         pairs = pairs.union(both.withColumn("cosine", _cosine()("x", "y")).filter(F.col("cosine") >= least).select("a", "b"))
     pairs = store(pairs, "links")
+    drop_stored(*stored)
+    free_shuffles(spark)
     ends = pairs.union(pairs.select("b", "a")).toDF("id", "other")
     linked = ends.hint("merge").join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("linked"))
-    groups = components(pairs)
-    decided = classes.join(linked, "id", "left").join(groups, "id", "left").select(
-        "label", "embedding", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+    about = linked.join(components(pairs).hint("merge"), "id")
+    free_shuffles(spark)
+    first = F.xxhash64("label", "embedding").alias("vector_hash")  # sorts fast
+    own = good.select("vec_id", first, "label", "embedding").join(classes.select("id", "copies", first, "label", "embedding"), ["vector_hash", "label", "embedding"])
+    matched = own.select("vec_id", "id", "copies").join(about, "id", "left").select(
+        "vec_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
-    matched = good.join(decided, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = given.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return matched.union(alone).select("vec_id", "n_links", "component_id", kept)
