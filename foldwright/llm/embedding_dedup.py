@@ -32,6 +32,7 @@ CHUNK = BITS // TABLES
 HALF = CHUNK // 2
 HALVES = 2 * TABLES
 ROWS = 1 << 16
+COMPONENTS = 1 << 18
 PAIRS = 1 << 18
 MAX_CODES = 16
 PLANTED = 8000
@@ -159,14 +160,72 @@ def _codes(models: list[BinaryCodes]):
     return run
 
 
-def _cosine():
-    @F.arrow_udf("double")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(np.einsum("ij,ij->i", _unit(a), _unit(b)) if len(a) else np.zeros(0))
+def _lookup(pool: tuple, block: np.ndarray, a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, place of a, place of b) of each pair of a block in a pool (block, id, vector); an id may stand there several times."""
+    n = len(pool[0])
+    ids = pa.concat_arrays([pool[1], a, b]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    blocks = np.unique(np.concatenate([pool[0], block]), return_inverse=True)[1]
+    held = blocks[:n] * (len(ids) + 1) + ids[:n]
+    order = np.argsort(held, kind="stable")
+    pair, places = np.arange(len(block)), []
+    for own in (ids[n : n + len(block)], ids[n + len(block) :]):
+        key = blocks[n:] * (len(ids) + 1) + own
+        low, high = np.searchsorted(held, key, sorter=order), np.searchsorted(held, key, "right", sorter=order)
+        times = (high - low)[pair]
+        places = [np.repeat(p, times) for p in places]
+        reach = np.cumsum(times)
+        places.append(order[np.repeat(low[pair], times) + np.arange(times.sum()) - np.repeat(reach - times, times)])
+        pair = np.repeat(pair, times)
+    return pair, *places
+
+
+def _linked(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            is_pair, block = batch["b"].is_valid(), batch["block"].to_numpy()
+            pairs = is_pair.to_numpy(zero_copy_only=False)
+            if not pairs.all():
+                fresh = block[~pairs], batch["a"].filter(pc.invert(is_pair)), _unit(batch["embedding"].filter(pc.invert(is_pair)))
+                pool = fresh if pool is None else (np.concatenate([pool[0], fresh[0]]), pa.concat_arrays([pool[1], fresh[1]]), np.concatenate([pool[2], fresh[2]]))
+            if pairs.any():
+                a, b = batch["a"].filter(is_pair), batch["b"].filter(is_pair)
+                pair, x, y = _lookup(pool, block[pairs], a, b)
+                for at in range(0, len(pair), PAIRS // 16):
+                    part = slice(at, at + PAIRS // 16)
+                    found = pa.array(pair[part][np.einsum("ij,ij->i", pool[2][x[part]], pool[2][y[part]]) >= least])
+                    yield pa.RecordBatch.from_arrays([a.take(found), b.take(found)], ["a", "b"])
+            last = pool[0] == block[-1]
+            pool = pool[0][last], pool[1].filter(pa.array(last)), pool[2][last]
 
     return run
 
 
+def in_blocks(found: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) with a block, each of about ``most`` pairs of one home: the smallest id that b is paired with.
+
+    The pairs of a dense group share few homes, so a vector is sent to few blocks and not once for each pair.
+    """
+    homes = found.groupBy("b").agg(F.min("a").alias("home"))
+    homed = found.join(homes.hint("merge"), "b")  # a small file may hold many pairs
+    sides = homed.groupBy("home").count().select("home", F.ceil(F.sqrt(F.col("count") / most)).alias("side")).filter("side > 1")
+    side = F.coalesce("side", F.lit(1).cast("long"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("a"), side), F.pmod(F.xxhash64("b"), side))
+    return homed.join(sides, "home", "left").select("a", "b", block.alias("block"))
+
+
+def links(placed: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of (a, b, block) rows whose vectors (id, embedding) have the least cosine."""
+    needs = placed.select("block", F.col("a").alias("id")).union(placed.select("block", F.col("b").alias("id"))).distinct()
+    nothing = F.array().cast(vectors.schema["embedding"].dataType)  # nulls in a row cost Arrow's writer time that grows with their number
+    sent = needs.hint("merge").join(vectors, "id").select("block", F.col("id").alias("a"), F.lit(None).cast(placed.schema["b"].dataType).alias("b"), "embedding")
+    asked = placed.select("block", "a", "b", nothing.alias("embedding"))
+    met = sent.union(asked).repartition("block").sortWithinPartitions("block", F.col("b").isNotNull())
+    return met.mapInArrow(_linked(least), f"a {placed.schema['a'].dataType.simpleString()}, b {placed.schema['b'].dataType.simpleString()}")
+
+
 def _chunk_bits(apart: np.ndarray, table: int) -> np.ndarray:
     """In how many bits of this table's chunk codes differ that differ in these bits, one column a code."""
     return np.bitwise_count(apart[:, table // TABLES] >> np.uint64(CHUNK * (table % TABLES)) & np.uint64((1 << CHUNK) - 1))
@@ -295,11 +354,12 @@ def embedding_dedup(rows: DataFrame, least: float = 0.98) -> DataFrame:
             models, most_apart = fitted
             stored.append(store(same.select("id", "label", _codes(models)("embedding").alias("codes")), "codes"))
             found = candidates(stored[-1], len(models), most_apart)
-        stored.append(store(found, "candidates"))
+        found = store(found, "candidates")
+        free_shuffles(spark)
+        stored.append(store(in_blocks(found, max(1024, COMPONENTS // width)), "placed"))
+        drop_stored(found)
         free_shuffles(spark)
-        vectors = same.select("id", "embedding")
-        both = stored[-1].hint("merge").join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")  # small files may hold many pairs
-        pairs = pairs.union(both.withColumn("cosine", _cosine()("x", "y")).filter(F.col("cosine") >= least).select("a", "b"))
+        pairs = pairs.union(links(stored[-1], same.select("id", "embedding"), least))
     pairs = store(pairs, "links")
     drop_stored(*stored)
     free_shuffles(spark)

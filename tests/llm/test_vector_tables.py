@@ -56,3 +56,43 @@ def test_a_vector_meets_others_eight_times(spark):
     codes = spark.createDataFrame([(i, 1, [i]) for i in range(50)], "id long, label int, codes array<long>")
     plan = embedding_dedup.candidates(codes, 1, 20)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "Join" not in plan
+
+
+def pairs_of(spark, ids, rows):
+    placed = embedding_dedup.in_blocks(spark.createDataFrame(rows, "a long, b long").repartition(3), 200)
+    return placed, spark.createDataFrame(ids, "id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("batch", [10_000, 37])
+def test_links_are_exact(spark, batch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((6, 8))[rng.integers(0, 6, 120)] + 0.15 * rng.standard_normal((120, 8))).astype(np.float32)
+    ids = [i // 2 if i < 10 else i for i in range(120)]  # some ids have two vectors
+    rows = [(i, j) for i in range(120) for j in range(i + 1, 120)]
+    placed, vectors = pairs_of(spark, list(zip(ids, x.tolist())), rows)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    at = {}
+    for k, i in enumerate(ids):
+        at.setdefault(i, []).append(k)
+    want = Counter((i, j) for i, j in rows for k in at.get(i, []) for m in at.get(j, []) if near[k, m])
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, batch)
+        got = Counter(tuple(r) for r in embedding_dedup.links(placed, vectors, 0.98).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == want and len(want) > 100
+
+
+def test_a_vector_is_not_sent_once_a_pair(spark):
+    n = 100
+    dense = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    placed, _ = pairs_of(spark, [(0, [1.0])], dense + [(1000, k) for k in range(1001, 1500)])
+    blocks = {}
+    for a, b, block in placed.collect():
+        blocks.setdefault(block, set()).update((a, b))
+    own = [s for s in blocks.values() if min(s) < 1000]
+    assert sorted((a, b) for a, b, _ in placed.collect()) == sorted(dense + [(1000, k) for k in range(1001, 1500)])
+    assert sum(map(len, own)) < len(dense) // 3 and 1 < len(own) <= 36
